@@ -40,16 +40,28 @@ def quantiles(
         out = cells.groupBy(*names).agg(F.count("*").alias("n"), sketch.alias("__q"))
         return out.select(*names, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
 
-    slack = 2.0 / SKETCH_ACCURACY
-    bounds = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
+    # The bracket must reach a rank or two past the sketch's error on both sides, so small
+    # groups get a wider one; those below 200 values are taken whole.
+    near, wide = 2.0 / SKETCH_ACCURACY, 0.02
+    bounds = [b for p in probs for slack in (near, wide)
+              for b in (max(0.0, p - slack), min(1.0, p + slack))]
     brackets = cells.groupBy(*names).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", bounds, SKETCH_ACCURACY).alias("__b"),
+        F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        F.percentile_approx("__v", bounds, SKETCH_ACCURACY).alias("__q"),
     )
+
+    def edge(i, side, end):
+        at = lambda k: F.col("__q")[4 * i + 2 * k + side]
+        return F.when(F.col("__n") >= 2 * SKETCH_ACCURACY, at(0)).when(
+            F.col("__n") >= 200, at(1)).otherwise(F.col(end))
+
+    pairs = F.array(*[F.struct(edge(i, 0, "__min").alias("lo"), edge(i, 1, "__max").alias("hi"))
+                      for i in range(len(probs))])
+    brackets = brackets.select(*names, "__n", pairs.alias("__b"))
     v = F.col("__v")
     located = []
     for i in range(len(probs)):
-        lo, hi = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]
+        lo, hi = F.col("__b")[i]["lo"], F.col("__b")[i]["hi"]
         width = (hi - lo) / SLICES
         inside = F.when(
             (width > 0) & (width < float("inf")),

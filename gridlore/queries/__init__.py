@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from gridlore.queries import sales  # noqa: F401
+from gridlore.queries import sales, core  # noqa: F401
 from gridlore.queries.registry import ORACLE, QUERIES  # noqa: F401

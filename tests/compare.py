@@ -42,7 +42,7 @@ def normal(names, rows):
 
 
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-         "timestamp": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
+         "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
 
 
 def compare(spark, con, name, fn, sql, folder):
