@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from gridlore.queries import core, fraud_risk, insight, quality, sales  # noqa: F401
+from gridlore.queries import business, core, fraud_risk, insight, modelling, quality, sales  # noqa: F401
 from gridlore.queries.registry import ORACLE, QUERIES  # noqa: F401

@@ -115,8 +115,8 @@ def q_benford_group(spark, sf):
 
 
 _LEDGER = """SELECT user_id, CAST(value AS DOUBLE) AS value, FLOOR(value) * 100 AS amount, ts FROM events"""
-_PATTERNS = f"""SELECT 'duplicate_rows' AS pattern, CAST(NULL AS VARCHAR) AS "column", COUNT(*) AS "count" FROM (SELECT 1 FROM x GROUP BY ALL
-HAVING COUNT(*) > 1) HAVING COUNT(*) > 0 UNION ALL SELECT 'unusual_timing', 'ts', COUNT(*) FILTER (WHERE {_WEEKEND}) + COUNT(*) FILTER (WHERE {_NIGHT})
+_PATTERNS = f"""SELECT 'duplicate_rows' AS pattern, CAST(NULL AS VARCHAR) AS "column", COUNT(*) AS "count" FROM (SELECT user_id, value, amount, ts, COUNT(*) AS k
+FROM x GROUP BY ALL HAVING COUNT(*) > 1) HAVING COUNT(*) > 0 UNION ALL SELECT 'unusual_timing', 'ts', COUNT(*) FILTER (WHERE {_WEEKEND}) + COUNT(*) FILTER (WHERE {_NIGHT})
 FROM x UNION ALL SELECT 'round_numbers', NULL, COUNT(*) FROM ({union_all([
     f"SELECT 1 FROM x HAVING COUNT(*) FILTER (WHERE {c} >= {t} AND FMOD({c}, {t}) = 0) >= 3" for c in ("user_id", "value", "amount")
     for t in ROUND_THRESHOLDS])}) HAVING COUNT(*) > 0 UNION ALL
