@@ -200,7 +200,11 @@ def seasonal_model(series: DataFrame, periods: int = PERIODS, keys: Sequence[str
             out.insert(i, name, pdf[name].iloc[0])
         return out
 
-    out = tagged.groupBy(*map(quoted, names)).applyInPandas(fit, schema)
+    # Fits cost time, not bytes: a fixed number of partitions keeps AQE from merging
+    # small series into a few slow tasks. The grouping below adds no further shuffle.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = tagged.repartition(tasks, *map(quoted, names))
+    out = spread.groupBy(*map(quoted, names)).applyInPandas(fit, schema)
     # Arrow turns a missing number into NaN; give nulls back
     out = out.withColumns({c: as_double(F.col(c)) for c in ("y", "yearly", "weekly")})
     return out if keys else out.drop("__all")

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridlore.functions.numeric import as_double, grade, mean_of, rounded
+from gridlore.functions.numeric import as_double, mean_of, rounded
 from gridlore.functions.schema import columns_of
 from gridlore.operators.profile import correlations
 from gridlore.plans.position import position_trend
-from gridlore.plans.shape import column_rows, melt_numeric, quoted, same_keys, top_per
+from gridlore.plans.shape import column_rows, measured_join, melt_numeric, quoted, top_per
+from gridlore.session import pin
 
 # Fixed values of the rules.
 MIN_VALUES = 5
@@ -55,7 +56,9 @@ def _scored(df: DataFrame, cols, ids, group_by, min_values: int) -> DataFrame:
     }, group_by).where((F.col("n") >= min_values) & (F.col("sd") >= TINY))
     stats = stats.select(*map(quoted, group_by), "column", "mean", "sd")
     cells = melt_numeric(df, cols, [*group_by, *ids])
-    joined = same_keys(cells, stats, [*group_by, "column"], small_right=not group_by)
+    if group_by:
+        stats = pin(stats)
+    joined = measured_join(cells, stats, [*group_by, "column"], small_right=not group_by)
     return joined.withColumn("z", F.abs((F.col("value") - F.col("mean")) / F.col("sd")))
 
 

@@ -28,8 +28,9 @@ def _quantile(df: DataFrame, col: str, prob: float):
 def _classified(df: DataFrame, stock: str) -> DataFrame:
     s = F.col("__s")
     rows = df.withColumn("__s", as_double(quoted(stock))).where(s.isNotNull())
-    rows = rows.withColumn("__low", _quantile(df, stock, 0.25)).withColumn(
-        "__high", _quantile(df, stock, 0.75))
+    quartiles = column_quantiles(df, [stock], [0.25, 0.75]).select(F.struct("q0", "q1")).scalar()
+    rows = rows.withColumn("__q", quartiles).withColumns(
+        {"__low": F.col("__q.q0"), "__high": F.col("__q.q1")})
     # A value may be both: the classes are three separate tests.
     tests = F.array_compact(F.array(
         F.when(s == 0, F.lit("dead_stock")),

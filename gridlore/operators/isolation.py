@@ -106,7 +106,9 @@ def forest_nodes(sample: DataFrame, width: int, seed: int) -> DataFrame:
         pdf = pdf.sort_values("__id")
         return grow_tree(pdf[names].to_numpy(float), int(pdf["tree"].iloc[0]), seed)
 
-    return sample.groupBy("tree").applyInPandas(grow, NODES)
+    # a fixed number of partitions: AQE would merge samples this small into one task
+    tasks = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sample.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, NODES)
 
 
 def path_score(values: np.ndarray, forest: list[tuple], rows_per_tree: int) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridlore.operators.sales import TOP_PAIRS
 from gridlore.plans.shape import quoted
+from gridlore.session import pin
 
 WIDELY_BOUGHT = 64
 MIN_ROWS = 10
@@ -55,12 +56,12 @@ def cross_sell_pairs(df: DataFrame, customer: str = "customer", product: str = "
     spark = df.sparkSession
     lines = df.select(quoted(customer).alias("__cust"), quoted(product).cast("string").alias("__prod"))
     held = lines.where(F.col("__cust").isNotNull() & F.col("__prod").isNotNull())
-    baskets = held.groupBy("__cust", "__prod").agg(F.count("*").alias("__lines"))
+    # Copies collapse before the shuffle; pinned, as several small jobs read the baskets.
+    baskets = pin(held.groupBy("__cust", "__prod").agg(F.count("*").alias("__lines")))
 
-    sizes = baskets.groupBy("__cust").agg(F.count("*").alias("__size"))
-    enough = sizes.where("__size >= 2").limit(MIN_CUSTOMERS).count() >= MIN_CUSTOMERS
-    enough = enough and len(lines.select(F.lit(1)).take(MIN_ROWS)) >= MIN_ROWS
-    if not enough:
+    sizes = baskets.groupBy("__cust").agg(F.count("*").alias("__size"), F.sum("__lines").alias("__lines"))
+    found = sizes.agg(F.count_if(F.col("__size") >= 2).alias("c"), F.sum("__lines").alias("r")).first()
+    if found["c"] < MIN_CUSTOMERS or (found["r"] or 0) < MIN_ROWS:
         return spark.createDataFrame([], "product_1 string, product_2 string, frequency bigint")
 
     support = baskets.groupBy("__prod").agg(F.count("*").alias("__support"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridlore.functions.numeric import as_double, mean_of, number_from_text, rounded
 from gridlore.functions.schema import columns_of
 from gridlore.plans.position import with_position
-from gridlore.plans.shape import quoted
+from gridlore.plans.shape import measured_join, quoted
 from gridlore.session import shared_dir
 
 # Fixed values of the models.
@@ -45,8 +45,8 @@ def encode(df: DataFrame, features: Sequence[str], labels: dict[str, DataFrame])
     for i, c in enumerate(features):
         name = f"f_{i}"
         if c in labels:
-            codes = labels[c].select(F.col("value").alias("__text"), F.col("code").cast("double").alias(name))
-            out = out.join(codes, out[c] == F.col("__text"), "left").drop("__text")
+            codes = labels[c].select(F.col("value").alias(c), F.col("code").cast("double").alias(name))
+            out = measured_join(out, codes, [c], "left")
             out = out.withColumn(name, F.coalesce(name, F.lit(UNSEEN)))
         else:
             out = out.withColumn(name, as_double(quoted(c)))

@@ -78,7 +78,8 @@ def concentration_risk(df: DataFrame, cols: Sequence[str] | None = None,
 def trend_risk(df: DataFrame, dates: Sequence[str] | None = None, cols: Sequence[str] | None = None,
                group_by: Sequence[str] = (), tie_break: Sequence[str] = ()) -> DataFrame:
     """Slope over date order of the first 3 numeric columns, for the first 2 date columns:
-    a decline of more than 10 % of the mean scores twice the decline, up to 100."""
+    a decline of more than 10 % of the mean scores twice the decline, up to 100. Rows of
+    one date come in the order of ``tie_break`` (unique, if given), else of the value."""
     dates = list(dates or columns_of(df, "date"))[:2]
     cols = list(cols or [c for c in columns_of(df, "numeric") if c not in group_by])[:3]
     keys = [quoted(g) for g in group_by]
@@ -87,7 +88,7 @@ def trend_risk(df: DataFrame, dates: Sequence[str] | None = None, cols: Sequence
         ids = [*group_by, date, *[t for t in tie_break if t not in group_by]]
         cells = melt_numeric(df.where(quoted(date).isNotNull()), cols, ids)
         order = [date, *[t for t in tie_break if t != date], "value"]
-        fit = position_trend(cells, [*group_by, "column"], order, "value")
+        fit = position_trend(cells, [*group_by, "column"], order, "value", ties=not tie_break)
         fits = fit if fits is None else fits.unionByName(fit)
     drop = F.col("slope") * F.col("n") / F.abs("mean") * 100
     drop = F.when((F.col("n") >= 5) & ~F.col("flat") & (F.col("mean") != 0), drop)

@@ -70,25 +70,44 @@ def _line_up(ranged: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def position_trend(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
-                   value: str) -> DataFrame:
-    """(keys, n, mean, slope): least squares of the non-null values on their position.
+                   value: str, ties: bool = False) -> DataFrame:
+    """(keys, n, mean, slope, flat): least squares of the non-null values on their position.
 
     Each range yields count, mean and covariance with the local index. Covariance does
     not change under a shift of the index, so ranges merge like partial aggregates and
     no row ever needs its global position. One shuffle of the rows, none after it.
+
+    ``ties`` is for an order that is not unique: equal (order, value) cells are collapsed
+    to one counted cell first, so that a huge run of copies cannot fill one range.
     """
     names = [quoted(k) for k in keys]
-    cells = df.select(*names, *[quoted(c) for c in order_by if c not in keys and c != value],
-                      quoted(value).cast("double").alias("__y"))
-    by = [*keys, *["__y" if c == value else c for c in order_by]]
+    rest = [c for c in order_by if c not in keys and c != value]
+    cells = df.select(*names, *map(quoted, rest), quoted(value).cast("double").alias("__y"))
     cells = cells.where(F.col("__y").isNotNull() & ~F.isnan("__y"))
-    parts = _ranged(cells, by).groupBy(*names, "__range").agg(
-        F.count("*").cast("double").alias("__n"),
-        F.avg("__y").alias("__m"),
-        F.covar_pop("__y", F.col("__at").cast("double")).alias("__c"),
-        F.min("__y").alias("__lo"),
-        F.max("__y").alias("__hi"),
-    )
+    by = [*keys, *["__y" if c == value else c for c in order_by]]
+    if ties:
+        by = by if "__y" in by else [*by, "__y"]
+        copies = cells.groupBy(*names, *map(quoted, rest), "__y").agg(F.count("*").alias("__w"))
+        local = Window.partitionBy(*names, "__range").orderBy("__at")
+        ranged = _ranged(copies, by)
+        # middle of the places taken by the copies, counted from the start of the range
+        middle = F.sum("__w").over(local) - (F.col("__w") + 1) / 2.0
+        w, x, y = F.col("__w"), F.col("__x"), F.col("__y")
+        parts = ranged.withColumn("__x", middle).groupBy(*names, "__range").agg(
+            F.sum(w).cast("double").alias("__n"),
+            (F.sum(w * y) / F.sum(w)).alias("__m"),
+            ((F.sum(w * x * y) - F.sum(w * x) * F.sum(w * y) / F.sum(w)) / F.sum(w)).alias("__c"),
+            F.min(y).alias("__lo"),
+            F.max(y).alias("__hi"),
+        )
+    else:
+        parts = _ranged(cells, by).groupBy(*names, "__range").agg(
+            F.count("*").cast("double").alias("__n"),
+            F.avg("__y").alias("__m"),
+            F.covar_pop("__y", F.col("__at").cast("double")).alias("__c"),
+            F.min("__y").alias("__lo"),
+            F.max("__y").alias("__hi"),
+        )
     whole = Window.partitionBy(*names)
     before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__all", F.sum("__n").over(whole)).withColumn(

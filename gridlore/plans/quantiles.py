@@ -13,7 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridlore.plans.shape import melt_numeric, quoted, same_keys
+from gridlore.plans.shape import measured_join, melt_numeric, quoted, same_keys
+from gridlore.session import pin
 
 SKETCH_ACCURACY = 10000
 SLICES = 1024
@@ -32,6 +33,8 @@ def quantiles(
     ``accuracy`` asks for the sketch alone (rank error n/accuracy). ``small_keys`` states
     that the number of keys does not grow with the data, so brackets may be broadcast.
     """
+    if list(probs) != sorted(probs):
+        raise ValueError("probabilities must ascend")
     cells = df.select(*map(quoted, keys), quoted(value).cast("double").alias("__v"))
     cells = cells.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     names = [quoted(k) for k in keys]
@@ -42,83 +45,75 @@ def quantiles(
 
     # The bracket must reach a rank or two past the sketch's error on both sides, so small
     # groups get a wider one; those below 200 values are taken whole.
-    near, wide = 2.0 / SKETCH_ACCURACY, 0.02
-    bounds = [b for p in probs for slack in (near, wide)
+    every = range(len(probs))
+    bounds = [b for p in probs for slack in (2.0 / SKETCH_ACCURACY, 0.02)
               for b in (max(0.0, p - slack), min(1.0, p + slack))]
-    brackets = cells.groupBy(*names).agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+    sketch = cells.groupBy(*names).agg(
+        F.expr("count(*) AS __n"), F.expr("min(__v) AS __min"), F.expr("max(__v) AS __max"),
         F.percentile_approx("__v", bounds, SKETCH_ACCURACY).alias("__q"),
     )
 
     def edge(i, side, end):
-        at = lambda k: F.col("__q")[4 * i + 2 * k + side]
-        return F.when(F.col("__n") >= 2 * SKETCH_ACCURACY, at(0)).when(
-            F.col("__n") >= 200, at(1)).otherwise(F.col(end))
-
-    pairs = F.array(*[F.struct(edge(i, 0, "__min").alias("lo"), edge(i, 1, "__max").alias("hi"))
-                      for i in range(len(probs))])
-    brackets = brackets.select(*names, "__n", pairs.alias("__b"))
-    v = F.col("__v")
-    located = []
-    for i in range(len(probs)):
-        lo, hi = F.col("__b")[i]["lo"], F.col("__b")[i]["hi"]
-        width = (hi - lo) / SLICES
-        inside = F.when(
-            (width > 0) & (width < float("inf")),
-            F.least(F.lit(SLICES - 1), F.floor((v - lo) / width).cast("int")),
-        ).otherwise(F.lit(0))
-        located.append(F.when(v <= hi, F.struct(
-            F.lit(i).alias("__i"),
-            F.when(v < lo, F.lit(-1)).otherwise(inside).alias("__slice"),
-            F.when(v >= lo, v).alias("__x"),
-        )))
-    spread = same_keys(cells, brackets, keys, small_right=small_keys).select(
-        *names, "__n", F.explode(F.array_compact(F.array(*located))).alias("__at")
-    )
-    counted = spread.groupBy(*names, "__at.__i", "__at.__slice", "__at.__x").agg(
-        F.count("*").alias("__c"), F.max("__n").alias("__n")
-    )
-
-    wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1)
-    at = wanted * (F.col("__n") - 1)
-    low = F.floor(at)
-    high = F.least(low + 1, F.col("__n") - 1)
-    slices = counted.groupBy(*names, "__i", "__slice").agg(
-        F.sum("__c").alias("__sc"), F.max("__n").alias("__n")
-    )
+        return (f"CASE WHEN __n >= {2 * SKETCH_ACCURACY} THEN __q[{4 * i + side}] "
+                f"WHEN __n >= 200 THEN __q[{4 * i + 2 + side}] ELSE {end} END")
+
+    brackets = sketch.select(*names, "__n", *[F.expr(e) for i in every for e in (
+        f"{edge(i, 0, '__min')} AS __lo{i}", f"{edge(i, 1, '__max')} AS __hi{i}")])
+    if not small_keys:
+        brackets = pin(brackets)
+
+    # One pass over the values: a value inside some bracket is counted by itself, any
+    # other only by how many brackets lie wholly below it (probabilities ascend).
+    inside = " OR ".join(f"(__v BETWEEN __lo{i} AND __hi{i})" for i in every)
+    passed = " + ".join(f"CAST(__v > __hi{i} AS INT)" for i in every)
+    zones = measured_join(cells, brackets, keys, small_right=small_keys).groupBy(
+        *names,
+        F.expr(f"CASE WHEN NOT ({inside}) THEN {passed} END AS __zone"),
+        F.expr(f"CASE WHEN {inside} THEN __v END AS __x"),
+    ).agg(F.expr("count(*) AS __c"))
+
+    # From here on rows are distinct bracketed values, not cells. Each bracket is cut into
+    # slices of equal width; a rank is then looked for in the one slice that holds it.
+    def place(i):
+        width = f"((__hi{i} - __lo{i}) / {SLICES}.0D)"
+        at = (f"CASE WHEN {width} > 0 AND {width} < double('Infinity') THEN "
+              f"least({SLICES - 1}, CAST(floor((__x - __lo{i}) / {width}) AS INT)) ELSE 0 END")
+        return (f"CASE WHEN __zone <= {i} OR __x < __lo{i} THEN named_struct('__i', {i}, '__slice', -1, '__at', NULL) "
+                f"WHEN __x <= __hi{i} THEN named_struct('__i', {i}, '__slice', {at}, '__at', __x) END")
+
+    places = ", ".join(map(place, every))
+    spread = same_keys(zones, brackets, keys, small_right=small_keys).select(
+        *names, "__n", "__c", F.expr(f"inline(array_compact(array({places})))"))
+    rank = "element_at(array(" + ", ".join(f"{float(p)!r}D" for p in probs) + "), __i + 1) * (__n - 1)"
+    spread = spread.withColumn("__rank", F.expr(rank))
+    low, high = "floor(__rank)", "least(floor(__rank) + 1, __n - 1)"
+    slices = spread.groupBy(*names, "__i", "__slice").agg(
+        F.expr("sum(__c) AS __sc"), F.expr("max(__n) AS __n"), F.expr("max(__rank) AS __rank"))
     w = Window.partitionBy(*names, "__i").orderBy("__slice")
-    slices = slices.withColumn("__end", F.sum("__sc").over(w)).withColumn(
-        "__start", F.col("__end") - F.col("__sc")
-    )
-    slices = slices.where(
-        (F.col("__slice") >= 0) & (F.col("__start") <= high) & (F.col("__end") > low)
+    slices = slices.withColumn("__start", F.sum("__sc").over(w) - F.col("__sc")).where(
+        f"__slice >= 0 AND __start <= {high} AND __start + __sc > {low}"
     ).select(*names, "__i", "__slice", "__start")
 
-    kept = same_keys(counted, slices, [*keys, "__i", "__slice"], small_right=small_keys)
-    w = Window.partitionBy(*names, "__i", "__slice").orderBy("__x")
-    kept = kept.withColumn("__to", F.col("__start") + F.sum("__c").over(w)).withColumn(
-        "__from", F.col("__to") - F.col("__c")
-    )
+    kept = same_keys(spread, slices, [*keys, "__i", "__slice"], small_right=small_keys)
+    w = Window.partitionBy(*names, "__i", "__slice").orderBy("__at")
+    kept = kept.withColumn("__to", F.col("__start") + F.sum("__c").over(w))
 
-    def value_at(rank):
-        hit = F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("__x")))
+    def picked(i, wanted):
+        hit = f"max(CASE WHEN __i = {i} AND __to - __c <= {wanted} AND {wanted} < __to THEN __at END)"
         # The sketch guarantees the bracket; if it ever failed, fail rather than guess.
-        return F.coalesce(hit, F.raise_error(F.lit("quantile bracket missed")).cast("double"))
+        return f"coalesce({hit}, CAST(raise_error('quantile bracket missed') AS DOUBLE))"
 
-    picked = kept.groupBy(*names, "__i").agg(
-        F.max("__n").alias("__n"), value_at(low).alias("__a"), value_at(high).alias("__z"),
-        F.max(at - low).alias("__part"),
-    )
-    final = F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__part")
-    return picked.groupBy(*names).agg(
-        F.max("__n").alias("n"),
-        *[F.max(F.when(F.col("__i") == i, final)).alias(f"q{i}") for i in range(len(probs))],
-    )
+    part = lambda i: f"max(CASE WHEN __i = {i} THEN __rank - floor(__rank) END)"
+    return kept.groupBy(*names).agg(F.expr("max(__n) AS n"), *[
+        F.expr(f"{picked(i, low)} + ({picked(i, high)} - {picked(i, low)}) * {part(i)} AS q{i}") for i in every])
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      group_by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
     """(group_by, column, n, q0, ...) for several columns in one query."""
-    cells = melt_numeric(df, cols, group_by)
-    return quantiles(cells, [*group_by, "column"], "value", probs, accuracy,
-                     small_keys=not group_by)
+    # short whole-number keys group and join faster than names
+    cells = melt_numeric(df, cols, group_by, numbered=True)
+    out = quantiles(cells, [*group_by, "column_no"], "value", probs, accuracy, small_keys=not group_by)
+    names = F.array(*map(F.lit, cols))
+    return out.select(*map(quoted, group_by), names[F.col("column_no")].alias("column"),
+                      "n", *[f"q{i}" for i in range(len(probs))])

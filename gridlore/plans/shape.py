@@ -47,10 +47,12 @@ def column_rows(
     return wide.select(*kept, F.inline(rows))
 
 
-def melt_numeric(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """(ids, column, value double) for the non-missing numeric cells."""
+def melt_numeric(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
+                 numbered: bool = False) -> DataFrame:
+    """(ids, column, value double) for the non-missing numeric cells; ``numbered`` gives the
+    place of the column in ``cols`` as ``column_no`` instead of its name."""
     values = [as_double(quoted(c)).alias(f"v{i}") for i, c in enumerate(cols)]
-    return _melt(df, cols, ids, values)
+    return _melt(df, cols, ids, values, numbered=numbered)
 
 
 def melt_text(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
@@ -60,9 +62,10 @@ def melt_text(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
     return _melt(df, cols, ids, values, keep_null)
 
 
-def _melt(df, cols, ids, values, keep_null=False):
+def _melt(df, cols, ids, values, keep_null=False, numbered=False):
     cells = F.array(*[
-        F.struct(F.lit(name).alias("column"), F.col(f"v{i}").alias("value"))
+        F.struct((F.lit(i).alias("column_no") if numbered else F.lit(name).alias("column")),
+                 F.col(f"v{i}").alias("value"))
         for i, name in enumerate(cols)
     ])
     out = df.select(*map(quoted, ids), *values).select(*map(quoted, ids), F.inline(cells))
@@ -103,3 +106,20 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         test = left[key].eqNullSafe(tagged[f"__key{i}"])
         cond = test if cond is None else cond & test
     return left.join(tagged, cond, how).drop(*[f"__key{i}" for i in range(len(keys))])
+
+
+# Largest number of rows sent to every executor after counting them.
+BROADCAST_ROWS = 100_000
+
+
+def measured_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                  small_right: bool = False) -> DataFrame:
+    """``same_keys`` for a large left side and a lookup table of unknown size.
+
+    The lookup table, which must be pinned or cheap, is counted up to the limit: within it
+    the table is broadcast and the left side stays where it is; beyond it both sides are
+    shuffled and AQE splits hot keys.
+    """
+    if not small_right:
+        small_right = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return same_keys(left, right, keys, how, small_right)

@@ -110,7 +110,7 @@ def q_history(spark, sf):
     folder = _new_folder(spark)
     t = Tables(spark, sf)
     history.save_result(prof.group_agg(t.orders, "o_orderstatus", "o_totalprice"), folder, "orders", "totals")
-    history.save_result(sales_ops.regional_analysis(sales_input(t)), folder, "sales", "regional")
+    history.save_result(sales_ops.regional_analysis(sales_input(t, "region", "revenue")), folder, "sales", "regional")
     rows = history.read_history(spark, folder, "regional")
     body = F.from_json("result_json", "region string, revenue double")
     return rows.select("sheet_name", "analysis_type", body["region"].alias("region"),

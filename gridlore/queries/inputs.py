@@ -7,36 +7,36 @@ from pyspark.sql import DataFrame, functions as F
 from gridlore.queries.registry import Tables
 
 
-def sales_input(t: Tables) -> DataFrame:
-    """One row per order line with customer, product, region and exact money columns.
+def sales_input(t: Tables, *wanted: str) -> DataFrame:
+    """One row per order line with exact money columns and the wanted roles, all by default.
 
-    nation is small by definition; the other joins are left to the optimizer, which
-    broadcasts what it measures to be small and shuffles the rest.
+    Only the tables those roles come from are joined (every key has its match, so leaving
+    a table out loses nothing). The optimizer broadcasts what it measures to be small and
+    shuffles the rest.
     """
-    lines = t.lineitem.select(
-        "l_orderkey", "l_partkey", "l_quantity",
-        F.col("l_extendedprice").cast("decimal(14,2)").alias("price"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-        F.col("l_tax").cast("decimal(4,2)").alias("tax"),
-    )
-    orders = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("date"))
-    customers = t.customer.select("c_custkey", "c_nationkey", F.col("c_name").alias("customer"))
-    nations = t.nation.select("n_nationkey", F.col("n_name").alias("region"))
-    parts = t.part.select("p_partkey", F.col("p_brand").alias("product"),
-                          F.col("p_type").alias("category"), F.col("p_name").alias("article"))
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            "customer", "product", "article", "category", "region", "date",
-            F.col("l_quantity").alias("quantity"),
-            (F.col("price") * (1 - F.col("discount"))).cast("decimal(18,4)").alias("revenue"),
-            (F.col("price") * (F.lit("0.40").cast("decimal(4,2)") - F.col("discount")))
-            .cast("decimal(18,4)").alias("profit"),
-        )
+    roles = set(wanted or ("customer", "product", "article", "category", "region", "date",
+                           "quantity", "revenue", "profit"))
+    price = F.col("l_extendedprice").cast("decimal(14,2)")
+    discount = F.col("l_discount").cast("decimal(4,2)")
+    rows = t.lineitem.select(
+        "l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"),
+        (price * (1 - discount)).cast("decimal(18,4)").alias("revenue"),
+        (price * (F.lit("0.40").cast("decimal(4,2)") - discount)).cast("decimal(18,4)").alias("profit"),
     )
+    if roles & {"customer", "region", "date"}:
+        orders = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("date"))
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if roles & {"customer", "region"}:
+        customers = t.customer.select("c_custkey", "c_nationkey", F.col("c_name").alias("customer"))
+        rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    if "region" in roles:
+        nations = t.nation.select("n_nationkey", F.col("n_name").alias("region"))
+        rows = rows.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    if roles & {"product", "article", "category"}:
+        parts = t.part.select("p_partkey", F.col("p_brand").alias("product"),
+                              F.col("p_type").alias("category"), F.col("p_name").alias("article"))
+        rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(*sorted(roles))
 
 
 SALES = """sales AS (

@@ -16,7 +16,7 @@ SELECT customer AS name, {rnd('rev')} AS revenue,
        {pct('rev', '(SELECT SUM(rev) FROM g)')} AS pct_total
 FROM g ORDER BY rev DESC, customer LIMIT 20""")
 def q_top_customers(spark, sf):
-    return ops.top_customers(sales_input(Tables(spark, sf)))
+    return ops.top_customers(sales_input(Tables(spark, sf), "customer", "revenue"))
 
 
 @query("customer_segments", f"""WITH {SALES},
@@ -30,7 +30,7 @@ SELECT names.segment, COUNT(rev) AS customers,
        {pct('COALESCE(SUM(rev), 0)', '(SELECT total FROM m)')} AS pct_revenue
 FROM names LEFT JOIN c USING (segment) GROUP BY names.segment""")
 def q_segments(spark, sf):
-    return ops.customer_segments(sales_input(Tables(spark, sf)))
+    return ops.customer_segments(sales_input(Tables(spark, sf), "customer", "revenue"))
 
 
 @query("pareto_share", f"""WITH {SALES},
@@ -41,7 +41,7 @@ SELECT COUNT(*) AS customers, COUNT(*) FILTER (WHERE running <= total * 0.8) AS
        {pct('COUNT(*) FILTER (WHERE running <= total * 0.8)', 'COUNT(*)')} AS pct_customers
 FROM r""")
 def q_pareto(spark, sf):
-    return ops.pareto_share(sales_input(Tables(spark, sf)))
+    return ops.pareto_share(sales_input(Tables(spark, sf), "customer", "revenue"))
 
 
 def _trend_sql(source: str, grain: str) -> str:
@@ -103,7 +103,7 @@ SELECT product, {rnd('rev')} AS revenue, {rnd('won')} AS profit,
        {pct('rev', '(SELECT SUM(rev) FROM g)')} AS pct_total
 FROM g ORDER BY rev DESC, product LIMIT 20""")
 def q_products(spark, sf):
-    return ops.product_performance(sales_input(Tables(spark, sf)), profit="profit")
+    return ops.product_performance(sales_input(Tables(spark, sf), "product", "revenue", "profit"), profit="profit")
 
 
 @query("regional_analysis", f"""WITH {SALES},
@@ -112,7 +112,7 @@ SELECT region, {rnd('rev')} AS revenue, n AS count,
        {pct('rev', '(SELECT SUM(rev) FROM g)')} AS pct_revenue
 FROM g ORDER BY rev DESC, region LIMIT 20""")
 def q_regions(spark, sf):
-    return ops.regional_analysis(sales_input(Tables(spark, sf)))
+    return ops.regional_analysis(sales_input(Tables(spark, sf), "region", "revenue"))
 
 
 def _pairs_sql(item: str) -> str:
@@ -125,7 +125,7 @@ GROUP BY 1, 2 ORDER BY frequency DESC, product_1, product_2 LIMIT 10"""
 
 @query("cross_sell_pairs", _pairs_sql("product"))
 def q_pairs(spark, sf):
-    return cross_sell_pairs(sales_input(Tables(spark, sf)))
+    return cross_sell_pairs(sales_input(Tables(spark, sf), "customer", "product"))
 
 
 @query("cross_sell_pairs_parts", """WITH
@@ -143,4 +143,4 @@ def q_pairs_parts(spark, sf):
 @query("sales_totals", f"""WITH {SALES}
 SELECT {rnd('SUM(revenue)')} AS total_revenue, COUNT(*) AS transactions FROM sales""")
 def q_totals(spark, sf):
-    return ops.sales_totals(sales_input(Tables(spark, sf)))
+    return ops.sales_totals(sales_input(Tables(spark, sf), "revenue"))
