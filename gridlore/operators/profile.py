@@ -78,10 +78,9 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None,
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = as_double(quoted(a)), as_double(quoted(b))
-        both = x.isNotNull() & y.isNotNull()
-        flat = (F.min(F.when(both, x)) == F.max(F.when(both, x))) | (
-            F.min(F.when(both, y)) == F.max(F.when(both, y)))
-        aggs.append(F.when(~flat, F.corr(x, y)).alias(f"r{i}"))
+        # not F.corr, which raises on a constant column in ANSI mode
+        spread = [F.stddev_pop(F.when(y.isNotNull(), x)), F.stddev_pop(F.when(x.isNotNull(), y))]
+        aggs.append(F.try_divide(F.covar_pop(x, y), spread[0] * spread[1]).alias(f"r{i}"))
     rows = F.array(*[
         F.struct(F.lit(a).alias("col_1"), F.lit(b).alias("col_2"), F.col(f"r{i}").alias("correlation"))
         for i, (a, b) in enumerate(pairs)
