@@ -1 +1 @@
-
+"""Column expressions and plan-time schema helpers."""

@@ -1 +1 @@
-
+"""The analyses, by domain."""

@@ -34,6 +34,10 @@ def latest_values(df: DataFrame, roles: Mapping[str, str] | None = None,
     ordering is hidden where a figure is null, so each takes its own last row.
     """
     found = detect_roles(df, "finance", roles)
+    return df.groupBy(*map(quoted, group_by)).agg(*_latest_picks(found, order_by))
+
+
+def _latest_picks(found: Mapping[str, str], order_by: Sequence[str] | None) -> list:
     order = list(order_by or ([found["date"]] if "date" in found else []))
     if not order:
         raise ValueError("an order is needed: give order_by or a date role")
@@ -44,8 +48,8 @@ def latest_values(df: DataFrame, roles: Mapping[str, str] | None = None,
             value = as_double(quoted(found[figure]))
             picks.append(F.max_by(value, F.when(value.isNotNull(), at)).alias(figure))
         else:
-            picks.append(F.first(F.lit(None).cast("double")).alias(figure))
-    return df.groupBy(*map(quoted, group_by)).agg(*picks)
+            picks.append(F.max(F.lit(None).cast("double")).alias(figure))
+    return picks
 
 
 def _metric(family, name, value, unit, verdict, when, digits=2):
@@ -58,14 +62,13 @@ def _rows(latest: DataFrame, metrics, group_by) -> DataFrame:
     return latest.select(*map(quoted, group_by), F.inline(F.array_compact(F.array(*metrics))))
 
 
-def profitability_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
-    """Gross, net and operating margin; without revenue the sign of the profit."""
+def _profitability_ratios() -> list:
     rev, cogs, profit, cost = (F.col(c) for c in ("revenue", "cogs", "profit", "expense"))
     sold = F.coalesce(rev > 0, F.lit(False))
     share = lambda part: F.try_divide(part * 100, rev)
     gross, net = share(rev - cogs), share(F.coalesce(profit, rev - cost))
     operating = share(rev - cogs - cost)
-    return _rows(latest, [
+    return [
         _metric("profitability", "gross_margin", gross, "%",
                 grade(gross, (40, "good"), (20, "fair"), otherwise="low"), sold),
         _metric("profitability", "net_margin", net, "%",
@@ -74,11 +77,10 @@ def profitability_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> Dat
                 grade(operating, (20, "good"), (10, "fair"), otherwise="low"), sold),
         _metric("profitability", "profit_indicator", profit, "currency",
                 grade(profit, (0, "positive"), otherwise="negative"), ~sold),
-    ], group_by)
+    ]
 
 
-def liquidity_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
-    """Current and quick ratio, or assets over liabilities where those are unknown."""
+def _liquidity_ratios() -> list:
     have, owe = F.col("current_asset"), F.col("current_liability")
     short = F.coalesce((owe > 0) & have.isNotNull(), F.lit(False))
     current = F.try_divide(have, owe)
@@ -86,34 +88,53 @@ def liquidity_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> DataFra
     all_owed = F.coalesce(F.col("liability") > 0, F.lit(False))
     solvency = F.try_divide(F.col("asset"), F.col("liability"))
     strict = lambda c: grade(c, (1.5, "healthy"), (1, "fair"), otherwise="low")
-    return _rows(latest, [
+    return [
         _metric("liquidity", "current_ratio", current, "x", strict(current), short),
         _metric("liquidity", "quick_ratio", quick, "x",
                 grade(quick, (1, "healthy"), (0.5, "fair"), otherwise="low"), short),
         _metric("liquidity", "solvency_ratio", solvency, "x", strict(solvency), ~short & all_owed),
-    ], group_by)
+    ]
 
 
-def efficiency_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
-    """Turnover of assets, inventory and receivables."""
+def _efficiency_ratios() -> list:
     rev = F.col("revenue")
     per = lambda base: F.try_divide(rev, F.col(base))
     on = lambda base: F.coalesce((rev > 0) & (F.col(base) > 0), F.lit(False))
     speed = lambda c, fast, normal: grade(c, (fast, "fast"), (normal, "normal"), otherwise="slow")
-    return _rows(latest, [
+    return [
         _metric("efficiency", "asset_turnover", per("asset"), "x",
                 grade(per("asset"), (1, "efficient"), otherwise="inefficient"), on("asset"), 4),
         _metric("efficiency", "inventory_turnover", per("inventory"), "x",
                 speed(per("inventory"), 6, 3), on("inventory")),
         _metric("efficiency", "receivables_turnover", per("receivable"), "x",
                 speed(per("receivable"), 12, 6), on("receivable")),
-    ], group_by)
+    ]
+
+
+def profitability_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
+    """Gross, net and operating margin; without revenue the sign of the profit."""
+    return _rows(latest, _profitability_ratios(), group_by)
+
+
+def liquidity_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
+    """Current and quick ratio, or assets over liabilities where those are unknown."""
+    return _rows(latest, _liquidity_ratios(), group_by)
+
+
+def efficiency_ratios(latest: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
+    """Turnover of assets, inventory and receivables."""
+    return _rows(latest, _efficiency_ratios(), group_by)
 
 
 def growth_metrics(df: DataFrame, roles: Mapping[str, str] | None = None,
                    group_by: Sequence[str] = (), tie_break: Sequence[str] = ()) -> DataFrame:
     """Revenue and profit growth, last against first by date (at least 2 dated values)."""
     found = detect_roles(df, "finance", roles)
+    ends = df.groupBy(*map(quoted, group_by)).agg(*_growth_picks(found, tie_break))
+    return _rows(ends, _growth_metrics(), group_by)
+
+
+def _growth_picks(found: Mapping[str, str], tie_break: Sequence[str]) -> list:
     if "date" not in found:
         raise ValueError("growth needs a date column")
     date = quoted(found["date"])
@@ -123,15 +144,14 @@ def growth_metrics(df: DataFrame, roles: Mapping[str, str] | None = None,
         at = F.when(value.isNotNull() & date.isNotNull(), F.struct(date, *map(quoted, tie_break)))
         picks += [F.count(at).alias(f"{figure}_n"), F.min_by(value, at).alias(f"{figure}_a"),
                   F.max_by(value, at).alias(f"{figure}_z")]
-    ends = df.groupBy(*map(quoted, group_by)).agg(*picks)
+    return picks
 
-    def rate(figure, first, last):
-        return F.try_divide((last - first) * 100, F.abs(first))
 
+def _growth_metrics() -> list:
     metrics = []
     for figure in ("revenue", "profit"):
         first, last = F.col(f"{figure}_a"), F.col(f"{figure}_z")
-        value = rate(figure, first, last)
+        value = F.try_divide((last - first) * 100, F.abs(first))
         usable = F.col(f"{figure}_n") >= 2
         if figure == "revenue":
             usable = usable & (first > 0)
@@ -139,7 +159,7 @@ def growth_metrics(df: DataFrame, roles: Mapping[str, str] | None = None,
             value = F.when(first != 0, value).when(last > 0, 100.0).when(last.isNotNull(), 0.0)
         verdict = grade(value, (0, "growing"), otherwise="declining")
         metrics.append(_metric("growth", f"{figure}_growth", value, "%", verdict, usable))
-    return _rows(ends, metrics, group_by)
+    return metrics
 
 
 def health_score(metrics: DataFrame, entities: DataFrame | None = None,
@@ -149,31 +169,44 @@ def health_score(metrics: DataFrame, entities: DataFrame | None = None,
     ``entities`` lists the groups to score; those without any metric stay at 50.
     """
     keys = [quoted(g) for g in group_by]
-    points = F.lit(0)
-    for (family, verdict), worth in POINTS.items():
-        hit = (F.col("family") == family) & (F.col("verdict") == verdict)
-        points = F.when(hit, worth).otherwise(points)
-    scored = metrics.select(*keys, points.cast("double").alias("p"))
+    points = _points(F.col("family"), F.col("verdict"))
+    scored = metrics.select(*keys, points.alias("p"))
     if entities is not None:
         scored = scored.unionByName(entities.select(*keys, F.lit(0.0).alias("p")))
-    total = F.lit(NEUTRAL) + F.coalesce(F.sum("p"), F.lit(0.0))
-    out = scored.groupBy(*keys).agg(
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)).alias("health_score"))
+    out = scored.groupBy(*keys).agg((F.lit(NEUTRAL) + F.coalesce(F.sum("p"), F.lit(0.0))).alias("__t"))
+    return out.select(*keys, *_levels(F.col("__t")))
+
+
+def _points(family, verdict):
+    known = ", ".join(f"'{f}:{v}', {float(p)}D" for (f, v), p in POINTS.items())
+    worth = F.try_element_at(F.expr(f"map({known})"), F.concat(family, F.lit(":"), verdict))
+    return F.coalesce(worth, F.lit(0.0))
+
+
+def _levels(total):
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
     level = F.lit("critical")
     for bound, name in reversed(LEVELS):
-        level = F.when(F.col("health_score") >= bound, name).otherwise(level)
-    return out.withColumn("health_level", level)
+        level = F.when(score >= bound, name).otherwise(level)
+    return score.alias("health_score"), level.alias("health_level")
 
 
 def financial_health(df: DataFrame, roles: Mapping[str, str] | None = None,
                      order_by: Sequence[str] | None = None, group_by: Sequence[str] = (),
                      tie_break: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Latest figures, all metrics in one table, and the score."""
+    """Latest figures, all metrics in one table, and the score.
+
+    One aggregate per entity yields everything; metrics and score are then expressions on
+    its row, so nothing is shuffled again.
+    """
     found = detect_roles(df, "finance", roles)
     order = list(order_by or ([found["date"], *tie_break] if "date" in found else []))
-    latest = latest_values(df, found, order, group_by)
-    metrics = profitability_ratios(latest, group_by).unionByName(
-        liquidity_ratios(latest, group_by)).unionByName(efficiency_ratios(latest, group_by))
+    picks, metrics = _latest_picks(found, order), [
+        *_profitability_ratios(), *_liquidity_ratios(), *_efficiency_ratios()]
     if "date" in found:
-        metrics = metrics.unionByName(growth_metrics(df, found, group_by, tie_break))
-    return {"latest": latest, "metrics": metrics, "score": health_score(metrics, latest, group_by)}
+        picks, metrics = picks + _growth_picks(found, tie_break), metrics + _growth_metrics()
+    keys = [quoted(g) for g in group_by]
+    wide = df.groupBy(*keys).agg(*picks).withColumn("__metrics", F.array_compact(F.array(*metrics)))
+    total = F.aggregate("__metrics", F.lit(NEUTRAL), lambda acc, m: acc + _points(m["family"], m["verdict"]))
+    return {"latest": wide.select(*keys, *FIGURES), "metrics": wide.select(*keys, F.inline("__metrics")),
+            "score": wide.select(*keys, *_levels(total))}

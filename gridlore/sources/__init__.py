@@ -1 +1 @@
-
+"""Reading and writing: files, typed ranges, JDBC, result history."""

@@ -1,0 +1 @@
+"""Empty on purpose: every analysis here works on bounded tables, none on a stream."""
