@@ -41,7 +41,8 @@ def _latest_picks(found: Mapping[str, str], order_by: Sequence[str] | None) -> l
     order = list(order_by or ([found["date"]] if "date" in found else []))
     if not order:
         raise ValueError("an order is needed: give order_by or a date role")
-    at = F.struct(*map(quoted, order))
+    # a single order column keeps the aggregate hash-based
+    at = quoted(order[0]) if len(order) == 1 else F.struct(*map(quoted, order))
     picks = []
     for figure in FIGURES:
         if figure in found:
@@ -141,7 +142,8 @@ def _growth_picks(found: Mapping[str, str], tie_break: Sequence[str]) -> list:
     picks = []
     for figure in ("revenue", "profit"):
         value = as_double(quoted(found[figure])) if figure in found else F.lit(None).cast("double")
-        at = F.when(value.isNotNull() & date.isNotNull(), F.struct(date, *map(quoted, tie_break)))
+        order = F.struct(date, *map(quoted, tie_break)) if tie_break else date
+        at = F.when(value.isNotNull() & date.isNotNull(), order)
         picks += [F.count(at).alias(f"{figure}_n"), F.min_by(value, at).alias(f"{figure}_a"),
                   F.max_by(value, at).alias(f"{figure}_z")]
     return picks

@@ -52,7 +52,7 @@ def timing_patterns(df: DataFrame, dates: Sequence[str] | None = None,
     when the column holds more than one time of day; the first of 2 date columns with hits.
     """
     dates = list(dates or columns_of(df, "date"))[:2]
-    clock = lambda c: F.date_format(c, "HH:mm:ss.SSSSSS")
+    clock = lambda c: F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(86_400_000_000))
     late = lambda c: (F.hour(c) >= NIGHT_FROM) | (F.hour(c) <= NIGHT_TO)
     stats = column_rows(df, dates, {
         "n": lambda c: F.count(c),

@@ -10,7 +10,7 @@ from gridlore.functions.numeric import as_double, mean_of, rounded
 from gridlore.functions.schema import columns_of
 from gridlore.operators.profile import correlations
 from gridlore.plans.position import position_trend
-from gridlore.plans.shape import column_rows, measured_join, melt_numeric, quoted, top_per
+from gridlore.plans.shape import column_rows, measured_join, melt_numeric, quoted, same_keys, top_per
 from gridlore.session import pin
 
 # Fixed values of the rules.
@@ -100,52 +100,66 @@ def few_valued(df: DataFrame, cols: Sequence[str], limit: int) -> list[str]:
 
 
 def category_means(df: DataFrame, cats: Sequence[str], metrics: Sequence[str],
-                   low: int, high: int) -> DataFrame:
-    """(cat_no, column, value, metric_no, metric, mean) for text columns with low to high
-    distinct values, one grouped pass for all of them."""
-    cats = [c for c in cats if c in few_valued(df, cats, high)]
+                   low: int, high: int, group_by: Sequence[str] = ()) -> DataFrame:
+    """(group_by, cat_no, column, value, metric_no, metric, mean) for text columns with low to
+    high distinct values (in the group), one grouped pass for all of them."""
+    # per group there may be few values where the whole table has many
+    cats = [c for c in cats if group_by or c in few_valued(df, cats, high)]
+    keys = [quoted(g) for g in group_by]
     if not cats or not metrics:
-        return df.sparkSession.createDataFrame(
-            [], "cat_no int, column string, value string, metric_no int, metric string, mean double")
+        empty = df.limit(0).select(*keys)
+        return empty.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in (
+            ("cat_no", "int"), ("column", "string"), ("value", "string"), ("metric_no", "int"),
+            ("metric", "string"), ("mean", "double"))])
     cells = F.array(*[F.struct(F.lit(i).alias("cat_no"), F.lit(c).alias("column"),
                                quoted(c).alias("value")) for i, c in enumerate(cats)])
     numbers = [as_double(quoted(m)).alias(f"m{j}") for j, m in enumerate(metrics)]
-    long = df.select(*numbers, F.inline(cells)).where(F.col("value").isNotNull())
-    per = long.groupBy("cat_no", "column", "value").agg(
+    long = df.select(*keys, *numbers, F.inline(cells)).where(F.col("value").isNotNull())
+    per = long.groupBy(*keys, "cat_no", "column", "value").agg(
         *[mean_of(F.col(f"m{j}")).alias(f"m{j}") for j in range(len(metrics))])
-    kept = per.groupBy("column").agg(F.count("*").alias("k")).where(F.col("k").between(low, high))
-    per = per.join(F.broadcast(kept.select("column")), "column", "left_semi")
+    by = [*group_by, "column"]
+    kept = per.groupBy(*map(quoted, by)).agg(F.count("*").alias("k")).where(F.col("k").between(low, high))
+    per = same_keys(per, kept.drop("k"), by, small_right=not group_by)
     pairs = F.array(*[F.struct(F.lit(j).alias("metric_no"), F.lit(m).alias("metric"),
                                F.col(f"m{j}").alias("mean")) for j, m in enumerate(metrics)])
-    return per.select("cat_no", "column", "value", F.inline(pairs)).where("mean is not null")
+    return per.select(*keys, "cat_no", "column", "value", F.inline(pairs)).where("mean is not null")
 
 
 def top_performers(df: DataFrame, cols: Sequence[str] | None = None,
-                   metrics: Sequence[str] | None = None) -> DataFrame:
+                   metrics: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """(column, metric, category, value, rank): per text column with 2 to 50 values and each
     of the first 3 numeric columns, the 5 categories with the highest mean."""
-    cats = list(cols or columns_of(df, "text"))
-    metrics = list(metrics or columns_of(df, "numeric")[:METRICS])
-    means = category_means(df, cats, metrics, 2, MAX_CATEGORIES)
-    best = top_per(means, ["column", "metric"], [F.desc("mean"), F.col("value")], TOP_CATEGORIES)
-    return best.select("column", "metric", F.col("value").alias("category"),
+    cats = list(cols or [c for c in columns_of(df, "text") if c not in group_by])
+    metrics = list(metrics or _numbers(df, None, group_by)[:METRICS])
+    means = category_means(df, cats, metrics, 2, MAX_CATEGORIES, group_by)
+    best = top_per(means, [*group_by, "column", "metric"], [F.desc("mean"), F.col("value")], TOP_CATEGORIES)
+    return best.select(*map(quoted, group_by), "column", "metric", F.col("value").alias("category"),
                        rounded(F.col("mean"), 4).alias("value"), "rank")
 
 
-def insight_counts(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def insight_counts(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
     """(name, value): rows, columns, columns per kind, and how many trends, anomalies and
-    correlations were found."""
-    sizes = [("columns", len(df.columns))]
-    sizes += [(f"{k}_columns", len(columns_of(df, k))) for k in ("numeric", "text", "date")]
-    fixed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).cast("bigint").alias("value"))
-                      for n, v in sizes])
-    out = df.agg(F.count("*").alias("r")).select(F.inline(F.concat(
-        F.array(F.struct(F.lit("rows").alias("name"), F.col("r").alias("value"))), fixed)))
-    found = {"trends": trends(df, order_by), "anomalies": anomalies_zscore(df),
-             "correlations": strong_correlations(df)}
+    correlations were found; each of them for every group, 0 included."""
+    keys = [quoted(g) for g in group_by]
+    zero = F.lit(0).cast("bigint")
+    sizes = {"columns": len(df.columns), **{
+        f"{k}_columns": len([c for c in columns_of(df, k) if c not in group_by]) for k in ("numeric", "text", "date")}}
+    found = {"trends": trends(df, order_by, group_by=group_by), "anomalies": anomalies_zscore(df, group_by=group_by),
+             "correlations": strong_correlations(df, group_by=group_by)}
+
+    def counted(frame, name):
+        marks = [F.lit(1 if n == name else 0).cast("bigint").alias(n) for n in ("rows", *found)]
+        return frame.select(*keys, *marks)
+
+    # one counter per finding next to the rows' own, summed in one aggregate
+    base = df.groupBy(*keys).agg(F.count("*").alias("rows")).select(*keys, "rows", *[zero.alias(n) for n in found])
     for name, part in found.items():
-        out = out.unionByName(part.agg(F.count("*").alias("value")).select(F.lit(name).alias("name"), "value"))
-    return out
+        base = base.unionByName(counted(part, name))
+    sums = base.groupBy(*keys).agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in ("rows", *found)])
+    facts = [("rows", F.col("rows")), *[(n, F.lit(v).cast("bigint")) for n, v in sizes.items()],
+             *[(n, F.col(n)) for n in found]]
+    return sums.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in facts])))
 
 
 def insights(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:

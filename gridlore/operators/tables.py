@@ -29,38 +29,40 @@ def detect_column_types(df: DataFrame) -> DataFrame:
     """(column, label): boolean, date, numeric, text or mixed.
 
     Boolean means two distinct values that both look like truth values; text counts as
-    numeric when more than 80 % of it parses.
+    numeric when more than 80 % of it parses. Runs one aggregate when called, and a second
+    one over the columns that may be boolean: there every value must be the smallest or
+    the largest, so no distinct values are collected.
     """
-    kinds = {c: kind for kind in ("numeric", "text", "date", "boolean")
-             for c in columns_of(df, kind)}
     if not df.columns:
         raise ValueError("no columns")
-
-    text_like = [c for c in df.columns if kinds.get(c) in ("numeric", "text")]
-    labels = []
-    if text_like:
-        looks = lambda c: F.lower(c.cast("string")).isin(*BOOLEAN_LIKE)
-        stats = column_rows(df, text_like, {
+    kinds = {c: kind for kind in ("numeric", "text", "date", "boolean") for c in columns_of(df, kind)}
+    words = [c for c in df.columns if kinds.get(c) in ("numeric", "text")]
+    looks = lambda c: F.lower(c.cast("string")).isin(*BOOLEAN_LIKE)
+    facts = {}
+    if words:
+        stats = column_rows(df, words, {
             "n": lambda c: F.count(c),
             "truthy": lambda c: F.coalesce(F.bool_and(looks(c)), F.lit(False)),
-            # only the spellings of ten short words can enter this set
-            "forms": lambda c: F.size(F.collect_set(F.when(looks(c), c.cast("string")))),
+            "low": lambda c: F.min(c.cast("string")),
+            "high": lambda c: F.max(c.cast("string")),
             "numbers": lambda c: F.count(number_from_text(c.cast("string"))),
         })
-        is_number = F.col("column").isin(*[c for c in text_like if kinds[c] == "numeric"]) \
-            if any(kinds[c] == "numeric" for c in text_like) else F.lit(False)
-        labels.append(stats.select("column", F.when(
-            F.col("truthy") & (F.col("forms") == 2), "boolean"
-        ).when(is_number, "numeric").when(
-            F.col("numbers") > F.col("n") * NUMERIC_SHARE, "numeric"
-        ).otherwise("text").alias("label")))
-    fixed = [(c, kinds.get(c, "mixed")) for c in df.columns if c not in text_like]
-    if fixed:
-        labels.append(df.sparkSession.createDataFrame(fixed, "column string, label string"))
-    out = labels[0]
-    for more in labels[1:]:
-        out = out.unionByName(more)
-    return out
+        facts = {r["column"]: r for r in stats.collect()}
+    maybe = [c for c, r in facts.items() if r["truthy"] and r["low"] != r["high"]]
+    others = {}
+    if maybe:
+        third = [F.count_if(~quoted(c).cast("string").isin(facts[c]["low"], facts[c]["high"])) for c in maybe]
+        others = dict(zip(maybe, df.agg(*third).first()))
+
+    def label(c):
+        kind = kinds.get(c, "mixed")
+        if others.get(c) == 0:
+            return "boolean"
+        if kind == "text":
+            return "numeric" if facts[c]["numbers"] > facts[c]["n"] * NUMERIC_SHARE else "text"
+        return kind
+
+    return df.sparkSession.createDataFrame([(c, label(c)) for c in df.columns], "column string, label string")
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:

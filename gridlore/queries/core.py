@@ -102,6 +102,12 @@ def q_dimensions(spark, sf):
     return prof.table_dimensions({n: getattr(t, n) for n in _BOOK})
 
 
+@query("load_saved", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def q_load_saved(spark, sf):
+    Tables(spark, sf).orders.createOrReplaceTempView("saved_orders")
+    return src.load_saved(spark, "saved_orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+
+
 @query("save_result_read_history", f"""WITH {SALES},
 g AS (SELECT region, SUM(revenue) AS rev FROM sales GROUP BY region)
 SELECT 'sales' AS sheet_name, 'regional' AS analysis_type, region, {rnd('rev')} AS revenue

@@ -95,6 +95,17 @@ def q_performers(spark, sf):
     return ins.top_performers(_lines(Tables(spark, sf)))
 
 
+@query("top_performers_by_group", union_all([
+    f"""SELECT * FROM (SELECT l_linestatus, '{c}' AS "column", '{m}' AS metric, {c} AS category, {rnd(f'AVG({m})', 4)} AS "value",
+CAST(ROW_NUMBER() OVER (PARTITION BY l_linestatus ORDER BY AVG({m}) DESC, {c}) AS INTEGER) AS "rank" FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY l_linestatus, {c}) WHERE "rank" <= 5""" for c in ("p_brand", "l_returnflag") for m in ("l_quantity", "l_discount")]))
+def q_performers_group(spark, sf):
+    t = Tables(spark, sf)
+    table = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_linestatus", "p_brand", "l_returnflag", "l_quantity", "l_discount")
+    return ins.top_performers(table, group_by=["l_linestatus"])
+
+
 _Z = " + ".join(f"(SELECT COUNT(*) FROM (SELECT ABS(({c} - AVG({c}) OVER ()) / STDDEV_SAMP({c}) OVER ()) AS z FROM x) WHERE z > 3)"
                 for c in ("o_orderkey", *_METRICS))
 _N = ("o_orderkey", *_METRICS)
