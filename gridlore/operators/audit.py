@@ -30,20 +30,23 @@ ISSUE = ("severity string, category string, sheet string, column string, row_fro
          "row_to bigint, n bigint")
 
 
-def _issue(frame: DataFrame, severity: str, category, sheet, column=None, row_from=None,
-           row_to=None, n=None) -> DataFrame:
+def _row(severity: str, category, sheet, column=None, row_from=None, row_to=None, n=None) -> Column:
     def cell(v, kind):
         if v is None:
             return F.lit(None).cast(kind)
         return (v if isinstance(v, Column) else F.lit(v)).cast(kind)
 
-    return frame.select(
+    return F.struct(
         F.lit(severity).alias("severity"), cell(category, "string").alias("category"),
         cell(sheet, "string").alias("sheet"), cell(column, "string").alias("column"),
         cell(row_from, "bigint").alias("row_from"), cell(row_to, "bigint").alias("row_to"),
         cell(n, "bigint").alias("n"))
 
 
+def _issue(frame: DataFrame, *row, **more) -> DataFrame:
+    return frame.select(F.inline(F.array(_row(*row, **more))))
+
+
 def _none(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ISSUE)
 
@@ -71,36 +74,60 @@ def inconsistent_columns(sheet: str, raw: DataFrame, cells: str, expected, row_n
     return _issue(wrong, "medium", "inconsistent_columns", sheet, row_from=number, row_to=number, n=size)
 
 
+def _columns_to_watch(df: DataFrame, names: Sequence[str]) -> list[str]:
+    return [c for c in columns_of(df, "numeric") if any(has_keyword(c, k) for k in names)]
+
+
+_FIGURES = {
+    "filled": lambda c: F.count(c),
+    "neg": lambda c: F.count_if(as_double(c) < 0),
+    **{name: (lambda c, p=pattern: F.count_if(c.rlike(p))) for name, pattern in ERROR_PATTERNS},
+}
+
+
+def _empty_rows(sheet) -> list[Column]:
+    return [F.when(F.col("filled") == 0, _row("medium", "empty_column", sheet, F.col("column"), n=F.col("rows")))]
+
+
+def _negative_rows(sheet) -> list[Column]:
+    return [F.when(F.col("neg") > 0, _row("medium", "unexpected_negative", sheet, F.col("column"), n=F.col("neg")))]
+
+
+def _text_rows(sheet) -> list[Column]:
+    return [F.when(F.col(name) > 0, _row("high", f"suspicious_text:{name}", sheet, F.col("column"), n=F.col(name)))
+            for name, _ in ERROR_PATTERNS]
+
+
+def _column_issues(df: DataFrame, cols: Sequence[str], figures: Sequence[str], rows: Sequence[Column],
+                   only: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    if not cols:
+        return _none(df.sparkSession)
+    stats = column_rows(df, cols, {f: _FIGURES[f] for f in figures}, extra={"rows": F.count("*")}, only=only)
+    return stats.select(F.inline(F.array_compact(F.array(*rows))))
+
+
 def empty_column(sheet: str, df: DataFrame) -> DataFrame:
     """Columns without any value."""
-    stats = column_rows(df, df.columns, {"filled": lambda c: F.count(c)},
-                        extra={"rows": F.count("*")})
-    return _issue(stats.where("filled = 0"), "medium", "empty_column", sheet, F.col("column"),
-                  n=F.col("rows"))
+    return _column_issues(df, df.columns, ["filled"], _empty_rows(sheet))
 
 
 def unexpected_negative(sheet: str, df: DataFrame,
                         names: Sequence[str] = NON_NEGATIVE_NAMES) -> DataFrame:
     """Numeric columns with values below 0 although a word of their name says otherwise."""
-    cols = [c for c in columns_of(df, "numeric") if any(has_keyword(c, k) for k in names)]
-    if not cols:
-        return _none(df.sparkSession)
-    stats = column_rows(df, cols, {"n": lambda c: F.count_if(as_double(c) < 0)}).where("n > 0")
-    return _issue(stats, "medium", "unexpected_negative", sheet, F.col("column"), n=F.col("n"))
+    return _column_issues(df, _columns_to_watch(df, names), ["neg"], _negative_rows(sheet))
 
 
 def suspicious_text(sheet: str, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Cells that show a spreadsheet error, per column and kind of error."""
-    cols = cols or columns_of(df, "text")
-    if not cols:
-        return _none(df.sparkSession)
-    stats = column_rows(df, cols, {
-        name: (lambda c, p=pattern: F.count_if(c.rlike(p))) for name, pattern in ERROR_PATTERNS})
-    hits = F.array(*[
-        F.struct(F.lit(f"suspicious_text:{name}").alias("category"), F.col(name).alias("n"))
-        for name, _ in ERROR_PATTERNS])
-    stats = stats.select("column", F.inline(hits)).where("n > 0")
-    return _issue(stats, "high", F.col("category"), sheet, F.col("column"), n=F.col("n"))
+    return _column_issues(df, cols or columns_of(df, "text"), [n for n, _ in ERROR_PATTERNS], _text_rows(sheet))
+
+
+def column_issues(sheet: str, df: DataFrame, names: Sequence[str] = NON_NEGATIVE_NAMES) -> DataFrame:
+    """Empty columns, unexpected negatives and suspicious texts in one pass."""
+    texts = columns_of(df, "text")
+    only = {"neg": _columns_to_watch(df, names), **{n: texts for n, _ in ERROR_PATTERNS}}
+    rows = [*_empty_rows(sheet), *_negative_rows(sheet), *_text_rows(sheet)]
+    return _column_issues(df, df.columns, list(_FIGURES), rows, only)
 
 
 def header_lint(catalogue: DataFrame, sheet: str = "table", ordinal: str = "ordinal",
@@ -158,8 +185,7 @@ def audit(spark: SparkSession, tables: Mapping[str, DataFrame], row_no: str = "r
     """
     parts = [empty_workbook(spark, tables)]
     for sheet, df in tables.items():
-        parts += [empty_sheet(sheet, df), empty_column(sheet, df), unexpected_negative(sheet, df),
-                  suspicious_text(sheet, df)]
+        parts += [empty_sheet(sheet, df), column_issues(sheet, df)]
         if row_no in df.columns:
             parts.append(merged_cell_gaps(sheet, df, row_no))
     if tables:

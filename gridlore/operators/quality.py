@@ -24,28 +24,97 @@ ISSUE = ("type string, severity string, column string, metric string, value doub
          "total bigint")
 
 
-def _issue(frame: DataFrame, kind: str, severity: Column, column: Column, metric,
-           value: Column, total: Column) -> DataFrame:
-    return frame.select(
-        F.lit(kind).alias("type"), severity.alias("severity"),
-        column.cast("string").alias("column"),
-        (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"),
+def _row(kind: str, severity, column, metric, value: Column, total: Column) -> Column:
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(
+        F.lit(kind).alias("type"), as_col(severity).alias("severity"),
+        as_col(column).cast("string").alias("column"), as_col(metric).alias("metric"),
         value.cast("double").alias("value"), total.cast("bigint").alias("total"))
 
 
+def _issue(frame: DataFrame, *row) -> DataFrame:
+    return frame.select(F.inline(F.array(_row(*row))))
+
+
 def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], ISSUE)
 
 
+# Checks that need figures of single columns only share one pass over the table. Each is
+# the figures it reads and the issue rows (null where all is well) made of them.
+
+
+def _filled(c):
+    return F.count(c)
+
+
+def _missing_rows() -> list[Column]:
+    gone = F.col("rows") - F.col("filled")
+    pct = percent(gone, F.col("rows"))
+    severity = F.when(pct > 50, "high").when(pct > 20, "medium").otherwise("low")
+    return [F.when(gone > 0, _row("missing_values", severity, F.col("column"), "missing_pct", pct, F.col("rows")))]
+
+
+def _negative_rows() -> list[Column]:
+    pct = percent(F.col("neg"), F.col("values"))
+    severity = F.when(pct > 5, "medium").otherwise("low")
+    return [F.when(F.col("neg") > 0, _row("invalid_data", severity, F.col("column"), "negative_pct", pct, F.col("values")))]
+
+
+def _token_rows() -> list[Column]:
+    return [F.when(F.col(f"t{i}") > 0, _row("invalid_data", "high", F.col("column"), t, F.col(f"t{i}"), F.col("filled")))
+            for i, t in enumerate(ERROR_TOKENS)]
+
+
+def _constant_rows() -> list[Column]:
+    distinct = F.when(F.col("filled") > 0, 1).otherwise(0)
+    return [F.when(F.col("same") == 1, _row("constant_column", "low", F.col("column"), "distinct", distinct, F.col("rows")))]
+
+
+_FIGURES = {
+    "filled": _filled,
+    "values": lambda c: F.count(as_double(c)),
+    "neg": lambda c: F.count_if(as_double(c) < 0),
+    "same": lambda c: F.coalesce((F.min(c) == F.max(c)).cast("int"), F.lit(1)),
+    **{f"t{i}": (lambda c, t=t: F.count_if(c.contains(t))) for i, t in enumerate(ERROR_TOKENS)},
+}
+_TOKEN_FIGURES = [f"t{i}" for i in range(len(ERROR_TOKENS))]
+
+
+def _column_issues(df: DataFrame, cols: Sequence[str], figures: Sequence[str], rows: Sequence[Column],
+                   only: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    if not cols:
+        return _none(df)
+    stats = column_rows(df, cols, {f: _FIGURES[f] for f in figures}, extra={"rows": F.count("*")}, only=only)
+    return stats.select(F.inline(F.array_compact(F.array(*rows))))
+
+
 def check_missing(df: DataFrame) -> DataFrame:
     """Columns with nulls: % missing; above 50 high, above 20 medium."""
-    stats = column_rows(df, df.columns, {"filled": lambda c: F.count(c)},
-                        extra={"rows": F.count("*")})
-    gone = F.col("rows") - F.col("filled")
-    stats = stats.withColumn("pct", percent(gone, F.col("rows"))).where(gone > 0)
-    severity = F.when(F.col("pct") > 50, "high").when(F.col("pct") > 20, "medium").otherwise("low")
-    return _issue(stats, "missing_values", severity, F.col("column"), "missing_pct",
-                  F.col("pct"), F.col("rows"))
+    return _column_issues(df, df.columns, ["filled"], _missing_rows())
+
+
+def check_negatives(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Numeric columns with values below 0; above 5 % of the values medium."""
+    return _column_issues(df, cols or columns_of(df, "numeric"), ["values", "neg"], _negative_rows())
+
+
+def check_error_tokens(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Cells holding a spreadsheet error text, per column and token, taken literally."""
+    return _column_issues(df, cols or columns_of(df, "text"), ["filled", *_TOKEN_FIGURES], _token_rows())
+
+
+def check_constant(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Columns with at most one distinct value: smallest equals largest, no count needed."""
+    return _column_issues(df, cols or df.columns, ["filled", "same"], _constant_rows())
+
+
+def check_columns(df: DataFrame) -> DataFrame:
+    """Missing cells, negatives, error tokens and constant columns in one pass."""
+    numbers, texts = columns_of(df, "numeric"), columns_of(df, "text")
+    only = {"values": numbers, "neg": numbers, **{t: texts for t in _TOKEN_FIGURES}}
+    rows = [*_missing_rows(), *_negative_rows(), *_token_rows(), *_constant_rows()]
+    return _column_issues(df, df.columns, list(_FIGURES), rows, only)
 
 
 def check_duplicates(df: DataFrame) -> DataFrame:
@@ -84,35 +153,6 @@ def check_outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None) -> Data
                   F.col("pct"), F.col("n"))
 
 
-def check_negatives(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Numeric columns with values below 0; above 5 % of the values medium."""
-    cols = cols or columns_of(df, "numeric")
-    if not cols:
-        return _none(df)
-    stats = column_rows(df, cols, {"n": lambda c: F.count(as_double(c)),
-                                   "neg": lambda c: F.count_if(as_double(c) < 0)})
-    stats = stats.where("neg > 0").withColumn("pct", percent(F.col("neg"), F.col("n")))
-    severity = F.when(F.col("pct") > 5, "medium").otherwise("low")
-    return _issue(stats, "invalid_data", severity, F.col("column"), "negative_pct",
-                  F.col("pct"), F.col("n"))
-
-
-def check_error_tokens(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Cells holding a spreadsheet error text, per column and token, taken literally."""
-    cols = cols or columns_of(df, "text")
-    if not cols:
-        return _none(df)
-    stats = column_rows(df, cols, {
-        "n": lambda c: F.count(c),
-        **{f"t{i}": (lambda c, t=t: F.count_if(c.contains(t))) for i, t in enumerate(ERROR_TOKENS)},
-    })
-    hits = F.array(*[F.struct(F.lit(t).alias("token"), F.col(f"t{i}").alias("hits"))
-                     for i, t in enumerate(ERROR_TOKENS)])
-    stats = stats.select("column", "n", F.inline(hits)).where("hits > 0")
-    return _issue(stats, "invalid_data", F.lit("high"), F.col("column"), F.col("token"),
-                  F.col("hits"), F.col("n"))
-
-
 def distinct_per_column(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """(column, rows, filled, distinct). Exact: values are grouped per column in one query
     and then counted, so no column's values meet in one task. ``approx`` uses a sketch."""
@@ -126,17 +166,6 @@ def distinct_per_column(df: DataFrame, cols: Sequence[str], approx: bool = False
         "distinct", F.coalesce("distinct", F.lit(0)))
 
 
-def check_constant(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Columns with at most one distinct value: smallest equals largest, no count needed."""
-    cols = cols or df.columns
-    stats = column_rows(df, cols, {"same": lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(True)),
-                                   "filled": lambda c: F.count(c)},
-                        extra={"rows": F.count("*")})
-    distinct = F.when(F.col("filled") > 0, 1).otherwise(0)
-    return _issue(stats.where("same"), "constant_column", F.lit("low"), F.col("column"),
-                  "distinct", distinct, F.col("rows"))
-
-
 def check_high_cardinality(df: DataFrame, cols: Sequence[str] | None = None,
                            approx: bool = False) -> DataFrame:
     """Text columns with more distinct values than max(50, half of the rows)."""
@@ -150,9 +179,8 @@ def check_high_cardinality(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """All checks together."""
-    checks = (check_missing, check_duplicates, check_outliers_iqr, check_negatives,
-              check_error_tokens, check_constant, check_high_cardinality)
+    """All checks together; those on single columns share one pass."""
+    checks = (check_columns, check_duplicates, check_outliers_iqr, check_high_cardinality)
     return reduce(DataFrame.unionByName, [check(df) for check in checks])
 
 

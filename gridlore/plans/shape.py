@@ -20,17 +20,21 @@ def column_rows(
     stats: Mapping[str, Callable[[Column], Column]],
     group_by: Sequence[str] = (),
     extra: Mapping[str, Column] | None = None,
+    only: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """One row per column (and group) with the given aggregates.
 
     All columns are aggregated side by side in one pass, without multiplying the input
     rows; the single wide row of each group is then split into rows. ``extra`` holds
-    whole-table aggregates repeated on each row.
+    whole-table aggregates repeated on each row; ``only`` limits a (whole-number) figure to
+    some of the columns and leaves it null for the others.
     """
-    extra = dict(extra or {})
+    extra, only = dict(extra or {}), dict(only or {})
+    missing = F.lit(None).cast("bigint")
     aggs = [expr.alias(f"x{k}") for k, expr in enumerate(extra.values())]
     for i, name in enumerate(cols):
-        aggs += [fn(quoted(name)).alias(f"s{i}_{j}") for j, fn in enumerate(stats.values())]
+        aggs += [fn(quoted(name)).alias(f"s{i}_{j}") for j, (stat, fn) in enumerate(stats.items())
+                 if name in only.get(stat, cols)]
     if not cols:
         raise ValueError("no columns to aggregate")
     wide = df.groupBy(*map(quoted, group_by)).agg(*aggs)
@@ -38,7 +42,8 @@ def column_rows(
         F.struct(
             F.lit(i).alias("column_no"),
             F.lit(name).alias("column"),
-            *[F.col(f"s{i}_{j}").alias(stat) for j, stat in enumerate(stats)],
+            *[(F.col(f"s{i}_{j}") if name in only.get(stat, cols) else missing).alias(stat)
+              for j, stat in enumerate(stats)],
         )
         for i, name in enumerate(cols)
     ])
