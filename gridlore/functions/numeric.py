@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -45,6 +45,12 @@ def as_double(col: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def without_nan(df: DataFrame, col: Column, name: str) -> Column:
+    """The column, NaN turned null if it is a floating one."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.when(~F.isnan(col), col) if floating else col
+
+
 def sample_skew(col: Column) -> Column:
     """Bias-corrected skewness (Spark's own is the population form)."""
     n = F.count(col).cast("double")

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridlore.functions.numeric import as_double, mean_of, percent, rounded
+from gridlore.functions.numeric import as_double, mean_of, percent, rounded, without_nan
 from gridlore.functions.schema import detect_roles
 from gridlore.plans.quantiles import column_quantiles
 from gridlore.plans.shape import quoted, top_per
@@ -117,7 +117,7 @@ def stock_totals(df: DataFrame, stock: str = "stock") -> DataFrame:
 def inventory(df: DataFrame, as_of: datetime, roles: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """Every inventory result the table has the columns for."""
     found = detect_roles(df, "inventory", roles)
-    table = df.select(*[quoted(c).alias(r) for r, c in found.items()])
+    table = df.select(*[without_nan(df, quoted(c), c).alias(r) for r, c in found.items()])
     out: dict[str, DataFrame] = {}
     if "stock" in found:
         out["stock_classes"] = stock_classes(table)

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridlore.functions.numeric import mean_of, rounded
+from gridlore.functions.numeric import mean_of, rounded, without_nan
 from gridlore.functions.schema import detect_roles
 from gridlore.plans.quantiles import column_quantiles, quantiles
 from gridlore.plans.shape import quoted, same_keys
@@ -134,7 +134,7 @@ def top_bottom_performers(df: DataFrame, employee: str = "employee", productivit
 def people(df: DataFrame, roles: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """Every people result the table has the columns for."""
     found = detect_roles(df, "people", roles)
-    table = df.select(*[quoted(c).alias(r) for r, c in found.items()])
+    table = df.select(*[without_nan(df, quoted(c), c).alias(r) for r, c in found.items()])
     has = set(found).issuperset
     out: dict[str, DataFrame] = {}
     if has({"salary"}):

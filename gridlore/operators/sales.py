@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridlore.functions.numeric import percent, rounded
+from gridlore.functions.numeric import percent, rounded, without_nan
 from gridlore.functions.schema import detect_roles
 from gridlore.plans.position import running_total
 from gridlore.plans.shape import quoted
@@ -22,7 +22,7 @@ WEEKLY_SPAN_DAYS = 180
 def sales_table(df: DataFrame, roles: Mapping[str, str] | None = None) -> DataFrame:
     """The table reduced to the sales roles it has, under the role names."""
     found = detect_roles(df, "sales", roles)
-    return df.select(*[quoted(col).alias(role) for role, col in found.items()])
+    return df.select(*[without_nan(df, quoted(col), col).alias(role) for role, col in found.items()])
 
 
 def _revenue_by(df: DataFrame, key: str, revenue: str, *more) -> DataFrame:
