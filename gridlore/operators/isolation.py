@@ -111,20 +111,30 @@ def forest_nodes(sample: DataFrame, width: int, seed: int) -> DataFrame:
     return sample.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, NODES)
 
 
+def pack_tree(nodes: pd.DataFrame) -> tuple:
+    """Arrays of one tree: a leaf leads to itself, so every row may take the same number
+    of steps. ``child`` holds the left and right child of node i at 2i and 2i + 1."""
+    feature, at = nodes["feature"].to_numpy(), nodes["node"].to_numpy()
+    leaf = feature < 0
+    child = np.empty(2 * len(nodes), dtype=np.int64)
+    child[0::2] = np.where(leaf, at, nodes["left"])
+    child[1::2] = np.where(leaf, at, nodes["right"])
+    cut = np.where(leaf, np.inf, nodes["cut"])
+    return np.where(leaf, 0, feature).astype(np.int64), cut, child, nodes["depth"].to_numpy(float)
+
+
 def path_score(values: np.ndarray, forest: list[tuple], rows_per_tree: int) -> np.ndarray:
     """2 ** (-mean path / expected path): near 1 for rows that are easy to isolate."""
-    total = np.zeros(len(values))
-    index = np.arange(len(values))
-    for feature, cut, left, right, depth in forest:
-        at = np.zeros(len(values), dtype=np.int32)
-        inner = index
-        while len(inner):
-            node = at[inner]
-            split = feature[node]
-            inner, node, split = inner[split >= 0], node[split >= 0], split[split >= 0]
-            below = values[inner, split] <= cut[node]
-            at[inner] = np.where(below, left[node], right[node])
-        total += depth[at]
+    rows, width = values.shape
+    flat, start = np.ascontiguousarray(values).ravel(), np.arange(rows) * width
+    steps = math.ceil(math.log2(max(rows_per_tree, 2)))
+    total = np.zeros(rows)
+    for feature, cut, child, depth in forest:
+        at = np.zeros(rows, dtype=np.int64)
+        for _ in range(steps):
+            right = flat.take(start + feature.take(at)) > cut.take(at)
+            at = child.take(2 * at + right)
+        total += depth.take(at)
     return np.exp2(-total / len(forest) / max(float(average_path(rows_per_tree)), 1e-12))
 
 
@@ -149,11 +159,7 @@ def score_rows(df: DataFrame, cols: Sequence[str] | None = None, seed: int = 42,
     rows = rows.withColumns({f: F.coalesce(f, F.lit(medians.get(f, 0.0))) for f in names})
     sample = _sample(rows, cols, n, trees, seed, key)
     nodes = forest_nodes(sample, k, seed).toPandas().sort_values(["tree", "node"])
-    forest = [
-        (g["feature"].to_numpy(np.int32), g["cut"].to_numpy(float), g["left"].to_numpy(np.int32),
-         g["right"].to_numpy(np.int32), g["depth"].to_numpy(float))
-        for _, g in nodes.groupby("tree")
-    ]
+    forest = [pack_tree(tree) for _, tree in nodes.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(forest)
     per_tree = min(SAMPLE, n)
 

@@ -496,3 +496,24 @@ def test_results_do_not_depend_on_partitions(spark, rows):
     for run in (lambda d: insights.trends(d, ["o_orderdate", "o_orderkey"]), lambda d: profile.numeric_summary(d),
                 lambda d: dashboard.kpis(d, ["o_orderdate", "o_orderkey"])):
         assert rows(run(df)) == rows(run(df.repartition(13)))
+
+
+def test_forest_scores_match_a_plain_walk():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    values = np.round(rng.normal(size=(256, 3)), 2)
+    trees = [isolation.grow_tree(values, t, 7) for t in range(4)]
+
+    def walk(tree, row):
+        node = tree.iloc[0]
+        while node["feature"] >= 0:
+            side = "left" if row[int(node["feature"])] <= node["cut"] else "right"
+            node = tree.iloc[int(node[side])]
+        return node["depth"]
+
+    rows = rng.normal(size=(40, 3)) * 2
+    want = [2 ** (-np.mean([walk(t, r) for t in trees]) / isolation.average_path(256)) for r in rows]
+    got = isolation.path_score(rows, [isolation.pack_tree(t) for t in trees], 256)
+    assert got == pytest.approx(want)
+    assert all((t["feature"] < 0).sum() == (t["feature"] >= 0).sum() + 1 for t in trees)
