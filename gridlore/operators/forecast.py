@@ -7,16 +7,21 @@ for the straight line, one Arrow group per series for the seasonal model.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridlore.functions.numeric import as_double, mean_of, number_from_text, rounded
 from gridlore.functions.schema import columns_of
 from gridlore.plans.shape import quoted, same_keys
 
+# The functions run in tasks travel with them: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the rules.
 PERIODS, PERIODS_MAX = 12, 120
 DAILY_GAP, WEEKLY_GAP = 2, 10

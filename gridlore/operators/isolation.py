@@ -8,10 +8,12 @@ Arrow batches where it lies.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridlore.functions.numeric import as_double, mean_of, rounded
@@ -20,6 +22,9 @@ from gridlore.operators.fraud import MIN_VALUES, anomalies_small
 from gridlore.plans.quantiles import column_quantiles
 from gridlore.plans.shape import quoted
 
+# The functions run in tasks travel with them: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the method.
 TREES = 100
 SAMPLE = 256
