@@ -41,7 +41,7 @@ NUM, DEN = 75, 100
 #: Coarse groups whose document counts order the shingles.
 COARSE = 1 << 16
 #: Coordinates of a point.
-DIMS = 32
+DIMS = 256
 #: Members under one shingle that one task step looks at; more are dealt into blocks.
 BLOCK = 4096
 #: Documents per salt of a shingle that very many documents hold.
@@ -341,15 +341,20 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
 # --- 5: verification -------------------------------------------------------------------------
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that meet the threshold, tested on points first and then on whole sets."""
-    a = sets.select(F.col("cls"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("found").alias("fa"))
-    b = sets.select(F.col("cls").alias("hub"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("found").alias("fb"))
-    both = pairs.join(a, "cls").join(b, "hub")
-    need = F.ceil((F.col("na") + F.col("nb")) * NUM / F.lit(NUM + DEN))
-    sized = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    shared = F.when(sized, F.when(bound >= need, F.size(F.array_intersect("fa", "fb"))))
-    return both.where(shared * DEN >= (F.col("na") + F.col("nb") - shared) * NUM).select("cls", "hub")
+    """The pairs that meet the threshold. Points travel first; whole sets only for pairs
+    whose sizes and summed minima allow the overlap."""
+    def beside(rows, *cols):
+        for side, name in (("cls", "a"), ("hub", "b")):
+            rows = rows.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{name}") for c in cols]), side)
+        return rows
+
+    n, m = F.col("n_a"), F.col("n_b")
+    sized = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
+    bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    need = F.ceil((n + m) * NUM / F.lit(NUM + DEN))
+    likely = beside(beside(pairs, "n").where(sized), "point").where(bound >= need).select("cls", "hub", "n_a", "n_b")
+    shared = F.size(F.array_intersect("found_a", "found_b"))
+    return beside(likely, "found").where(shared * DEN >= (n + m - shared) * NUM).select("cls", "hub")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,8 +382,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "cls", "n", F.coalesce("component", "cls").alias("comp"), "point",
         F.slice("found", F.lit(1), early(F.col("n")).cast("int")).alias("keys"))
     under = owned.select("cls", "comp", F.explode("keys").alias("key"))
-    mixed = under.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-    mixed = keep(mixed.where("lo <> hi").select("key", "k"), "mixed")
+    mixed = keep(_mixed_keys(under), "mixed")
     more = keep(_links(_tree_pairs(_blocks(under, owned, mixed)), sets), "links")
     comps = keep(components(links.union(more), "cls", "hub"), "components")
 
@@ -402,6 +406,15 @@ def _distinct_stars(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return first.union(second).select("cls", "hub").where("cls is not null").distinct()
 
 
+def _mixed_keys(under: DataFrame) -> DataFrame:
+    """(key, k) of keys with members of several components; of keys with the same members
+    (told by two XORs of hashes and their number) one stands for all."""
+    held = under.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
+    return held.where("lo <> hi").groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k")
+
+
 def _blocks(under: DataFrame, owned: DataFrame, mixed: DataFrame) -> DataFrame:
     """Members of mixed keys; more than BLOCK are dealt into blocks, each pair of which is a group."""
     n = F.ceil(F.col("k") / BLOCK).cast("int")
