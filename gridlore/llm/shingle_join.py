@@ -27,7 +27,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridlore.llm import tokens as _tokens
 from gridlore.llm.components import components
@@ -129,15 +129,16 @@ def _ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort(levels[(found & np.uint64(COARSE - 1)).astype(np.int64)] << np.uint64(58) | found)
 
 
-def early(n: int | Column):
-    """Shingles of a set of n among which a partner's must be: n - ceil(t n) + 1."""
-    if isinstance(n, int):
-        return n - -(-NUM * n // DEN) + 1
-    return n - F.ceil(n * NUM / F.lit(DEN)) + 1
+def early(n: int) -> int:
+    """Shingles of a set of n among which a partner must have one: n - ceil(t n) + 1."""
+    return n - -(-NUM * n // DEN) + 1
 
 
-def point(found: np.ndarray) -> np.ndarray:
-    return np.bincount((found >> np.uint64(20) & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
+def points(flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Count vector of every set."""
+    group = (flat >> np.uint64(20) & np.uint64(DIMS - 1)).astype(np.int64)
+    begins = np.concatenate([[0], ends[:-1]]).tolist()
+    return [np.bincount(group[a:b], minlength=DIMS).astype(np.int32) for a, b in zip(begins, ends.tolist())]
 
 
 # --- 1: classes and coarse counts -------------------------------------------------------
@@ -148,7 +149,8 @@ _SLICES = 256
 def _profiles(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, cls) and, per task, of coarse counts (slice, counts)."""
     def profile(batches):
-        names = ["doc_id", "n", "cls", "slice", "counts"]
+        names = ["doc_id", "n", "cls", "point", "slice", "counts"]
+        kind = pa.list_(pa.int32())
         total = np.zeros(COARSE, np.int64)
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text", 3_000_000):
@@ -156,15 +158,15 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 total += np.bincount((flat & np.uint64(COARSE - 1)).astype(np.int64), minlength=COARSE)
                 n = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array(n), pa.array(_digests(flat, ends)),
+                    batch.column("doc_id"), pa.array(n), pa.array(_digests(flat, ends)), pa.array(points(flat, ends), kind),
                     pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if total.any():
             parts = [x.tobytes() for x in total.reshape(_SLICES, -1)]
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()),
+                *[pa.nulls(_SLICES, pa.int64())] * 3, pa.nulls(_SLICES, kind),
                 pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(profile, "doc_id bigint, n bigint, cls bigint, slice int, counts binary")
+    return docs.mapInArrow(profile, "doc_id bigint, n bigint, cls bigint, point array<int>, slice int, counts binary")
 
 
 def _coarse(profiles: DataFrame) -> np.ndarray:
@@ -182,18 +184,19 @@ def _coarse(profiles: DataFrame) -> np.ndarray:
 
 # --- 2 and 3: early shingles and stars ----------------------------------------------------
 
-def _early_rows(docs: DataFrame, counts: np.ndarray, min_words: int = WORDS) -> DataFrame:
-    """(key, salt, cls) for the early shingles of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((_levels(counts), 1 + counts // SALT_ROWS))
+def _early_rows(docs: DataFrame, counts: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
+    """(key, salt, cls) for the early shingles of every document (of the filter's classes)."""
+    shared = docs.sparkSession.sparkContext.broadcast((_levels(counts), 1 + counts // SALT_ROWS, bits))
 
     def emit(batches):
-        levels, salts = shared.value
+        levels, salts, known = shared.value
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text", 3_000_000):
-                flat, ends = shingle_sets(batch.column("text"), min_words)
+                flat, ends = shingle_sets(batch.column("text"))
                 classes, begin, keys, owners = _digests(flat, ends), 0, [], []
-                for end, cls in zip(ends.tolist(), classes.tolist()):
-                    if end > begin:
+                wanted = np.ones(len(ends), bool) if known is None else _in_filter(known, classes)
+                for end, cls, want in zip(ends.tolist(), classes.tolist(), wanted.tolist()):
+                    if end > begin and want:
                         keys.append(_ordered(flat[begin:end], levels)[:early(end - begin)])
                         owners.append(np.full(len(keys[-1]), cls))
                     begin = end
@@ -252,27 +255,29 @@ def _bits(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, counts: np.ndarray, bits: np.ndarray, min_words: int = WORDS) -> DataFrame:
-    """(cls, n, point, found) of the classes in the filter, one row each."""
-    shared = docs.sparkSession.sparkContext.broadcast((_levels(counts), bits))
+def _in_filter(known: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    spot = classes & (FILTER_BITS - 1)
+    return (known[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(cls, found): the whole sets of the classes in the filter, one row each."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches):
-        levels, known = shared.value
+        known = shared.value
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text", 3_000_000):
-                flat, ends = shingle_sets(batch.column("text"), min_words)
+                flat, ends = shingle_sets(batch.column("text"))
                 classes, begins = _digests(flat, ends), np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                spot = classes & (FILTER_BITS - 1)
-                wanted = (known[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool) & (ends > begins)
+                wanted = _in_filter(known, classes) & (ends > begins)
                 _, once = np.unique(classes, return_index=True)
                 at = [i for i in once.tolist() if wanted[i]]
-                sets = [_ordered(flat[begins[i]:ends[i]], levels).view(np.int64) for i in at]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(classes[at]), pa.array(np.array([len(s) for s in sets], np.int64)),
-                    pa.array([point(s.view(np.uint64)).astype(np.int32) for s in sets], pa.list_(pa.int32())),
-                    pa.array(sets, pa.list_(pa.int64()))], ["cls", "n", "point", "found"])
+                    pa.array(classes[at]), pa.array([flat[begins[i]:ends[i]].view(np.int64) for i in at], pa.list_(pa.int64()))],
+                    ["cls", "found"])
 
-    rows = docs.select("text").mapInArrow(emit, "cls bigint, n bigint, point array<int>, found array<bigint>")
+    rows = docs.select("text").mapInArrow(emit, "cls bigint, found array<bigint>")
     return rows.dropDuplicates(["cls"])
 
 
@@ -340,21 +345,32 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
 
 # --- 5: verification -------------------------------------------------------------------------
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that meet the threshold. Points travel first; whole sets only for pairs
-    whose sizes and summed minima allow the overlap."""
-    def beside(rows, *cols):
-        for side, name in (("cls", "a"), ("hub", "b")):
-            rows = rows.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{name}") for c in cols]), side)
-        return rows
+def _beside(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
+    for side, name in (("cls", "a"), ("hub", "b")):
+        pairs = pairs.join(table.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{name}") for c in cols]), side)
+    return pairs
+
 
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, hub, n_a, n_b): pairs whose sizes and summed coordinate minima allow a link."""
     n, m = F.col("n_a"), F.col("n_b")
-    sized = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
+    sized = _beside(pairs, classes, "n").where((n * DEN >= m * NUM) & (m * DEN >= n * NUM))
     bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
     need = F.ceil((n + m) * NUM / F.lit(NUM + DEN))
-    likely = beside(beside(pairs, "n").where(sized), "point").where(bound >= need).select("cls", "hub", "n_a", "n_b")
+    return _beside(sized, classes, "point").where(bound >= need).select("cls", "hub", "n_a", "n_b")
+
+
+def _links(docs: DataFrame, likely: DataFrame) -> DataFrame:
+    """The likely pairs that meet the threshold on their whole sets, which only their
+    classes' documents are read again for."""
+    sets = keep(_sets(docs, _bits(_ends(likely))), "sets")
     shared = F.size(F.array_intersect("found_a", "found_b"))
-    return beside(likely, "found").where(shared * DEN >= (n + m - shared) * NUM).select("cls", "hub")
+    union = F.col("n_a") + F.col("n_b") - shared
+    return keep(_beside(likely, sets, "found").where(shared * DEN >= union * NUM).select("cls", "hub"), "links")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("cls").union(pairs.select("hub"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,19 +387,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = profiles.where("slice is null").select("doc_id", "n", "cls")
     counts = _coarse(profiles)
 
-    stars = keep(_distinct_stars(docs, counts), "stars")
-    pairs = stars.where("cls is not null").select("cls", "hub")
-    known = pairs.select("cls").union(pairs.select("hub"))
-    sets = keep(_sets(docs, counts, _bits(known)), "sets")
-    links = keep(_links(pairs, sets), "links")
+    classes = keep(profiles.where("n > 0").select("cls", "n", "point").dropDuplicates(["cls"]), "classes")
+
+    pairs = keep(_distinct_stars(docs, counts), "stars")
+    links = _links(docs, keep(_likely(pairs, classes), "likely"))
     comps = keep(components(links, "cls", "hub"), "components")
 
-    owned = sets.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "n", F.coalesce("component", "cls").alias("comp"), "point",
-        F.slice("found", F.lit(1), early(F.col("n")).cast("int")).alias("keys"))
-    under = owned.select("cls", "comp", F.explode("keys").alias("key"))
-    mixed = keep(_mixed_keys(under), "mixed")
-    more = keep(_links(_tree_pairs(_blocks(under, owned, mixed)), sets), "links")
+    under = _early_rows(docs, counts, _bits(_ends(pairs))).select("key", "cls").distinct()
+    under = keep(under.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "key", "cls", F.coalesce("component", "cls").alias("comp")), "early")
+    tree = keep(_tree_pairs(_blocks(under, classes, keep(_mixed_keys(under), "mixed"))), "tree")
+    more = _links(docs, _beside(tree, classes, "n"))
     comps = keep(components(links.union(more), "cls", "hub"), "components")
 
     ids = rows.groupBy("cls", (F.col("n") > 0).alias("linked")).agg(F.min("doc_id").alias("first"))
@@ -415,7 +429,7 @@ def _mixed_keys(under: DataFrame) -> DataFrame:
     return held.where("lo <> hi").groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k")
 
 
-def _blocks(under: DataFrame, owned: DataFrame, mixed: DataFrame) -> DataFrame:
+def _blocks(under: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame:
     """Members of mixed keys; more than BLOCK are dealt into blocks, each pair of which is a group."""
     n = F.ceil(F.col("k") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("cls"), n).cast("int")
@@ -423,4 +437,4 @@ def _blocks(under: DataFrame, owned: DataFrame, mixed: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
     spread = held.select("cls", "comp", "key", "block", F.inline(pairs))
-    return spread.join(owned.select("cls", "n", "point"), "cls")
+    return spread.join(classes, "cls")
