@@ -184,64 +184,61 @@ def _coarse(profiles: DataFrame) -> np.ndarray:
 
 # --- 2 and 3: early shingles and stars ----------------------------------------------------
 
-def _early_rows(docs: DataFrame, counts: np.ndarray, bits: np.ndarray | None = None) -> DataFrame:
-    """(key, salt, cls) for the early shingles of every document (of the filter's classes)."""
-    shared = docs.sparkSession.sparkContext.broadcast((_levels(counts), 1 + counts // SALT_ROWS, bits))
+def _early_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, salt, cls, n) for the early shingles of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast((_levels(counts), 1 + counts // SALT_ROWS))
 
     def emit(batches):
-        levels, salts, known = shared.value
+        levels, salts = shared.value
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text", 3_000_000):
                 flat, ends = shingle_sets(batch.column("text"))
-                classes, begin, keys, owners = _digests(flat, ends), 0, [], []
-                wanted = np.ones(len(ends), bool) if known is None else _in_filter(known, classes)
-                for end, cls, want in zip(ends.tolist(), classes.tolist(), wanted.tolist()):
-                    if end > begin and want:
+                classes, begin, keys, at = _digests(flat, ends), 0, [], []
+                _, once = np.unique(classes, return_index=True)
+                sizes, once = np.diff(ends, prepend=0), set(once.tolist())
+                for i, end in enumerate(ends.tolist()):
+                    if end > begin and i in once:
                         keys.append(_ordered(flat[begin:end], levels)[:early(end - begin)])
-                        owners.append(np.full(len(keys[-1]), cls))
+                        at.append(np.full(len(keys[-1]), i))
                     begin = end
                 if keys:
-                    key, owner = np.concatenate(keys), np.concatenate(owners)
+                    key, at = np.concatenate(keys), np.concatenate(at)
+                    owner = classes[at]
                     n = salts[(key & np.uint64(COARSE - 1)).astype(np.int64)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.astype(np.int64)), pa.array((owner % n).astype(np.int32)), pa.array(owner)],
-                        ["key", "salt", "cls"])
+                        [pa.array(key.astype(np.int64)), pa.array(np.where(n > 1, 1 + owner % n, 0).astype(np.int32)), pa.array(owner),
+                         pa.array(sizes[at].astype(np.int32))], ["key", "salt", "cls", "n"])
 
-    return docs.select("text").mapInArrow(emit, "key bigint, salt int, cls bigint")
+    return docs.select("text").mapInArrow(emit, "key bigint, salt int, cls bigint, n int")
 
 
 def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, hub, cls): the members of every key beside its first one; (key, hub, null) for
-    the hubs of salted keys. One pass over sorted rows, holding one row at a time."""
+    """(key, hub, n_b, cls, n_a): the members of every key beside its first one; a first one
+    that stands for a salt beside itself. One pass over sorted rows that holds one batch."""
     def run(batches):
-        old_key = old_hub = None
+        old, old_hub = None, (0, 0)
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(k).to_numpy() for k in keys]
-            cls = batch.column("cls").to_numpy()
+            cls, n = batch.column("cls").to_numpy(), batch.column("n").to_numpy()
             new = np.ones(len(cls), bool)
-            same = np.ones(len(cls) - 1, bool)
-            for c in cols:
-                same &= c[1:] == c[:-1]
-            new[1:] = ~same
-            new[0] = old_key != tuple(c[0] for c in cols)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            new[0] = old != tuple(c[0] for c in cols)
             at = np.flatnonzero(new)
-            owner = np.searchsorted(at, np.arange(len(cls)), side="right") - 1
-            hub = np.where(owner >= 0, cls[at[np.maximum(owner, 0)]] if len(at) else 0, old_hub if old_hub is not None else 0)
-            member = hub != cls
-            member[1:] &= (cls[1:] != cls[:-1]) | new[1:]
-            salted = (cols[1] > 0) & new if len(cols) > 1 else np.zeros(len(cls), bool)
-            first = new & (cols[1] == 0) if len(cols) > 1 else np.zeros(len(cls), bool)
-            tell = salted | first if salted.any() else salted
-            keep_ = np.flatnonzero(member | tell)
+            owner = np.searchsorted(at, np.arange(len(cls)), side="right")
+            hub = np.concatenate([[old_hub[0]], cls[at]])[owner]
+            size = np.concatenate([[old_hub[1]], n[at]])[owner]
+            told = hub != cls
+            told[1:] &= (cls[1:] != cls[:-1]) | new[1:]
+            if len(cols) > 1:
+                told |= new & (cols[1] > 0)
+            old, old_hub = tuple(c[-1] for c in cols), (hub[-1], size[-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0][keep_]), pa.array(hub[keep_]), pa.array(cls[keep_], mask=~member[keep_])],
-                ["key", "hub", "cls"])
-            old_key, old_hub = tuple(c[-1] for c in cols), hub[-1]
+                [pa.array(x[told]) for x in (cols[0], hub, size.astype(np.int32), cls, n)], ["key", "hub", "n_b", "cls", "n_a"])
 
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "cls")
-    return ordered.mapInArrow(run, "key bigint, hub bigint, cls bigint")
+    return ordered.mapInArrow(run, "key bigint, hub bigint, n_b int, cls bigint, n_a int")
 
 
 def _bits(classes: DataFrame) -> np.ndarray:
@@ -334,13 +331,14 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
             found = found[(labels[found] == busy) | (found > i)]
             if two:
                 found = found[block[found] != block[i]]
-            left.append(np.full(len(found), cls[i]))
-            right.append(cls[found])
+            left.append(np.full(len(found), i))
+            right.append(found)
         a = np.concatenate(left) if left else np.empty(0, np.int64)
         b = np.concatenate(right) if right else np.empty(0, np.int64)
-        return pa.table({"cls": np.minimum(a, b), "hub": np.maximum(a, b)})
+        a, b = np.where(cls[a] < cls[b], a, b), np.where(cls[a] < cls[b], b, a)
+        return pa.table({"cls": cls[a], "hub": cls[b], "n_a": sizes[a].astype(np.int32), "n_b": sizes[b].astype(np.int32)})
 
-    return members.groupBy("key", "low", "high").applyInArrow(search, "cls bigint, hub bigint").distinct()
+    return members.groupBy("key", "low", "high").applyInArrow(search, "cls bigint, hub bigint, n_a int, n_b int").distinct()
 
 
 # --- 5: verification -------------------------------------------------------------------------
@@ -351,13 +349,27 @@ def _beside(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
     return pairs
 
 
+def _sized(pairs: DataFrame) -> DataFrame:
+    n, m = F.col("n_a").cast("bigint"), F.col("n_b").cast("bigint")
+    return pairs.where((n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (F.col("cls") != F.col("hub")))
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, hub, n_a, n_b): pairs whose sizes and summed coordinate minima allow a link."""
-    n, m = F.col("n_a"), F.col("n_b")
-    sized = _beside(pairs, classes, "n").where((n * DEN >= m * NUM) & (m * DEN >= n * NUM))
+    """The pairs (of fitting sizes) whose summed coordinate minima allow a link."""
     bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    need = F.ceil((n + m) * NUM / F.lit(NUM + DEN))
-    return _beside(sized, classes, "point").where(bound >= need).select("cls", "hub", "n_a", "n_b")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / F.lit(NUM + DEN))
+    near = _beside(pairs, _filtered(classes, _bits(_ends(pairs))), "point")
+    return near.where(bound >= need).select("cls", "hub", "n_a", "n_b")
+
+
+def _filtered(classes: DataFrame, bits: np.ndarray) -> DataFrame:
+    shared = classes.sparkSession.sparkContext.broadcast(bits)
+
+    def choose(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_filter(shared.value, batch.column("cls").to_numpy())))
+
+    return classes.mapInArrow(choose, classes.schema)
 
 
 def _links(docs: DataFrame, likely: DataFrame) -> DataFrame:
@@ -389,15 +401,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     classes = keep(profiles.where("n > 0").select("cls", "n", "point").dropDuplicates(["cls"]), "classes")
 
-    pairs = keep(_distinct_stars(docs, counts), "stars")
+    stars = _all_stars(docs, counts)
+    pairs = keep(_sized(stars).select("cls", "hub", "n_a", "n_b").distinct(), "pairs")
     links = _links(docs, keep(_likely(pairs, classes), "likely"))
-    comps = keep(components(links, "cls", "hub"), "components")
+    comps = components(links, "cls", "hub").withColumnRenamed("node", "cls")
 
-    under = _early_rows(docs, counts, _bits(_ends(pairs))).select("key", "cls").distinct()
-    under = keep(under.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "cls", F.coalesce("component", "cls").alias("comp")), "early")
-    tree = keep(_tree_pairs(_blocks(under, classes, keep(_mixed_keys(under), "mixed"))), "tree")
-    more = _links(docs, _beside(tree, classes, "n"))
+    # a key's hub has met all its members, so only pairs of other members are open
+    under = keep(stars.select("key", "cls").join(comps, "cls", "left").select(
+        "key", "cls", F.coalesce("component", "cls").alias("comp")), "under")
+    tree = _tree_pairs(_blocks(under, classes, keep(_mixed_keys(under), "mixed")))
+    more = _links(docs, keep(tree, "tree"))
     comps = keep(components(links.union(more), "cls", "hub"), "components")
 
     ids = rows.groupBy("cls", (F.col("n") > 0).alias("linked")).agg(F.min("doc_id").alias("first"))
@@ -410,14 +423,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _distinct_stars(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Star pairs of all keys, and of the hubs of salted keys among each other."""
-    first = _stars(_early_rows(docs, counts), ["key", "salt"])
+def _all_stars(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Stars of all keys, and of the first ones of salted keys among each other."""
+    stars = keep(_stars(_early_rows(docs, counts), ["key", "salt"]), "stars")
     if not (counts >= SALT_ROWS).any():
-        return first.select("cls", "hub").where("cls is not null").distinct()
-    first = keep(first, "salted")
-    second = _stars(first.select("key", F.col("hub").alias("cls")).distinct(), ["key"])
-    return first.union(second).select("cls", "hub").where("cls is not null").distinct()
+        return stars
+    firsts = stars.select("key", F.col("hub").alias("cls"), F.col("n_b").alias("n")).distinct()
+    return stars.union(keep(_stars(firsts, ["key"]), "stars"))
 
 
 def _mixed_keys(under: DataFrame) -> DataFrame:
