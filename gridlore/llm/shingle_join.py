@@ -40,8 +40,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Coarse groups whose document counts order the shingles.
 COARSE = 1 << 16
-#: Coordinates of a point.
-DIMS = 256
+#: Coordinates of a point, and of that of a set of more than LONG shingles.
+DIMS, FINE_DIMS, LONG = 256, 2048, 1024
 #: Members under one shingle that one task step looks at; more are dealt into blocks.
 BLOCK = 4096
 #: Documents per salt of a shingle that very many documents hold.
@@ -135,10 +135,24 @@ def early(n: int) -> int:
 
 
 def points(flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Count vector of every set."""
-    group = (flat >> np.uint64(20) & np.uint64(DIMS - 1)).astype(np.int64)
-    begins = np.concatenate([[0], ends[:-1]]).tolist()
-    return [np.bincount(group[a:b], minlength=DIMS).astype(np.int32) for a, b in zip(begins, ends.tolist())]
+    """Count vector of every set; a fine one folds to a coarse one of the same groups."""
+    group = (flat >> np.uint64(20) & np.uint64(FINE_DIMS - 1)).astype(np.int64)
+    out = []
+    for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+        dims = FINE_DIMS if b - a > LONG else DIMS
+        out.append(np.bincount(group[a:b] & (dims - 1), minlength=dims).astype(np.int32))
+    return out
+
+
+def folded(point: np.ndarray) -> np.ndarray:
+    return point.reshape(-1, DIMS).sum(axis=0)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Most shingles that two sets can share: the sum of the coordinate minima."""
+    if len(a) != len(b):
+        a, b = folded(a), folded(b)
+    return int(np.minimum(a, b).sum())
 
 
 # --- 1: classes and coarse counts -------------------------------------------------------
@@ -257,25 +271,30 @@ def _in_filter(known: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (known[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
 
 
-def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(cls, found): the whole sets of the classes in the filter, one row each."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, found): whole sets of the pairs' classes, read again from one document each.
+
+    A class whose document has a copy with the same doc_id may come twice, which only
+    repeats links.
+    """
+    chosen = _filtered(classes.select("cls", "doc_id"), _bits(_ends(pairs)))
+    told = chosen.select(F.xxhash64("cls", F.coalesce("doc_id", F.lit(-1))).alias("cls"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(told))
 
     def emit(batches):
-        known = shared.value
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text", 3_000_000):
                 flat, ends = shingle_sets(batch.column("text"))
-                classes, begins = _digests(flat, ends), np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wanted = _in_filter(known, classes) & (ends > begins)
-                _, once = np.unique(classes, return_index=True)
-                at = [i for i in once.tolist() if wanted[i]]
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(classes[at]), pa.array([flat[begins[i]:ends[i]].view(np.int64) for i in at], pa.list_(pa.int64()))],
-                    ["cls", "found"])
+                    batch.column("doc_id"), pa.array(_digests(flat, ends)),
+                    pa.array([flat[a:b].view(np.int64) for a, b in zip(begins, ends)], pa.list_(pa.int64()))],
+                    ["doc_id", "cls", "found"])
 
-    rows = docs.select("text").mapInArrow(emit, "cls bigint, found array<bigint>")
-    return rows.dropDuplicates(["cls"])
+    known = F.xxhash64("cls", F.coalesce("doc_id", F.lit(-1)))
+    rows = docs.mapInArrow(emit, "doc_id bigint, cls bigint, found array<bigint>")
+    rows = rows.where(F.size("found") > 0).select("cls", "found", known.alias("mark"))
+    return _filtered(rows, shared.value, "mark").select("cls", "found")
 
 
 # --- 4: R-tree ------------------------------------------------------------------------------
@@ -299,8 +318,9 @@ class PointTree:
         self.label = np.where(first == last, first, -1)
         self.points, self.sizes, self.labels = points, sizes, labels
 
-    def search(self, q: np.ndarray, size: int, label: int) -> np.ndarray:
-        """Rows of another label whose summed minima with ``q`` reach the needed overlap."""
+    def search(self, row: int) -> np.ndarray:
+        """Rows of another label whose summed minima with a row's reach the needed overlap."""
+        q, size, label = self.points[row], int(self.sizes[row]), self.labels[row]
         need = needed(size, np.maximum(self.least, -(-NUM * size // DEN)))
         open_ = (self.label != label) & (self.most * DEN >= NUM * size) & (self.least * NUM <= DEN * size)
         nodes = np.flatnonzero(open_)
@@ -310,8 +330,7 @@ class PointTree:
         at = (nodes[:, None] * self.leaf + np.arange(self.leaf)).reshape(-1)
         rows = self.rows[at[at < len(self.rows)]]
         rows = rows[self.labels[rows] != label]
-        bound = np.minimum(self.points[rows], q).sum(axis=1)
-        return rows[bound >= needed(size, self.sizes[rows])]
+        return rows[np.minimum(self.points[rows], q).sum(axis=1) >= needed(size, self.sizes[rows])]
 
 
 def _tree_pairs(members: DataFrame) -> DataFrame:
@@ -327,7 +346,7 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
         for i in range(len(cls)):
             if labels[i] == busy:
                 continue
-            found = tree.search(points[i], int(sizes[i]), labels[i])
+            found = tree.search(i)
             found = found[(labels[found] == busy) | (found > i)]
             if two:
                 found = found[block[found] != block[i]]
@@ -356,26 +375,32 @@ def _sized(pairs: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (of fitting sizes) whose summed coordinate minima allow a link."""
-    bound = F.aggregate(F.zip_with("point_a", "point_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * NUM / F.lit(NUM + DEN))
-    near = _beside(pairs, _filtered(classes, _bits(_ends(pairs))), "point")
-    return near.where(bound >= need).select("cls", "hub", "n_a", "n_b")
+    def near(batches):
+        for batch in batches:
+            need = needed(batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64))
+            ok = [bound(a.values.to_numpy(), b.values.to_numpy()) >= n for a, b, n in zip(
+                batch.column("point_a"), batch.column("point_b"), need)]
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
+
+    names = ["cls", "hub", "n_a", "n_b"]
+    beside = _beside(pairs, _filtered(classes.select("cls", "point"), _bits(_ends(pairs))), "point")
+    return beside.mapInArrow(near, "cls bigint, hub bigint, n_a int, n_b int")
 
 
-def _filtered(classes: DataFrame, bits: np.ndarray) -> DataFrame:
-    shared = classes.sparkSession.sparkContext.broadcast(bits)
+def _filtered(rows: DataFrame, bits: np.ndarray, by: str = "cls") -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def choose(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in_filter(shared.value, batch.column("cls").to_numpy())))
+            yield batch.filter(pa.array(_in_filter(shared.value, batch.column(by).to_numpy())))
 
-    return classes.mapInArrow(choose, classes.schema)
+    return rows.mapInArrow(choose, rows.schema)
 
 
-def _links(docs: DataFrame, likely: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, likely: DataFrame, classes: DataFrame) -> DataFrame:
     """The likely pairs that meet the threshold on their whole sets, which only their
     classes' documents are read again for."""
-    sets = keep(_sets(docs, _bits(_ends(likely))), "sets")
+    sets = keep(_sets(docs, likely, classes), "sets")
     shared = F.size(F.array_intersect("found_a", "found_b"))
     union = F.col("n_a") + F.col("n_b") - shared
     return keep(_beside(likely, sets, "found").where(shared * DEN >= union * NUM).select("cls", "hub"), "links")
@@ -399,18 +424,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = profiles.where("slice is null").select("doc_id", "n", "cls")
     counts = _coarse(profiles)
 
-    classes = keep(profiles.where("n > 0").select("cls", "n", "point").dropDuplicates(["cls"]), "classes")
+    classes = keep(profiles.where("n > 0").select("cls", "n", "doc_id", "point").dropDuplicates(["cls"]), "classes")
 
     stars = _all_stars(docs, counts)
     pairs = keep(_sized(stars).select("cls", "hub", "n_a", "n_b").distinct(), "pairs")
-    links = _links(docs, keep(_likely(pairs, classes), "likely"))
+    links = _links(docs, keep(_likely(pairs, classes), "likely"), classes)
     comps = components(links, "cls", "hub").withColumnRenamed("node", "cls")
 
     # a key's hub has met all its members, so only pairs of other members are open
     under = keep(stars.select("key", "cls").join(comps, "cls", "left").select(
         "key", "cls", F.coalesce("component", "cls").alias("comp")), "under")
     tree = _tree_pairs(_blocks(under, classes, keep(_mixed_keys(under), "mixed")))
-    more = _links(docs, keep(tree, "tree"))
+    more = _links(docs, keep(_likely(keep(tree, "tree"), classes), "likely"), classes)
     comps = keep(components(links.union(more), "cls", "hub"), "components")
 
     ids = rows.groupBy("cls", (F.col("n") > 0).alias("linked")).agg(F.min("doc_id").alias("first"))
@@ -441,6 +466,16 @@ def _mixed_keys(under: DataFrame) -> DataFrame:
     return held.where("lo <> hi").groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k")
 
 
+def _coarse_points(classes: DataFrame) -> DataFrame:
+    def fold(batches):
+        for batch in batches:
+            small = [folded(p.values.to_numpy()).astype(np.int32) for p in batch.column("point")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), batch.column("n"), pa.array(small, pa.list_(pa.int32()))], ["cls", "n", "point"])
+
+    return classes.select("cls", "n", "point").mapInArrow(fold, "cls bigint, n bigint, point array<int>")
+
+
 def _blocks(under: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame:
     """Members of mixed keys; more than BLOCK are dealt into blocks, each pair of which is a group."""
     n = F.ceil(F.col("k") / BLOCK).cast("int")
@@ -449,4 +484,4 @@ def _blocks(under: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
     spread = held.select("cls", "comp", "key", "block", F.inline(pairs))
-    return spread.join(classes, "cls")
+    return spread.join(_coarse_points(classes), "cls")

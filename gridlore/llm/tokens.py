@@ -23,8 +23,8 @@ from gridlore.llm.store import worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words kept per worker before the cache starts anew: some tens of MB.
-CACHE_WORDS = 300_000
+#: Words in each of the two generations of a worker's cache: some tens of MB.
+CACHE_WORDS = 250_000
 #: Bytes of text handled at once.
 SLICE_BYTES = 6_000_000
 
@@ -49,17 +49,23 @@ class WordEncoder:
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    def _known(self, word: str) -> list[int] | None:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is not None:
+                self.words[word] = ids
+        return ids
 
     def _part(self, text: str) -> list[int]:
-        ids = self.parts.get(text)
+        ids = self._known(text)
         if ids is None:
             low = text.lower()
             if not low.isascii():
                 low = "".join([self.letters[b] for b in low.encode()])
-            ids = [t.id for t in self.model.tokenize(low)]
-            if len(self.parts) < CACHE_WORDS:
-                self.parts[text] = ids
+            ids = self.words[text] = [t.id for t in self.model.tokenize(low)]
         return ids
 
     def _learn(self, words: list[str]) -> None:
@@ -71,7 +77,7 @@ class WordEncoder:
             elif plain[2]:
                 self.words[word] = self._part(plain[1]) + self._part(plain[2])
             else:
-                self.words[word] = self._part(plain[1])
+                self._part(word)
         if other:
             for word, found in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False)):
                 self.words[word] = found.ids
@@ -84,8 +90,8 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        self._learn([w for w in distinct if w not in self.words])
+            self.words, self.older = {}, self.words
+        self._learn([w for w in distinct if self._known(w) is None])
         found = [self.words[w] for w in distinct]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
