@@ -23,7 +23,7 @@ ERROR_PATTERNS = (
     ("value", r"#VALUE!"), ("narrow_column", r"^#{5,}"), ("null", r"#NULL!"),
     ("num", r"#NUM!"), ("name", r"#NAME\?"),
 )
-HEADER_SYMBOLS = r"""[ #@!$%^&*()+=\[\]{}|\;:'",.<>/?~`]"""
+HEADER_SYMBOLS = r"""[ #@!$%^&*()+=\[\]{}|\\;:'",.<>/?~`]"""
 LONGEST_GAP = 20
 
 ISSUE = ("severity string, category string, sheet string, column string, row_from bigint, "

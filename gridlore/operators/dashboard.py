@@ -49,8 +49,13 @@ def _change(before, after):
 
 def kpis(df: DataFrame, order_by: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
     """(ord, card, column, value, change_pct): total, mean, min and max per numeric column,
-    at most 12 cards. The change of the first two compares the means of the two halves."""
-    cols = list(cols or columns_of(df, "numeric"))[: -(-MAX_CARDS // len(CARDS))]
+    for the columns given, or else for the first 3 that have any value (12 cards). The
+    change of the first two compares the means of the two halves."""
+    given, cols = bool(cols), list(cols or columns_of(df, "numeric"))
+    most = -(-MAX_CARDS // len(CARDS))
+    if not given and len(cols) > most:
+        filled = df.agg(*[F.count(as_double(quoted(c))) for c in cols]).first()
+        cols = [c for c, n in zip(cols, filled) if n][:most] or cols[:most]
     stats = column_rows(df, cols, {
         "total": lambda c: F.sum(as_double(c)), "mean": lambda c: mean_of(as_double(c)),
         "min": lambda c: F.min(as_double(c)), "max": lambda c: F.max(as_double(c)),
@@ -65,7 +70,7 @@ def kpis(df: DataFrame, order_by: Sequence[str], cols: Sequence[str] | None = No
                  rounded(F.col(card), 2).alias("value"),
                  (rounded(F.col("__change"), 2) if i < 2 else F.lit(0.0)).alias("change_pct"))
         for i, card in enumerate(CARDS)])
-    out = both.select("column", F.inline(cards)).where(F.col("ord") < MAX_CARDS)
+    out = both.select("column", F.inline(cards))
     return out.select("ord", "card", "column", "value", "change_pct").orderBy("ord")
 
 
@@ -99,10 +104,10 @@ def line_chart_data(df: DataFrame, grain: str = "day", date: str | None = None,
 
 def bar_chart_data(df: DataFrame, cols: Sequence[str] | None = None,
                    metrics: Sequence[str] | None = None) -> DataFrame:
-    """Chart points: for the first 2 text columns with 2 to 20 values, the 10 categories
+    """Chart points: for the text columns given, else the first 2, with 2 to 20 values, the 10 categories
     with the highest mean of the first of 2 numeric columns that has any value."""
-    cats = list(cols or columns_of(df, "text"))[:BAR_COLUMNS]
-    metrics = list(metrics or columns_of(df, "numeric"))[:2]
+    cats = list(cols) if cols else columns_of(df, "text")[:BAR_COLUMNS]
+    metrics = list(metrics) if metrics else columns_of(df, "numeric")[:2]
     means = category_means(df, cats, metrics, 2, BAR_CATEGORIES)
     used = means.groupBy("column").agg(F.min("metric_no").alias("metric_no"))
     means = same_keys(means, used, ["column", "metric_no"], small_right=True)
@@ -126,7 +131,7 @@ def _few_counts(df: DataFrame, cols: Sequence[str], low: int, high: int) -> Data
 def pie_chart_data(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Chart points: counts of the 8 most frequent values of the first 3 text columns with
     2 to 10 values."""
-    cats = list(cols or columns_of(df, "text"))[:PIE_COLUMNS]
+    cats = list(cols) if cols else columns_of(df, "text")[:PIE_COLUMNS]
     counts = _few_counts(df, cats, 2, PIE_CATEGORIES)
     best = top_per(counts, ["column"], [F.desc("n"), F.col("value")], PIE_TOP)
     return best.select(

@@ -49,9 +49,9 @@ def duplicate_groups(df: DataFrame, cols: Sequence[str] | None = None,
 def timing_patterns(df: DataFrame, dates: Sequence[str] | None = None,
                     group_by: Sequence[str] = ()) -> DataFrame:
     """(column, weekend, night, count): rows on Saturday or Sunday, and from 22:00 to 04:59
-    when the column holds more than one time of day; the first of 2 date columns with hits.
+    when the column holds more than one time of day; the first date column with hits, of those given or else of the first 2.
     """
-    dates = list(dates or columns_of(df, "date"))[:2]
+    dates = list(dates) if dates else columns_of(df, "date")[:2]
     clock = lambda c: F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(86_400_000_000))
     late = lambda c: (F.hour(c) >= NIGHT_FROM) | (F.hour(c) <= NIGHT_TO)
     stats = column_rows(df, dates, {
@@ -171,5 +171,6 @@ def fraud(df: DataFrame, seed: int = 42) -> dict[str, DataFrame]:
     out = {"patterns": patterns}
     if anomalies is not None:
         out["anomalies"] = anomalies
-        out["score"] = fraud_score(anomalies, patterns)
+        every = isolation_forest(df, seed=seed, n=None)  # the list is cut to its top rows, the score is not
+        out["score"] = fraud_score(every, patterns)
     return out

@@ -62,12 +62,17 @@ def _scored(df: DataFrame, cols, ids, group_by, min_values: int) -> DataFrame:
     return joined.withColumn("z", F.abs((F.col("value") - F.col("mean")) / F.col("sd")))
 
 
+def _far_cells(df: DataFrame, cols: Sequence[str] | None, ids: Sequence[str], group_by: Sequence[str]) -> DataFrame:
+    """All cells more than 3 standard deviations from their column's mean."""
+    cols = [c for c in _numbers(df, cols, group_by) if c not in ids]
+    return _scored(df, cols, ids, group_by, MIN_VALUES).where(F.col("z") > Z_LIMIT)
+
+
 def anomalies_zscore(df: DataFrame, cols: Sequence[str] | None = None, ids: Sequence[str] = (),
                      group_by: Sequence[str] = (), n: int = TOP_ANOMALIES) -> DataFrame:
     """(ids, column, value, z_score): more than 3 standard deviations from the mean, the
     n furthest over all columns (per group when grouped)."""
-    cols = [c for c in _numbers(df, cols, group_by) if c not in ids]
-    cells = _scored(df, cols, ids, group_by, MIN_VALUES).where(F.col("z") > Z_LIMIT)
+    cells = _far_cells(df, cols, ids, group_by)
     order = [F.desc("z"), F.col("column"), F.col("value"), *map(quoted, ids)]
     best = top_per(cells, group_by, order, n) if group_by else cells.orderBy(*order).limit(n)
     return best.select(*map(quoted, [*group_by, *ids]), "column", "value",
@@ -138,13 +143,13 @@ def top_performers(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def insight_counts(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
-    """(name, value): rows, columns, columns per kind, and how many trends, anomalies and
-    correlations were found; each of them for every group, 0 included."""
+    """(name, value): rows, columns, columns per kind, and how many trends, anomalies (all,
+    not only those listed) and correlations were found; each of them for every group, 0 included."""
     keys = [quoted(g) for g in group_by]
     zero = F.lit(0).cast("bigint")
     sizes = {"columns": len(df.columns), **{
         f"{k}_columns": len([c for c in columns_of(df, k) if c not in group_by]) for k in ("numeric", "text", "date")}}
-    found = {"trends": trends(df, order_by, group_by=group_by), "anomalies": anomalies_zscore(df, group_by=group_by),
+    found = {"trends": trends(df, order_by, group_by=group_by), "anomalies": _far_cells(df, None, (), group_by),
              "correlations": strong_correlations(df, group_by=group_by)}
 
     def counted(frame, name):

@@ -17,7 +17,7 @@ LISTED = 20
 REORDER_SHARE = 0.3
 OVERSTOCK_QUANTILE = 0.9
 AGE_BRACKETS = (("0-30 days", 0, 30), ("31-90 days", 31, 90), ("91-180 days", 91, 180),
-                ("181-365 days", 181, 365), (">365 days", 366, 9999))
+                ("181-365 days", 181, 365), (">365 days", 366, None))
 
 
 def _quantile(df: DataFrame, col: str, prob: float):
@@ -64,7 +64,8 @@ def stock_aging(df: DataFrame, as_of: datetime, date: str = "date", stock: str =
     age = F.floor((F.lit(as_of).cast("timestamp").cast("double") - when.cast("double")) / 86400)
     bracket = F.lit(None).cast("string")
     for name, low, high in AGE_BRACKETS:
-        bracket = F.when(F.col("__age").between(low, high), name).otherwise(bracket)
+        inside = F.col("__age") >= low
+        bracket = F.when(inside if high is None else inside & (F.col("__age") <= high), name).otherwise(bracket)
     rows = df.select(age.alias("__age"), quoted(stock).alias("__s"))
     rows = rows.where(F.col("__age").isNotNull() & F.col("__s").isNotNull())
     out = rows.withColumn("bracket", bracket).where("bracket is not null")

@@ -187,8 +187,9 @@ def score_rows(df: DataFrame, cols: Sequence[str] | None = None, seed: int = 42,
 
 def isolation_forest(df: DataFrame, cols: Sequence[str] | None = None, ids: Sequence[str] = (),
                      seed: int = 42, trees: int = TREES, key: Sequence[str] | None = None,
-                     n: int = TOP_ROWS) -> DataFrame:
-    """(ids, column, value, score, severity): the n rows with the highest score above 0.5.
+                     n: int | None = TOP_ROWS) -> DataFrame:
+    """(ids, column, value, score, severity): the n rows with the highest score above 0.5,
+    or all of them if n is None.
 
     The raw score is reported; above 0.7 is high. Below 5 rows z-scores are used instead.
     """
@@ -197,6 +198,8 @@ def isolation_forest(df: DataFrame, cols: Sequence[str] | None = None, ids: Sequ
     if scored is None:
         return anomalies_small(df, cols, ids)
     found = scored.where(F.col("score") > THRESHOLD)
-    best = found.orderBy(F.desc("score"), *map(quoted, ids), "column", "value").limit(n)
+    best = found
+    if n is not None:
+        best = found.orderBy(F.desc("score"), *map(quoted, ids), "column", "value").limit(n)
     return best.select(*map(quoted, ids), "column", "value", rounded(F.col("score"), 4).alias("score"),
                        F.when(F.col("score") > HIGH, "high").otherwise("medium").alias("severity"))

@@ -175,7 +175,7 @@ def q_class_items(spark, sf):
 
 
 @query("stock_aging", _S + f"""SELECT bracket, COUNT(*) AS "count", {rnd('SUM(stock)')} AS total_value FROM (SELECT stock, CASE
-{' '.join(f"WHEN age BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in AGE_BRACKETS)} END AS bracket FROM (SELECT stock,
+{' '.join(f"WHEN age >= {a}{'' if b is None else f' AND age <= {b}'} THEN '{n}'" for n, a, b in AGE_BRACKETS)} END AS bracket FROM (SELECT stock,
 FLOOR((EPOCH(TIMESTAMP '2001-12-31') - EPOCH(date)) / 86400) AS age FROM x WHERE stock IS NOT NULL)) WHERE bracket IS NOT NULL GROUP BY bracket""")
 def q_aging(spark, sf):
     return inv.stock_aging(_stock(spark, sf), _AS_OF)

@@ -113,7 +113,7 @@ _N = ("o_orderkey", *_METRICS)
 
 @query("insight_counts", _X + f"""SELECT 'rows' AS name, COUNT(*) AS "value" FROM x UNION ALL SELECT 'columns', 7 UNION ALL
 SELECT 'numeric_columns', 4 UNION ALL SELECT 'text_columns', 2 UNION ALL SELECT 'date_columns', 1 UNION ALL
-SELECT 'trends', COUNT(*) FROM ({union_all([_trend(c) for c in _N])}) UNION ALL SELECT 'anomalies', LEAST(50, {_Z}) UNION ALL
+SELECT 'trends', COUNT(*) FROM ({union_all([_trend(c) for c in _N])}) UNION ALL SELECT 'anomalies', {_Z} UNION ALL
 SELECT 'correlations', COUNT(*) FROM ({union_all([f"SELECT CORR({a}, {b}) AS r FROM x" for i, a in enumerate(_N) for b in _N[i + 1:]])})
 WHERE ABS(r) >= 0.5""")
 def q_counts(spark, sf):

@@ -326,7 +326,7 @@ _CATALOGUE = """SELECT p_type AS "table", p_partkey AS ordinal, CASE WHEN p_size
 
 @query("audit_header_lint", f"""SELECT 'low' AS severity, category, "table" AS sheet, name AS "column", CAST(NULL AS BIGINT) AS row_from,
 CAST(NULL AS BIGINT) AS row_to, ordinal AS n FROM (SELECT *, CASE WHEN name IS NULL OR TRIM(name) = '' THEN 'empty_header'
-WHEN REGEXP_MATCHES(name, '[ #@!$%^&*()+=\\[\\]{{}}|\\;:,.<>/?~`]') THEN 'header_special_chars'
+WHEN REGEXP_MATCHES(name, '[ #@!$%^&*()+=\\[\\]{{}}|\\\\;:''",.<>/?~`]') THEN 'header_special_chars'
 WHEN REGEXP_MATCHES(name, '^[0-9]') THEN 'header_starts_with_digit' END AS category FROM ({_CATALOGUE})) WHERE category IS NOT NULL""")
 def q_headers(spark, sf):
     t = Tables(spark, sf)

@@ -517,3 +517,27 @@ def test_forest_scores_match_a_plain_walk():
     got = isolation.path_score(rows, [isolation.pack_tree(t) for t in trees], 256)
     assert got == pytest.approx(want)
     assert all((t["feature"] < 0).sum() == (t["feature"] >= 0).sum() + 1 for t in trees)
+
+
+def test_old_stock_keeps_its_bracket(spark):
+    df = spark.createDataFrame([(datetime(1990, 1, 1), 5.0)], "date timestamp, stock double")
+    got = inventory.stock_aging(df, datetime(2024, 1, 1)).collect()
+    assert [tuple(r) for r in got] == [(">365 days", 1, 5.0)]
+
+
+def test_every_anomaly_is_counted(spark):
+    df = spark.createDataFrame([(i, 1000.0 if i < 60 else 1.0 + i % 2) for i in range(3000)], "i long, v double")
+    got = {r["name"]: r["value"] for r in insights.insight_counts(df.select("v"), ["v"]).collect()}
+    assert got["anomalies"] == 60
+
+
+def test_given_dates_are_all_used(spark):
+    day, weekend = datetime(2024, 1, 3, 12), datetime(2024, 1, 6, 12)
+    df = spark.createDataFrame([(day, day, weekend)] * 12, "a timestamp, b timestamp, c timestamp")
+    got = fraud.timing_patterns(df, ["a", "b", "c"]).collect()
+    assert [(r["column"], r["weekend"]) for r in got] == [("c", 12)]
+
+
+def test_backslash_is_a_header_symbol(spark):
+    df = spark.createDataFrame([("a\\b", 1), ("plain", 2)], "name string, ordinal int")
+    assert df.where(F.col("name").rlike(audit.HEADER_SYMBOLS)).count() == 1
