@@ -37,6 +37,7 @@ _ASSIGN_LEAST, _ACCESS_LEAST = 12, 18
 _IDENTIFIER = re.compile(r"""(?i:client_id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.ASCII)
 _BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}")
 _ENDPOINT = re.compile(r"""(?:https?|jdbc:[a-z]+|amqp|redis|mongodb)://[^\s"'<>]{4,}""")
+ADDED = ("parts", "n_assign", "n_access", "n_hex", "base_spans", "spans")
 _LIST = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -104,8 +105,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     Null text counts as empty; repeated rows and null ids each get their own result; whole
     texts are scanned; columns named like the results are replaced; no rows give none.
     """
-    added = ["parts", "n_assign", "n_access", "n_hex", "base_spans", "spans"]
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     found = find_parts(docs, text)
     # equal texts under equal ids have equal parts, so they may share a key
     mark = {"__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__mark": F.xxhash64(text, F.lit(1))}
@@ -136,7 +136,8 @@ def listed(spans: str):
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
     """The rows of ``docs`` with every reported span of ``text`` replaced by ``mask``."""
     columns = docs.columns
-    found = scan_secrets(docs, doc_id, text)
+    aside = {c: f"__in_{c}" for c in columns if c in ADDED}
+    found = scan_secrets(docs.withColumnsRenamed(aside), doc_id, text)
     body = F.col("`" + text.replace("`", "``") + "`")
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
@@ -148,4 +149,4 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: st
 
     clean = F.aggregate("spans", start, step, lambda s: F.concat(s["done"], F.substring(body, s["at"] + 1, F.length(body))))
     return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(body)).select(
-        *["`" + c.replace("`", "``") + "`" for c in columns])
+        *[F.col("`" + aside.get(c, c).replace("`", "``") + "`").alias(c) for c in columns])

@@ -67,9 +67,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(58-bit shingle hashes, ascending and distinct within a text; ends per text)."""
     texts = pa.array(texts).fill_null("").cast(pa.large_string())
+    if not len(texts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     spots = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[spots[0]:spots[-1]] if len(texts) else np.empty(0, np.uint8)
-    spots = spots - spots[0] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[spots[0]:spots[-1]]
+    spots = spots - spots[0]
     gap = _BREAK[data]
     first = np.zeros(len(data) + 1, bool)
     first[spots] = True
@@ -92,8 +94,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
         whole = np.zeros(len(word), np.uint64)
         for k in range(words):
             step = np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64))
-            whole[:len(word) - k if k else None] += word[k:] * step
-        starts_ok = np.arange(len(word)) + words <= last[of]
+            whole[:max(0, len(word) - k)] += word[k:] * step
         full = _mixed(whole)
         out, sizes = [], np.zeros(len(texts), np.int64)
         for i, (end, n) in enumerate(zip(last.tolist(), n_words.tolist())):
@@ -106,7 +107,6 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
                 continue
             out.append(found)
             sizes[i] = len(found)
-        del starts_ok
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.cumsum(sizes)
 
 
