@@ -24,9 +24,9 @@ from gridlore.llm.store import worker_cache
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words in each of the two generations of a worker's cache: some tens of MB.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Bytes of text handled at once.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
