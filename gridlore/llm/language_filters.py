@@ -123,8 +123,11 @@ def fit(docs: DataFrame, use: Column | None = None, doc_id: str = "doc_id", text
                 for length in (0, *LENGTHS):
                     if length:
                         h, owner = gram_hashes(texts, length)
-                        both = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1)  # once per document
-                        of, h = langs[both[0].astype(np.int64)], both[1]
+                        order = np.lexsort((h, owner))
+                        h, owner = h[order], owner[order]
+                        new = np.ones(len(h), bool)  # once per document
+                        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                        of, h = langs[owner[new]], h[new]
                     else:  # the documents themselves
                         of, h = langs, np.zeros(len(langs), np.uint64)
                     for one in np.unique(of.astype(str)) if len(of) else []:

@@ -56,13 +56,13 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, max_tokens: int =
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches):
-        encoder = _tokens.word_encoder(vocabulary)
+        encoder, last = _tokens.word_encoder(vocabulary), np.array([end_id], "<u4")
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text"):
                 flat, ends = encoder.encode(batch.column("text"))
                 begin, rows, cuts = 0, [], []
                 for i, end in enumerate(ends.tolist()):
-                    ids = np.append(flat[begin:end], end_id).astype("<u4")
+                    ids = np.concatenate([flat[begin:end], last])
                     begin = end
                     for s in range(0, len(ids), max_tokens):
                         piece = ids[s:s + max_tokens]

@@ -8,11 +8,12 @@ the merge model, everything else through the whole library pipeline.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from gridlore.llm.store import worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words in each of the two generations of a worker's cache: some tens of MB.
+#: Words in each of the two generations of a worker's cache, ids as bytes: some tens of MB.
 CACHE_WORDS = 150_000
 #: Bytes of text handled at once.
 SLICE_BYTES = 3_000_000
@@ -48,10 +49,10 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _known(self, word: str) -> list[int] | None:
+    def _known(self, word: str) -> bytes | None:
         ids = self.words.get(word)
         if ids is None:
             ids = self.older.get(word)
@@ -59,13 +60,13 @@ class WordEncoder:
                 self.words[word] = ids
         return ids
 
-    def _part(self, text: str) -> list[int]:
+    def _part(self, text: str) -> bytes:
         ids = self._known(text)
         if ids is None:
             low = text.lower()
             if not low.isascii():
                 low = "".join([self.letters[b] for b in low.encode()])
-            ids = self.words[text] = [t.id for t in self.model.tokenize(low)]
+            ids = self.words[text] = array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
         return ids
 
     def _learn(self, words: list[str]) -> None:
@@ -80,23 +81,29 @@ class WordEncoder:
                 self._part(word)
         if other:
             for word, found in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False)):
-                self.words[word] = found.ids
+                self.words[word] = array("I", found.ids).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, text ends): ids of text i lie between ends[i-1] and ends[i]."""
         if len(texts) == 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        split = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\r\n]+")
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        for blank in "\t\r\n":
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")  # two blanks in a row give an empty word without ids
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.words) > CACHE_WORDS:
             self.words, self.older = {}, self.words
-        self._learn([w for w in distinct if self._known(w) is None])
-        found = [self.words[w] for w in distinct]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        found = list(map(self.words.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([distinct[i] for i in missing if self._known(distinct[i]) is None])
+        for i in missing:
+            found[i] = self.words[distinct[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         starts = np.cumsum(sizes) - sizes
-        code = coded.indices.to_numpy().astype(np.int64)
+        code = coded.indices.to_numpy()
         per_word = sizes[code]
         ends = np.cumsum(per_word)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[code] - (ends - per_word), per_word)
@@ -111,8 +118,17 @@ def word_encoder(path: str) -> WordEncoder:
     return cache[path]
 
 
+def give_back() -> None:
+    """Hands freed memory to the machine; a worker would keep it through all later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text, one row at least."""
+    """Parts of a batch with about ``most`` bytes of text, one row at least; what the
+    caller freed is given back after each."""
     size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()))
     size, start = size.to_numpy(zero_copy_only=False), 0
     while start < batch.num_rows:
@@ -120,3 +136,4 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         stop = max(start + 1, int(np.searchsorted(size, done + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+        give_back()
