@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
+#: Usual date forms beside ISO, in order of preference, and what their texts look like.
+USUAL_DATES = {
+    "M/d/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "d/M/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "d.M.yyyy": r"\d{1,2}\.\d{1,2}\.\d{4}",
+    "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}",
+}
 
 
 def rounded(col: Column, digits: int) -> Column:
@@ -32,6 +40,17 @@ def number_from_text(col: Column) -> Column:
     return F.when(col.rlike(NUMBER_PATTERN), F.trim(col).try_cast("double"))
 
 
+def whole_from_text(col: Column) -> Column:
+    """Text to bigint; null for anything else, also for what needs more than 64 bits."""
+    return F.when(col.rlike(WHOLE_PATTERN), F.trim(col).try_cast("bigint"))
+
+
+def usual_time(col: Column, form: str) -> Column:
+    """Text to timestamp by one of ``USUAL_DATES``, with or without a time of day."""
+    shape = rf"^\s*{USUAL_DATES[form]}( \d{{1,2}}:\d{{2}}(:\d{{2}})?)?\s*$"
+    return F.when(col.rlike(shape), F.try_to_timestamp(F.trim(col), F.lit(f"{form}[ H:mm[:ss]]")))
+
+
 def time_from_text(col: Column, formats: tuple[str, ...] = ()) -> Column:
     """Text to timestamp: ISO forms first, then the given patterns in order."""
     tries = [F.trim(col).try_cast("timestamp")]

@@ -52,6 +52,24 @@ def number_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
     return _line_up(pin(marked), [], name)
 
 
+def number_file_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """Adds the 0-based position by file path, then by row, to a table read from files.
+
+    A file is read in splits, each by one task from front to back, whatever splits Spark
+    packs into that task. So the first mark and the row count of every split, lined up by
+    path and start, give the position: one small row per split, and no shuffle of the rows.
+    """
+    marked = df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"))
+    starts = marked.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("__file", "__block", (
+        F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    placed = same_keys(marked, starts, ["__file", "__block"], small_right=True)
+    return placed.withColumn(name, F.col("__at") + F.col("__shift")).drop("__file", "__block", "__at", "__shift")
+
+
 def _line_up(ranged: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     # One row per range plus one per melted column: bounded by partitions and schema.
     starts = ranged.groupBy(*keys, "__range").agg(

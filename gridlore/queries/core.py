@@ -56,7 +56,7 @@ def _new_folder(spark) -> str:
     return f"{shared_dir(spark)}/gridlore-{uuid.uuid4().hex}"
 
 
-@query("csv_write_read", """SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE)
+@query("csv_write_read", """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT)
 AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def q_csv(spark, sf):
     folder = _new_folder(spark)
@@ -74,13 +74,35 @@ def q_parquet(spark, sf):
     return src.read_table(spark, folder, "parquet")
 
 
-@query("read_table_row_no", """SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS first,
-CAST(COUNT(*) - 1 AS BIGINT) AS last, CAST(COUNT(*) AS BIGINT) AS positions FROM orders""")
+_ROW_NO = """SELECT o_orderkey, (ROW_NUMBER() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2
+ELSE 3 END, o_orderkey) - 1)::BIGINT AS row_no FROM orders"""
+
+
+def _numbered(spark, sf, fmt):
+    """Orders in three files of unequal size, one per status, read with row numbers."""
+    folder, orders = _new_folder(spark), Tables(spark, sf).orders
+    for i, only in enumerate(("o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_orderstatus NOT IN ('F', 'O')")):
+        part = orders.where(only).select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
+        src.write_table(part.coalesce(1), f"{folder}/part={i}", fmt)
+    return src.read_table(spark, folder, fmt, row_no=True).select("o_orderkey", "row_no")
+
+
+@query("read_table_row_no", _ROW_NO)
 def q_row_no(spark, sf):
-    numbered = src.read_table(spark, f"{sf}/orders.parquet", row_no=True)
-    per = numbered.groupBy("row_no").agg(F.count("*").alias("k"))
-    return per.agg(F.sum("k").alias("n"), F.min("row_no").alias("first"), F.max("row_no").alias("last"),
-                   F.count("*").alias("positions"))
+    return _numbered(spark, sf, "parquet")
+
+
+@query("read_table_row_no_csv", _ROW_NO)
+def q_row_no_csv(spark, sf):
+    return _numbered(spark, sf, "csv")
+
+
+@query("coerce_types_dates", """SELECT o_orderkey, CAST(o_orderdate AS DATE)::TIMESTAMP AS month_first,
+CAST(o_orderdate AS DATE)::TIMESTAMP AS day_first, CAST(o_orderdate AS DATE)::TIMESTAMP AS dotted FROM orders""")
+def q_coerce_dates(spark, sf):
+    form = lambda pattern, name: F.date_format("o_orderdate", pattern).alias(name)
+    return src.coerce_types(Tables(spark, sf).orders.select(
+        "o_orderkey", form("MM/dd/yyyy", "month_first"), form("d/M/yyyy", "day_first"), form("dd.MM.yyyy", "dotted")))
 
 
 _BOOK = ("region", "nation", "customer", "orders")

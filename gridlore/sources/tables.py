@@ -7,9 +7,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gridlore.functions.numeric import number_from_text, time_from_text
-from gridlore.functions.schema import columns_of, normalize_headers, unique_names
-from gridlore.plans.position import number_rows, with_position
+from gridlore.functions.numeric import (
+    USUAL_DATES, number_from_text, time_from_text, usual_time, whole_from_text,
+)
+from gridlore.functions.schema import columns_of, unique_names
+from gridlore.plans.position import number_file_rows
 from gridlore.plans.shape import column_rows, quoted
 
 TYPED_SHARE = 0.5
@@ -22,50 +24,76 @@ def coerce_types(df: DataFrame, threshold: float = TYPED_SHARE, dates: bool = Tr
     """Text columns turned into numbers, else into timestamps, where at least half of all
     rows parse; cells that do not parse become null. Columns over 90 % null stay text.
 
+    Numbers are bigint if all of a column are whole and fit, else double. Timestamps are
+    read as ISO, then by ``formats``, then by the one usual form (month or day first) that
+    reads most cells of the column, month first where both read as many.
+
     One aggregate over all text columns decides; the result is a single projection.
     """
     types = decide_types(df, threshold, dates, formats)
     out = []
     for c in df.columns:
-        if types.get(c) == "numeric":
+        kind, form = types.get(c, ("text", None))
+        if kind == "integer":
+            out.append(whole_from_text(quoted(c)).alias(c))
+        elif kind == "numeric":
             out.append(number_from_text(quoted(c)).alias(c))
-        elif types.get(c) == "date":
-            out.append(time_from_text(quoted(c), formats).alias(c))
+        elif kind == "date":
+            out.append(_time(quoted(c), formats, form).alias(c))
         else:
             out.append(quoted(c))
     return df.select(*out)
 
 
-def type_evidence(df: DataFrame, formats: tuple[str, ...] = ()) -> DataFrame:
-    """(column, rows, filled, numbers, times) for the text columns."""
-    return column_rows(df, columns_of(df, "text"), {
+def _time(c, formats: tuple[str, ...], form: str):
+    return F.coalesce(time_from_text(c, formats), usual_time(c, form))
+
+
+def _times(i: int) -> str:
+    return f"times_{i}"
+
+
+def type_evidence(df: DataFrame, formats: tuple[str, ...] = (), dates: bool = True) -> DataFrame:
+    """(column, rows, filled, numbers, wholes, times_0, ...) for the text columns, with one
+    count of times per usual form."""
+    counts = {
         "filled": lambda c: F.count(c),
         "numbers": lambda c: F.count(number_from_text(c)),
-        "times": lambda c: F.count(time_from_text(c, formats)),
-    }, extra={"rows": F.count("*")}).select("column", "rows", "filled", "numbers", "times")
+        "wholes": lambda c: F.count(whole_from_text(c)),
+    }
+    for i, form in enumerate(USUAL_DATES if dates else ()):
+        counts[_times(i)] = lambda c, form=form: F.count(_time(c, formats, form))
+    return column_rows(df, columns_of(df, "text"), counts, extra={"rows": F.count("*")}).select(
+        "column", "rows", *counts)
 
 
 def type_decision(evidence: DataFrame, threshold: float = TYPED_SHARE, dates: bool = True) -> DataFrame:
-    """(column, type): numeric, date or text."""
+    """(column, type, form): integer, numeric, date or text; the usual form of dates."""
     need = F.greatest(F.lit(1.0), F.col("rows") * threshold)
     sparse = (F.col("rows") - F.col("filled")) > F.col("rows") * MOSTLY_NULL_SHARE
-    kind = F.when(sparse, "text").when(F.col("numbers") >= need, "numeric")
+    enough = F.col("numbers") >= need
+    kind = F.when(sparse, "text").when(enough & (F.col("wholes") == F.col("numbers")), "integer").when(enough, "numeric")
+    form = F.lit(None).cast("string")
     if dates:
-        kind = kind.when(F.col("times") >= need, "date")
-    return evidence.select("column", kind.otherwise("text").alias("type"))
+        most = F.greatest(*[_times(i) for i in range(len(USUAL_DATES))])
+        kind = kind.when(most >= need, "date")
+        form = F.coalesce(*[F.when(F.col(_times(i)) == most, name) for i, name in enumerate(USUAL_DATES)])
+    return evidence.select("column", kind.otherwise("text").alias("type"), form.alias("form"))
 
 
 def decide_types(df: DataFrame, threshold: float = TYPED_SHARE, dates: bool = True,
-                 formats: tuple[str, ...] = ()) -> dict[str, str]:
-    """Column -> numeric / date / text for the text columns; runs one aggregate."""
+                 formats: tuple[str, ...] = ()) -> dict[str, tuple[str, str | None]]:
+    """Column -> (integer / numeric / date / text, usual date form) for the text columns;
+    runs one aggregate."""
     if not columns_of(df, "text"):
         return {}
-    rows = type_decision(type_evidence(df, formats), threshold, dates).collect()
-    return {r["column"]: r["type"] for r in rows}
+    rows = type_decision(type_evidence(df, formats, dates), threshold, dates).collect()
+    return {r["column"]: (r["type"], r["form"]) for r in rows}
 
 
 def from_rows(spark: SparkSession, headers: Sequence[str | None] | None,
-              rows: Sequence[Sequence[Any]], dates: bool = True) -> DataFrame:
+              rows: Sequence[Sequence[Any]], dates: bool = True,
+              formats: tuple[str, ...] = ()) -> DataFrame:
     """A typed table from a 2-D range handed over by the caller. Short rows are padded;
     longer ones are an error (``raw_rows`` keeps them for the audit)."""
     width = len(headers) if headers is not None else max((len(r) for r in rows), default=0)
@@ -75,7 +103,7 @@ def from_rows(spark: SparkSession, headers: Sequence[str | None] | None,
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     cells = [tuple(_text(v) for v in r) + (None,) * (width - len(r)) for r in rows]
     table = spark.createDataFrame(cells, schema)
-    return coerce_types(table, dates=dates) if width else table
+    return coerce_types(table, dates=dates, formats=formats) if width else table
 
 
 def raw_rows(spark: SparkSession, rows: Sequence[Sequence[Any]]) -> DataFrame:
@@ -93,26 +121,21 @@ def _text(v: Any) -> str | None:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", dates: bool = True,
-               row_no: bool = False, **options: Any) -> DataFrame:
+               row_no: bool = False, formats: tuple[str, ...] = (), **options: Any) -> DataFrame:
     """A table from parquet, orc, json or csv files. CSV is read as text with a header and
-    then typed. ``row_no`` adds the position in the files (by file name, then by row)."""
+    then typed (see ``coerce_types`` for ``dates`` and ``formats``). ``row_no`` adds the
+    0-based position in the files (by file path, then by row)."""
     reader = spark.read.options(**{k: str(v) for k, v in options.items()})
     if fmt == "csv":
         if "header" not in options:
             reader = reader.option("header", True)
-        raw = normalize_headers(reader.option("ignoreLeadingWhiteSpace", True)
-                                .option("ignoreTrailingWhiteSpace", True).csv(path))
-        raw = number_rows(raw) if row_no else raw
-        return coerce_types(raw, dates=dates)
-    if fmt == "parquet":
-        table = reader.parquet(path)
-        if not row_no:
-            return table
-        placed = table.select("*", F.col("_metadata.file_path").alias("__file"),
-                              F.col("_metadata.row_index").alias("__row"))
-        return with_position(placed, ["__file", "__row"]).drop("__file", "__row")
+        raw = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+        names = unique_names(raw.columns)
+        if row_no:
+            return coerce_types(number_file_rows(raw.toDF(*names)), dates=dates, formats=formats)
+        return coerce_types(raw.toDF(*names), dates=dates, formats=formats)
     table = reader.format(fmt).load(path)
-    return number_rows(table) if row_no else table
+    return number_file_rows(table) if row_no else table
 
 
 def read_workbook(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",

@@ -30,10 +30,10 @@ DEMO_HEADERS = ["Tanggal", "Produk", "Kategori", "Jumlah", "Harga", "Total", "Wi
 def test_from_rows_types_the_demo_sheet(spark):
     df = src.from_rows(spark, DEMO_HEADERS, DEMO)
     kinds = dict(df.dtypes)
-    assert kinds["Tanggal"] == "timestamp" and kinds["Total"] == "double" and kinds["Produk"] == "string"
+    assert kinds["Tanggal"] == "timestamp" and kinds["Total"] == "bigint" and kinds["Produk"] == "string"
 
 
-@pytest.mark.parametrize("good,kind", [(5, "double"), (4, "string")])
+@pytest.mark.parametrize("good,kind", [(5, "bigint"), (4, "string")])
 def test_half_of_the_rows_must_parse(spark, good, kind):
     rows = [(str(i),) for i in range(good)] + [("x",)] * (10 - good)
     assert src.coerce_types(spark.createDataFrame(rows, "a string")).dtypes == [("a", kind)]
@@ -42,7 +42,38 @@ def test_half_of_the_rows_must_parse(spark, good, kind):
 def test_mostly_null_column_stays_text(spark):
     rows = [("7", "1")] + [(None, "2")] * 19
     df = src.coerce_types(spark.createDataFrame(rows, "a string, b string"))
-    assert df.dtypes == [("a", "string"), ("b", "double")]
+    assert df.dtypes == [("a", "string"), ("b", "bigint")]
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    rows = [("9007199254740996", "1", "9"), ("9007199254740997", "2.5", "99999999999999999999"), (" +7 ", None, "1")]
+    df = src.coerce_types(spark.createDataFrame(rows, "a string, b string, c string"))
+    assert df.dtypes == [("a", "bigint"), ("b", "double"), ("c", "double")]
+    assert [r["a"] for r in df.collect()] == [9007199254740996, 9007199254740997, 7]
+
+
+def test_usual_dates(spark):
+    rows = [("05/01/2024", "05/01/2024", "31.12.2023 7:05", "2024-01"), ("12/31/2023", "31/12/2023", "1.2.2024", "x|2")]
+    df = src.from_rows(spark, ["m", "d", "p", "f"], rows, formats=("yyyy-MM",))
+    assert dict(df.dtypes)["f"] == "timestamp"
+    got = [[str(v) for v in r] for r in df.select("m", "d", "p").collect()]
+    assert got == [["2024-05-01 00:00:00", "2024-01-05 00:00:00", "2023-12-31 07:05:00"],
+                   ["2023-12-31 00:00:00", "2023-12-31 00:00:00", "2024-02-01 00:00:00"]]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "orc", "parquet"])
+def test_row_numbers_by_file_and_row(spark, tmp_path, fmt):
+    at = 0
+    for name, n in (("a", 3), ("b", 2000), ("c", 500)):
+        spark.range(at, at + n, 1, 1).write.format(fmt).option("header", fmt == "csv").save(f"{tmp_path}/t/f={name}")
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = src.read_table(spark, f"{tmp_path}/t", fmt, row_no=True)
+        assert "row_no" in df.columns and all(int(r["id"]) == r["row_no"] for r in df.collect())
+        assert df.count() == at and "__shift" not in df.columns
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_number_text_rules(spark):
