@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTHS = (3, 4)
 #: Documents per language that the filters are learned from (those of smallest hash).
 FIT_DOCS = 2000
+#: Buckets of hashes per halving of the hash range, by which the sample's end is found.
+FIT_BUCKETS = 32
 #: An n-gram belongs to a language if at least this share of its documents hold it.
 FIT_SHARE = 0.02
 #: N-grams kept per language and length, the most common first.
@@ -106,15 +108,22 @@ def fit(docs: DataFrame, use: Column | None = None, doc_id: str = "doc_id", text
     """Learns from at most ``fit_docs`` documents per language with a non-null label and text.
 
     The sample is those with the smallest hash of doc_id (then text), the same at every
-    run; counting its n-grams is a Spark job, and what comes to the driver is bounded by
+    run. Where it ends follows from counts per language and bucket of hashes, so only about
+    ``fit_docs`` rows per language meet, however many one language has. Counting its n-grams is a Spark job, and what comes to the driver is bounded by
     FIT_GRAMS per language and length. No usable row gives filters without languages.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if use is None else rows.where(use)
     ids = rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", F.xxhash64("text"))
-    # Spark cuts to the first rows per language in each task, before the shuffle
-    sample = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_docs)
+    place = F.xxhash64("doc_id", F.lit(5))
+    # buckets of hashes grow with the hash, so the one that ends the sample is small at any number of rows
+    part = F.floor(FIT_BUCKETS * F.coalesce(F.log2(place.cast("double") / 2.0 ** 64 + 0.5), F.lit(-64.0))).cast("int")
+    running = Window.partitionBy("lang").orderBy("part")
+    sizes = ids.groupBy("lang", part.alias("part")).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(running))
+    ends = sizes.where(F.col("upto") - F.col("n") < fit_docs).groupBy("lang").agg(F.max("part").alias("last"))
+    near = ids.join(F.broadcast(ends), "lang").where(part <= F.col("last"))  # one row per language is broadcast
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text"))
+    sample = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_docs)
 
     def grams(batches):
         for whole in batches:
