@@ -7,7 +7,7 @@ against the tools' schemas, and each linked call is written as canonical JSON.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlore.llm.store import keep
 
@@ -54,66 +54,89 @@ def levels(calls: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, level): 1 for calls that wait for none, else one more than the highest level
     among the calls they wait for; null in or behind a circle.
 
-    ``calls`` has the keys and ``after``, an array of ids; ids that are no call of the same
-    conversation are ignored. Every round settles the calls all of whose predecessors are
-    settled, so there are as many rounds as the longest chain has calls, each over the rows
-    still open only.
+    ``calls`` is read several times. It has the keys (conversation, id, rank among the calls
+    of that id), without repeats, ``position`` and ``after``, an array of ids; ids that are no
+    call of the same conversation are ignored. A repeated id stands for its last call at an
+    earlier position, or for its first if there is none. Every round settles the calls all of
+    whose predecessors are settled, so there are as many rounds as the longest chain has
+    calls, each over the rows still open only.
     """
-    scope, name = keys
-    nodes = keep(calls.select(*keys).distinct(), "calls")
-    edges = calls.select(F.col(scope).alias("s"), F.col(name).alias("to"), F.explode("after").alias("of")).distinct()
-    edges = keep(edges.join(nodes, F.col("s").eqNullSafe(F.col(scope)) & (F.col("of") == F.col(name))).select("s", "to", "of"), "waits")
-    waiting = edges.select("s", F.col("to").alias("w")).distinct()
-    is_same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
-    settled = keep(nodes.join(waiting, is_same(keys, ("s", "w")), "left_anti").withColumn("level", F.lit(1)), "level")
+    scope, name, nth = keys
+    nodes = calls.select(*keys)
+    edges = calls.select(F.col(scope).alias("s"), F.col(name).alias("to"), F.col(nth).alias("to_nth"), "position",
+                         F.explode("after").alias("of")).where("of is not null").distinct()
+    if calls.where(F.col(nth) > 1).limit(1).count():
+        there = calls.select(F.col(scope).alias("s"), F.col(name).alias("of"), "position", F.col(nth).alias("seen"))
+        before = Window.partitionBy("s", "of").orderBy("position", F.col("seen").asc_nulls_first()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        edges = edges.unionByName(there, allowMissingColumns=True).withColumn(
+            "of_nth", F.coalesce(F.last("seen", ignorenulls=True).over(before), F.lit(1))).where("seen is null")
+    else:
+        edges = edges.withColumn("of_nth", F.lit(1))
+    is_same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1])) & (F.col(a[2]) == F.col(b[2]))
+    to, of, other = ("s", "to", "to_nth"), ("s", "of", "of_nth"), ("ls", "ln", "lk")
+    renamed = [F.col(k).alias(o) for k, o in zip(keys, other)]
+    edges = keep(edges.join(nodes, is_same(of, keys)).select(*to, "of", "of_nth"), "waits")
+    waiting = edges.select(F.col("s").alias("ls"), F.col("to").alias("ln"), F.col("to_nth").alias("lk")).distinct()
+    settled = keep(nodes.join(waiting, is_same(keys, other), "left_anti").withColumn("level", F.lit(1)), "level")
     while edges.limit(1).count():
-        seen = settled.select(F.col(scope).alias("ls"), F.col(name).alias("ln"), F.col("level").alias("l"))
-        ready = edges.join(seen, is_same(("s", "of"), ("ls", "ln")), "left").groupBy("s", "to").agg(
+        seen = settled.select(*renamed, F.col("level").alias("l"))
+        ready = edges.join(seen, is_same(of, other), "left").groupBy(*to).agg(
             F.count("*").alias("n"), F.count("l").alias("known"), (F.max("l") + 1).alias("level"))
-        fresh = keep(ready.where("n = known").select(F.col("s").alias(scope), F.col("to").alias(name), "level"), "level")
+        fresh = keep(ready.where("n = known").select(*[F.col(t).alias(k) for t, k in zip(to, keys)], "level"), "level")
         if not fresh.limit(1).count():
             break  # only circles, and what waits for them, are left
         settled = settled.union(fresh)
-        gone = fresh.select(F.col(scope).alias("ls"), F.col(name).alias("ln"))
-        edges = keep(edges.join(gone, is_same(("s", "to"), ("ls", "ln")), "left_anti"), "waits")
-    return nodes.join(settled.select(F.col(scope).alias("ls"), F.col(name).alias("ln"), "level"),
-                      is_same(keys, ("ls", "ln")), "left").select(*keys, "level")
+        edges = keep(edges.join(fresh.select(*renamed), is_same(to, other), "left_anti"), "waits")
+    return nodes.join(settled.select(*renamed, "level"), is_same(keys, other), "left").select(*keys, "level")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """conv_id, call_id, position, level, tool, arguments, errors, result, linked.
+    """conv_id, call_id, position, level, tool, arguments, errors, result, answered, linked.
 
     ``calls``: conv_id, call_id, position, tool, arguments (JSON text), after (ids of the
     calls whose results the arguments use). ``results``: conv_id, call_id, position,
     content. ``schemas``: tool, field, type, required.
 
     Every call gives a row and every result without a call one with null tool. Rows in the
-    order of (conv_id, level, position) are a topological order. A repeated call_id keeps
-    its first call by position, then arguments; of several results the first by position,
-    then content, is linked. Null ids never link. ``arguments`` is canonical JSON (null if
+    order of (conv_id, level, position) are a topological order. The calls of one id are
+    ranked by position, then arguments, its results by position, then content, and the n-th
+    result is linked to the n-th call; from the second on, calls and results left over carry
+    the error 'repeated id'. Null ids never link. ``arguments`` is canonical JSON (null if
     broken), ``linked`` the whole record as canonical JSON. Other columns are not read;
-    empty tables are fine. Joins are on (conv_id, call_id), so a hot conversation spreads.
+    empty tables are fine. Joins are on (conv_id, call_id, rank), so a hot conversation
+    spreads; one task ranks all calls of one id.
     """
-    first = lambda df, *cols: df.where("call_id is not null").groupBy("conv_id", "call_id").agg(
-        F.min(F.struct("position", *cols)).alias("one"))
+    def ranked(df, *order):
+        each = Window.partitionBy("conv_id", "call_id").orderBy(*order)
+        named = df.where("call_id is not null").withColumn("nth", F.row_number().over(each))
+        return named, df.where("call_id is null").withColumn("nth", F.lit(1))
+
     plain = calls.select("conv_id", "call_id", "position", "tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    one = first(plain, "arguments", "tool", "after").select("conv_id", "call_id", "one.*")
-    lost = plain.where("call_id is null").select("conv_id", "call_id", "position", "arguments", "tool", "after")
-    back = first(results.select("conv_id", "call_id", "position", "content"), "content").select(
-        F.col("conv_id").alias("rs"), F.col("call_id").alias("rn"), F.col("one.content").alias("result"), F.lit(True).alias("answered"))
+    named, lost = ranked(plain, "position", "arguments", "tool", "after")
+    named = keep(named, "calls")
+    told = results.select("conv_id", "call_id", "position", "content")
+    back = DataFrame.unionByName(*ranked(told, "position", "content")).select(
+        F.col("conv_id").alias("rs"), F.col("call_id").alias("rn"), F.col("nth").alias("rk"), F.col("content").alias("result"),
+        F.lit(True).alias("answered"))
     fields = schemas.groupBy(F.col("tool").alias("of")).agg(F.array_sort(F.collect_set(F.struct("field", "type", "required"))).alias("fields"))
-    order = levels(one, ["conv_id", "call_id"]).withColumnsRenamed({"conv_id": "ls", "call_id": "ln"})
-    joined = one.join(order, F.col("conv_id").eqNullSafe(F.col("ls")) & (F.col("call_id") == F.col("ln")))
-    joined = joined.drop("ls", "ln").unionByName(lost.withColumn("level", F.lit(1)))
-    joined = joined.join(back, F.col("conv_id").eqNullSafe(F.col("rs")) & (F.col("call_id") == F.col("rn")), "full")
-    joined = joined.join(fields, F.col("tool") == F.col("of"), "left")
-    is_call = F.col("rs").isNull() & F.col("rn").isNull() | F.col("position").isNotNull() | F.col("tool").isNotNull()
-    errors = F.when(is_call, argument_errors(F.col("arguments"), F.col("fields"))).otherwise(F.array(F.lit("no call")))
-    out = joined.select(
-        F.coalesce("conv_id", "rs").alias("conv_id"), F.coalesce("call_id", "rn").alias("call_id"), "position", "level",
-        "tool", canonical_json("arguments").alias("arguments"), errors.alias("errors"), "result",
-        F.coalesce("answered", F.lit(False)).alias("answered"))
-    record = F.to_json(F.struct(
-        F.col("call_id").alias("id"), F.col("tool").alias("name"), F.try_parse_json("arguments").alias("arguments"),
-        F.col("result").alias("result"), F.col("errors").alias("errors")), {"ignoreNullFields": "false"})
-    return out.withColumn("linked", canonical_json(record))
+    order = levels(named, ["conv_id", "call_id", "nth"]).withColumnsRenamed({"conv_id": "ls", "call_id": "ln", "nth": "lk"})
+    joined = named.join(order, F.col("conv_id").eqNullSafe(F.col("ls")) & (F.col("call_id") == F.col("ln")) & (F.col("nth") == F.col("lk")))
+    joined = joined.drop("ls", "ln", "lk").unionByName(lost.withColumn("level", F.lit(1)))
+    joined = keep(joined.join(back, F.col("conv_id").eqNullSafe(F.col("rs")) & (F.col("call_id") == F.col("rn")) & (
+        F.col("nth") == F.col("rk")), "full"), "linked")
+
+    def records(df, errors):
+        again = F.when(F.coalesce("nth", "rk") > 1, F.array(F.lit("repeated id"))).otherwise(F.array().cast("array<string>"))
+        out = df.select(
+            F.coalesce("conv_id", "rs").alias("conv_id"), F.coalesce("call_id", "rn").alias("call_id"), "position", "level",
+            "tool", canonical_json("arguments").alias("arguments"), F.concat(errors, again).alias("errors"), "result",
+            F.coalesce("answered", F.lit(False)).alias("answered"))
+        record = F.to_json(F.struct(
+            F.col("call_id").alias("id"), F.col("tool").alias("name"), F.try_parse_json("arguments").alias("arguments"),
+            F.col("result").alias("result"), F.col("errors").alias("errors")), {"ignoreNullFields": "false"})
+        return out.withColumn("linked", canonical_json(record))
+
+    asked = joined.where("nth is not null").join(fields, F.col("tool") == F.col("of"), "left")
+    return records(joined.where("nth is null"), F.array(F.lit("no call"))).unionByName(
+        records(asked, argument_errors(F.col("arguments"), F.col("fields"))))

@@ -167,6 +167,37 @@ def test_tool_links(spark):
     assert tool_links.link_calls(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_repeated_tool_calls(spark):
+    calls = spark.createDataFrame([
+        (1, "a", 0, "t", '{"a":"1"}', None), (1, "b", 1, "t", '{"a":"2"}', ["a"]), (1, "a", 2, "t", '{"z":"3"}', ["b"]),
+        (1, "b", 3, "t", '{"a":"4"}', ["a"]), (1, "d", 9, "t", '{"a":"5"}', None), (1, "d", 9, "t", '{"a":"5"}', None)],
+        "conv_id long, call_id string, position long, tool string, arguments string, after array<string>")
+    results = spark.createDataFrame(
+        [(1, "a", 7, "second"), (1, "a", 6, "first"), (1, "a", 8, "third"), (1, "q", 0, "x"), (1, "q", 0, "x"), (1, None, 0, "lost")],
+        "conv_id long, call_id string, position long, content string")
+    schemas = spark.createDataFrame([("t", "a", "string", True)], "tool string, field string, type string, required boolean")
+    got = [(r.call_id, r.position, r.level, r.arguments, r.errors, r.answered, r.result)
+           for r in tool_links.link_calls(calls, results, schemas).collect()]
+    again = ["repeated id"]
+    assert sorted(got, key=str) == sorted([
+        ("a", 0, 1, '{"a":"1"}', [], True, "first"), ("b", 1, 2, '{"a":"2"}', [], False, None),
+        ("a", 2, 3, '{"z":"3"}', ["missing a", "unknown z", *again], True, "second"), ("b", 3, 4, '{"a":"4"}', again, False, None),
+        ("d", 9, 1, '{"a":"5"}', [], False, None), ("d", 9, 1, '{"a":"5"}', again, False, None),
+        ("a", None, None, None, ["no call", *again], True, "third"), ("q", None, None, None, ["no call"], True, "x"),
+        ("q", None, None, None, ["no call", *again], True, "x"), (None, None, None, None, ["no call"], True, "lost")], key=str)
+
+
+def test_repeated_turns_keep_their_rows(spark, tmp_path):
+    from gridlore.llm.queries import QUERIES
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    turns.union(turns).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = QUERIES["op1_tool_links"](spark, str(tmp_path))
+    asked, answers = (turns.where(F.col("role") == r).count() for r in ("user", "assistant"))
+    assert out.where("tool is not null").count() == 2 * asked
+    assert out.where("answered").count() == 2 * answers
+
+
 def test_pipeline(spark, odd, tmp_path):
     odd.where("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
