@@ -5,8 +5,11 @@ all strings sorted. A query descends to its longest common prefix in every tree,
 ascends all trees together, one bit at a time, until the rows that share the prefixes are
 enough; all of them are compared on the original vectors.
 
-A sorted array is cut into chunks of bounded size. Equal vectors would share every prefix,
-so they are one entry with its smallest ids, which is all a top k can name.
+A sorted array is cut into chunks. Equal vectors would share every prefix, so they are one
+entry with its smallest ids, which is all a top k can name. A chunk that holds too many rows
+all the same, because near copies share a string or the sample is too coarse, is dealt into
+salts by a hash of the rows, and one that too many queries reach into parts of the queries;
+each salt meets each part, so a task's memory is bounded and no pair is left out.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ TREES = 16
 BITS = 48
 #: Rows sampled for the centre and for the chunk limits.
 FIT_ROWS = 8192
-#: Entries of a chunk, about.
+#: Entries of a chunk or of one of its salts, and queries of one of its parts, about.
 CHUNK = 65_536
+#: Rows of a batch that is handed on.
+BATCH = 8192
 #: A query ascends until its prefixes hold, per tree, this share of all rows and at least so many.
 SHARE, LEAST = 0.05, 512
 
@@ -66,6 +71,49 @@ class Forest:
         low = code >> open_ << open_
         return low, low + (np.int64(1) << open_) - 1
 
+    def chunks(self, codes: np.ndarray, level: np.ndarray | np.int64, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """First chunk and number of chunks that hold the strings with the first ``level`` bits."""
+        low, high = self.span(codes, level)
+        first = np.searchsorted(self.limits[tree], low, side="right")
+        return first, np.searchsorted(self.limits[tree], high, side="right") - first + 1
+
+
+def _each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every index as often as ``n`` says, and the numbers from 0 beside it."""
+    at = np.repeat(np.arange(len(n)), n)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _cuts(df: DataFrame, shared, trees: int, size: int) -> list[np.ndarray]:
+    """Into how many pieces of about ``size`` rows each chunk of each tree is dealt, from
+    counts; a row is in all chunks of its prefix if it has a level, else in its own one."""
+    forest = shared.value
+    cuts = [np.ones(len(limits) + 1, dtype=np.int64) for limits in forest.limits]
+    if df.count() <= size:
+        return cuts
+    routed = "level" in df.columns
+
+    def run(batches):
+        forest = shared.value
+        held = [np.zeros(len(limits) + 1, dtype=np.int64) for limits in forest.limits]
+        for batch in batches:
+            vectors = _matrix(batch.column("v"))
+            level = batch.column("level").to_numpy() if routed else np.int64(forest.bits)
+            for tree in range(trees if batch.num_rows else 0):
+                first, n = forest.chunks(forest.code(vectors, tree), level, tree)
+                steps = np.zeros(len(held[tree]) + 1, dtype=np.int64)
+                np.add.at(steps, first, 1)
+                np.add.at(steps, first + n, -1)
+                held[tree] += np.cumsum(steps)[:-1]
+        for tree, n in enumerate(held):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree)), pa.array(at), pa.array(n[at])], ["tree", "chunk", "n"])
+
+    counts = df.select("v", *["level"] * routed).mapInArrow(run, "tree bigint, chunk bigint, n bigint")
+    for r in counts.groupBy("tree", "chunk").agg(F.sum("n").alias("n")).where(F.col("n") > size).collect():
+        cuts[r["tree"]][r["chunk"]] = -(-r["n"] // size)
+    return cuts
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -94,42 +142,55 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
     dims = int(np.bincount([len(v) for v in sample]).argmax())
     rows = rows.where(F.size("v") == dims)
     same = Window.partitionBy("v").orderBy("vec_id")
+    mix = F.xxhash64("vec_id", "v", F.lit(seed)).bitwiseAND(F.lit(2 ** 62 - 1)).alias("mix")
     entries = keep(rows.select("vec_id", "v").distinct().withColumn("at", F.row_number().over(same)).where(
-        F.col("at") <= k + 1).select("vec_id", "v"), "entries")
-    asked = keep(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct(), "queries")
+        F.col("at") <= k + 1).select("vec_id", "v", mix), "entries")
+    asked = keep(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", mix).distinct(), "queries")
     n = entries.count()
     forest = Forest(np.array([v for v in sample if len(v) == dims]), n, trees, BITS, CHUNK, seed)
     shared = spark.sparkContext.broadcast(forest)
     enough = max(least, math.ceil(share * n)) * trees
 
-    levels = _levels(entries, asked, shared, trees, enough)
-    found = _found(entries, asked.join(levels, "query_id"), shared, trees, k)
+    salts = _cuts(entries, shared, trees, CHUNK)
+    levels = _levels(entries, asked, shared, trees, enough, salts)
+    found = _found(entries, keep(asked.join(levels, "query_id"), "levels"), shared, trees, k, salts)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _levels(entries: DataFrame, asked: DataFrame, shared, trees: int, enough: int) -> DataFrame:
+def _levels(entries: DataFrame, asked: DataFrame, shared, trees: int, enough: int, salts: list) -> DataFrame:
     """(query_id, level): the longest prefix at which all trees together hold enough rows.
 
-    A query counts in the chunk where it stands; a chunk holds many times the rows needed,
-    so rows beyond its ends can only make a level richer than counted, never poorer.
+    A query counts in the chunk where it stands, in all its salts; a chunk holds many times
+    the rows needed, so rows beyond its ends can only make a level richer than counted, never
+    poorer.
     """
+    cuts = entries.sparkSession.sparkContext.broadcast((salts, _cuts(asked, shared, trees, CHUNK)))
+
     def code(key):
         def run(batches):
-            forest = shared.value
+            forest, mine = shared.value, cuts.value[bool(key)]
+            others = cuts.value[not key]
             for batch in batches:
-                vectors = _matrix(batch.column("v"))
+                vectors, mix = _matrix(batch.column("v")), batch.column("mix").to_numpy()
+                ids = batch.column("query_id") if key else pa.nulls(batch.num_rows, pa.int64())
                 for tree in range(trees if batch.num_rows else 0):
                     codes = forest.code(vectors, tree)
                     chunk = np.searchsorted(forest.limits[tree], codes, side="right")
-                    ids = batch.column("query_id") if key else pa.nulls(batch.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), tree)), pa.array(chunk), pa.array(codes), ids],
-                                                     ["tree", "chunk", "code", "query_id"])
+                    at, other = _each(others[tree][chunk])
+                    own = mix[at] % mine[tree][chunk[at]]
+                    for i in range(0, len(at), BATCH):
+                        now = slice(i, i + BATCH)
+                        salt, part = (other[now], own[now]) if key else (own[now], other[now])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(salt), tree)), pa.array(chunk[at[now]]), pa.array(salt), pa.array(part),
+                             pa.array(codes[at[now]]), ids.take(pa.array(at[now]))],
+                            ["tree", "chunk", "salt", "part", "code", "query_id"])
         return run
 
-    kind = "tree bigint, chunk bigint, code bigint, query_id bigint"
+    kind = "tree bigint, chunk bigint, salt bigint, part bigint, code bigint, query_id bigint"
     both = entries.mapInArrow(code(False), kind).union(asked.mapInArrow(code(True), kind))
 
     def count(key, table):
@@ -146,40 +207,51 @@ def _levels(entries: DataFrame, asked: DataFrame, shared, trees: int, enough: in
         return pa.table({"query_id": np.repeat(ids.filter(ids.is_valid()).to_numpy(), width),
                          "level": np.tile(np.arange(width), len(mine)), "n": flat.astype(np.int64)})
 
-    parts = both.groupBy("tree", "chunk").applyInArrow(count, "query_id bigint, level bigint, n bigint")
+    parts = both.groupBy("tree", "chunk", "salt", "part").applyInArrow(count, "query_id bigint, level bigint, n bigint")
     held = parts.groupBy("query_id", "level").agg(F.sum("n").alias("n"))
     good = F.max(F.when(F.col("n") >= enough, F.col("level")))
     return held.groupBy("query_id").agg(F.coalesce(good, F.lit(0)).alias("level"))
 
 
-def _found(entries: DataFrame, asked: DataFrame, shared, trees: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the nearest rows under a query's prefix, per tree and chunk."""
+def _found(entries: DataFrame, asked: DataFrame, shared, trees: int, k: int, salts: list) -> DataFrame:
+    """(query_id, vec_id, score): the nearest rows under a query's prefix, per tree, chunk and salt."""
+    cuts = entries.sparkSession.sparkContext.broadcast((salts, _cuts(asked, shared, trees, CHUNK)))
+    columns = ["tree", "chunk", "salt", "part", "code", "id", "level", "v"]
+
     def place(batches):
-        forest = shared.value
+        forest, (salts, parts) = shared.value, cuts.value
         for batch in batches:
-            vectors = _matrix(batch.column("v"))
+            vectors, mix = _matrix(batch.column("v")), batch.column("mix").to_numpy()
             for tree in range(trees if batch.num_rows else 0):
                 codes = forest.code(vectors, tree)
                 chunk = np.searchsorted(forest.limits[tree], codes, side="right")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(codes), tree)), pa.array(chunk), pa.array(codes), batch.column("vec_id"),
-                     pa.array(np.full(len(codes), -1)), batch.column("v")], ["tree", "chunk", "code", "id", "level", "v"])
+                salt = mix % salts[tree][chunk]
+                rows, parted = _each(parts[tree][chunk])
+                for i in range(0, len(rows), BATCH):
+                    at, part = rows[i:i + BATCH], parted[i:i + BATCH]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), tree)), pa.array(chunk[at]), pa.array(salt[at]), pa.array(part),
+                         pa.array(codes[at]), batch.column("vec_id").take(pa.array(at)),
+                         pa.array(np.full(len(at), -1)), batch.column("v").take(pa.array(at))], columns)
 
     def route(batches):
-        forest = shared.value
+        forest, (salts, parts) = shared.value, cuts.value
         for batch in batches:
-            vectors, level = _matrix(batch.column("v")), batch.column("level").to_numpy()
+            vectors, level, mix = _matrix(batch.column("v")), batch.column("level").to_numpy(), batch.column("mix").to_numpy()
             for tree in range(trees if batch.num_rows else 0):
                 codes = forest.code(vectors, tree)
-                low, high = forest.span(codes, level)
-                first = np.searchsorted(forest.limits[tree], low, side="right")
-                n = np.searchsorted(forest.limits[tree], high, side="right") - first + 1
-                at = np.repeat(np.arange(len(codes)), n)
-                chunk = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), tree)), pa.array(chunk), pa.array(codes[at]),
-                     batch.column("query_id").take(pa.array(at)), pa.array(level[at]), batch.column("v").take(pa.array(at))],
-                    ["tree", "chunk", "code", "id", "level", "v"])
+                first, n = forest.chunks(codes, level, tree)
+                rows, nth = _each(n)
+                chunks = first[rows] + nth
+                stands, salted = _each(salts[tree][chunks])
+                for i in range(0, len(stands), BATCH):
+                    to = stands[i:i + BATCH]
+                    at, chunk = rows[to], chunks[to]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), tree)), pa.array(chunk), pa.array(salted[i:i + BATCH]),
+                         pa.array(mix[at] % parts[tree][chunk]), pa.array(codes[at]),
+                         batch.column("query_id").take(pa.array(at)), pa.array(level[at]), batch.column("v").take(pa.array(at))],
+                        columns)
 
     def compare(key, table):
         forest = shared.value
@@ -206,6 +278,6 @@ def _found(entries: DataFrame, asked: DataFrame, shared, trees: int, k: int) ->
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
         return pa.table({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2]})
 
-    kind = "tree bigint, chunk bigint, code bigint, id bigint, level bigint, v array<double>"
-    both = entries.mapInArrow(place, kind).union(asked.select("query_id", "level", "v").mapInArrow(route, kind))
-    return both.groupBy("tree", "chunk").applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+    kind = "tree bigint, chunk bigint, salt bigint, part bigint, code bigint, id bigint, level bigint, v array<double>"
+    both = entries.mapInArrow(place, kind).union(asked.select("query_id", "level", "v", "mix").mapInArrow(route, kind))
+    return both.groupBy("tree", "chunk", "salt", "part").applyInArrow(compare, "query_id bigint, vec_id bigint, score double")

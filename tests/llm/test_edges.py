@@ -167,6 +167,40 @@ def test_tool_links(spark):
     assert tool_links.link_calls(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_forest_deals_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    x[::3] = x[0] + 1e-9 * rng.normal(size=(500, 16))  # one string in nearly all trees
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    find = lambda: [tuple(r) for r in prefix_forest.search(df, F.col("vec_id") % 10 == 0, least=1).orderBy("query_id", "rank").collect()]
+    whole, sizes, each = find(), [], prefix_forest._cuts
+    monkeypatch.setattr(prefix_forest, "CHUNK", 100)
+
+    def noted(rows, shared, trees, size):
+        cuts = each(rows, shared, trees, size)
+        sizes.append(max(int(c.max()) for c in cuts))
+        return cuts
+
+    monkeypatch.setattr(prefix_forest, "_cuts", noted)
+    seen = spark.sparkContext.accumulator(0)
+    groups = type(df.groupBy()).applyInArrow
+
+    def watched(self, fn, schema):
+        def run(key, table):
+            if table.num_rows > 4 * 100:
+                seen.add(1)
+            return fn(key, table)
+        return groups(self, run, schema)
+
+    monkeypatch.setattr(type(df.groupBy()), "applyInArrow", watched)
+    small = find()
+    assert sizes[0] >= 5 and seen.value == 0
+    near = [r for r in whole if r[0] % 3 == 0]
+    assert [r for r in small if r[0] % 3 == 0] == near and len(near) == 50 * 10
+    for q, _, v, score in small:
+        assert abs(score - np.linalg.norm(x[q] - x[v])) < 1e-12
+
+
 def test_repeated_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "t", '{"a":"1"}', None), (1, "b", 1, "t", '{"a":"2"}', ["a"]), (1, "a", 2, "t", '{"z":"3"}', ["b"]),
