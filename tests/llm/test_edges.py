@@ -201,6 +201,25 @@ def test_forest_deals_near_copies(spark, monkeypatch):
         assert abs(score - np.linalg.norm(x[q] - x[v])) < 1e-12
 
 
+def test_forest_recall_where_the_share_decides(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    levels, each = [], prefix_forest._levels
+    monkeypatch.setattr(prefix_forest, "_levels", lambda *args: levels.append(each(*args)) or levels[-1])
+    found = {}
+    for r in prefix_forest.search(df, F.col("vec_id") % 20 == 0, least=1).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(found) == ids[ids % 20 == 0].tolist()
+    assert min(r.level for r in levels[0].collect()) > 0
+    hits = 0
+    for q, mine in found.items():
+        dist = ((x - x[ids == q]) ** 2).sum(axis=1)
+        dist[ids == q] = np.inf
+        hits += len(mine & set(ids[np.lexsort((ids, dist))][:10].tolist()))
+    assert hits >= 0.9 * 10 * len(found)
+
+
 def test_repeated_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "t", '{"a":"1"}', None), (1, "b", 1, "t", '{"a":"2"}', ["a"]), (1, "a", 2, "t", '{"z":"3"}', ["b"]),
