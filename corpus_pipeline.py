@@ -30,11 +30,22 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = shingle_join.jaccard_components(docs)
-    gone = keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "removed")
+    columns = docs.columns
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        key, found = "doc_id", shingle_join.jaccard_components(docs)
+        gone = found.where("doc_id <> component_id").select("doc_id")
+    else:  # null or repeated ids: a written row key tells rows apart, the smallest id stays, null last
+        key = "__row"
+        docs = keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+        found = shingle_join.jaccard_components(docs, key).select(F.col("doc_id").alias(key), "component_id")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")
+        stay = docs.select("doc_id", key).join(found, key).groupBy("component_id").agg(first)
+        gone = docs.select(key).join(stay.select(f"first.{key}"), key, "left_anti")
+    gone = keep(gone, "removed")
     if gone.limit(SENT_IDS + 1).count() <= SENT_IDS:
         gone = F.broadcast(gone)  # else both sides are shuffled
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, key, "left_anti").select(*columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

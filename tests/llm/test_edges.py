@@ -257,6 +257,16 @@ def test_pipeline(spark, odd, tmp_path):
     assert {r.doc_id for r in rows} <= {5, 6, 9, 10, 12} and all(r.length <= 4096 for r in rows)
 
 
+def test_one_copy_stays_without_distinct_ids(spark):
+    body = lambda a: " ".join(WORDS[a:a + 40])
+    rows = [(None, body(0)), (None, body(0)), (4, body(0)), (4, body(0)), (2, body(0)), (None, body(50)), (None, body(50)),
+            (7, body(20)), (7, body(20)), (7, "alone among the copies of its id"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    want = [(2, body(0)), (None, body(50)), (7, body(20)), (7, "alone among the copies of its id"), (None, None), (None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_gram_hashes_do_not_cross_words():
     a, _ = language_filters.gram_hashes(["ab cd"], 3)
     b, _ = language_filters.gram_hashes(["cd ab"], 3)
