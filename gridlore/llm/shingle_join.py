@@ -459,11 +459,14 @@ def _all_stars(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 def _mixed_keys(under: DataFrame) -> DataFrame:
     """(key, k) of keys with members of several components; of keys with the same members
-    (told by two XORs of hashes and their number) one stands for all."""
+    (told by two XORs of hashes, the sums of a hash's halves and their number) one stands for
+    all. A member may be listed twice: it cancels in an XOR, but not in a sum."""
+    told = F.xxhash64("cls")
     held = under.groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"),
-        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"))
-    return held.where("lo <> hi").groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key", "k")
+        F.bit_xor(told).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"),
+        F.sum(told.bitwiseAND(F.lit(2 ** 32 - 1))).alias("low"), F.sum(F.shiftrightunsigned(told, 32)).alias("high"))
+    return held.where("lo <> hi").groupBy("k", "x", "y", "low", "high").agg(F.min("key").alias("key")).select("key", "k")
 
 
 def _coarse_points(classes: DataFrame) -> DataFrame:

@@ -267,6 +267,13 @@ def test_one_copy_stays_without_distinct_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_members_listed_twice_do_not_cancel(spark):
+    rows = [(1, 10, 10), (1, 10, 10), (1, 20, 20), (1, 30, 30), (2, 40, 40), (2, 40, 40), (2, 20, 20), (2, 30, 30), (3, 50, 50), (3, 60, 60),
+            (4, 50, 50), (4, 60, 60)]
+    under = spark.createDataFrame(rows, "key long, cls long, comp long")
+    assert sorted(r.key for r in shingle_join._mixed_keys(under).collect()) == [1, 2, 3]
+
+
 def test_gram_hashes_do_not_cross_words():
     a, _ = language_filters.gram_hashes(["ab cd"], 3)
     b, _ = language_filters.gram_hashes(["cd ab"], 3)
