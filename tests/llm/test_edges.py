@@ -51,6 +51,22 @@ def test_dot_product_bins_hold_all_limits():
         assert (demand[bins == b].sum(axis=0) <= limits).all() and (bins == b).any()
 
 
+def test_loss_limit_binds_in_all_groups(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.randint(1, 60), rnd.randint(0, 20)) for i in range(600)]
+    rows = [(i, n, min(n, m)) for i, n, m in rows]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, loss_tokens long")
+    got = packing.pack(pieces, packing.Limits(tokens=200, segments=30, loss_tokens=40), group_pieces=100).collect()
+    assert sorted((r.doc_id, r.length, r.loss_tokens) for r in got) == rows
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in b), len(b), sum(r.loss_tokens for r in b)) for b in bins.values()]
+    assert all(t <= 200 and k <= 30 and m <= 40 for t, k, m in sums)
+    full = {s >> 32 for s, (t, _, m) in zip(bins, sums) if m >= 38 and t < 160}  # loss is full, tokens are not
+    assert full == {s >> 32 for s in bins} and len(full) > 1
+
+
 def test_rank_stream(spark, odd, none):
     ranks = np.array([0, 1, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 3])
     control, data = rank_stream.encode_ranks(ranks)
