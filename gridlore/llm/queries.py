@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlore.llm import (
-    language_filters, multiset_hash, packing, poisson_mix, prefix_forest, rank_stream, secret_links, shingle_join,
-    token_counts, tool_links,
+    bpe_tree, language_filters, multiset_hash, packing, poisson_mix, prefix_forest, rank_stream, secret_links, shingle_join,
+    token_counts, tool_links, triangle_negatives, turn_align,
 )
 from gridlore.llm.store import new_folder
 
@@ -186,3 +186,35 @@ def secrets_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_prefix_forest")
 def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_forest.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@_query("op11_turn_align")
+def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_align.repair(turn_align.damaged(_table(spark, folder, "conversations")))
+
+
+@_query("op12_triangle_negatives", """
+WITH used AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(FLOOR(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM used a JOIN used b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(ROW_NUMBER() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5""")
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = triangle_negatives.whole_parts(_table(spark, folder, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return triangle_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@_query("op13_bpe_tree")
+def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_tree.encode_documents(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
