@@ -265,8 +265,8 @@ def test_merges_equal_the_library(library):
 
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe_tree, "CACHE_BYTES", 2000)
-    small, big = bpe_tree.Pieces(bpe_tree.Merges(WORDS)), None
-    text = " ".join(f"w{i % 37}x{i % 11}" for i in range(2000))
+    small = bpe_tree.Pieces(bpe_tree.Merges(WORDS))
+    text = " ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 7 % 10] + "uvwxyz" * (i % 3) for i in range(2000))
     found = bpe_tree.digests(small, text)
     monkeypatch.undo()
     big = bpe_tree.Pieces(small.merges)
