@@ -24,6 +24,7 @@ from gridlore.operators.tables import detect_column_types, sql
 from gridlore.session import build_session
 from gridlore.sources.history import read_history, save_result
 from gridlore.sources.jdbc import jdbc_columns, jdbc_preview, jdbc_tables, read_jdbc
+from gridlore.sources.raw import read_raw
 from gridlore.sources.tables import (
     coerce_types, from_rows, load_saved, read_table, read_workbook, write_table,
 )
@@ -32,7 +33,7 @@ __all__ = [
     "audit", "build_session", "clean", "coerce_types", "columns_of", "dashboard", "dataset_insights",
     "detect_column_types", "detect_roles", "feature_importance", "financial_health", "fix_report", "forecast",
     "fraud", "from_rows", "insights", "inventory", "jdbc_columns", "jdbc_preview", "jdbc_tables", "load_saved",
-    "normalize_headers", "people", "predict", "quality_report", "read_history", "read_jdbc", "read_table",
+    "normalize_headers", "people", "predict", "quality_report", "read_history", "read_jdbc", "read_raw", "read_table",
     "read_workbook", "risk", "sales", "save_result", "sql", "summary_statistics", "table_statistics", "train",
     "write_table",
 ]

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridlore.functions.numeric import as_double
 from gridlore.functions.schema import columns_of, has_keyword
 from gridlore.plans.position import in_chunks
-from gridlore.plans.shape import column_rows, quoted
+from gridlore.plans.shape import column_rows, measured_join, quoted
+from gridlore.session import pin
 
 # Names of columns that should not be negative, error texts, bounds.
 NON_NEGATIVE_NAMES = (
@@ -74,6 +75,15 @@ def inconsistent_columns(sheet: str, raw: DataFrame, cells: str, expected, row_n
     return _issue(wrong, "medium", "inconsistent_columns", sheet, row_from=number, row_to=number, n=size)
 
 
+def ragged_rows(raw: DataFrame, sheet: str | Column | None = None) -> DataFrame:
+    """Records of ``read_raw`` that are longer or shorter than the header of their file. Rows
+    are counted from 1 after the header; the sheet is the file unless named."""
+    header = pin(raw.where("file_row = 0").select("file_no", F.size("cells").alias("__width")))
+    rows = measured_join(raw.where("file_row > 0").withColumn("__row", F.col("file_row") - 1), header, ["file_no"])
+    name = F.col("file") if sheet is None else sheet
+    return inconsistent_columns(name, rows, "cells", F.col("__width"), "__row")
+
+
 def _columns_to_watch(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in columns_of(df, "numeric") if any(has_keyword(c, k) for k in names)]
 
@@ -177,17 +187,20 @@ def merged_cell_gaps(sheet: str, df: DataFrame, row_no: str, cols: Sequence[str]
                   F.col("start") + 1, F.col("at") + 1, F.col("at") - F.col("start") - 1)
 
 
-def audit(spark: SparkSession, tables: Mapping[str, DataFrame], row_no: str = "row_no") -> DataFrame:
+def audit(spark: SparkSession, tables: Mapping[str, DataFrame], row_no: str = "row_no",
+          raw: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """All checks over all tables, sorted from high to low severity.
 
-    Gaps are looked for in tables that carry ``row_no``; ragged raw rows are a matter of
-    the reader and are checked with ``inconsistent_columns``.
+    Gaps are looked for in tables that carry ``row_no``, ragged rows in the records of the
+    tables' files, handed over in ``raw`` as ``read_raw`` gives them.
     """
     parts = [empty_workbook(spark, tables)]
     for sheet, df in tables.items():
         parts += [empty_sheet(sheet, df), column_issues(sheet, df)]
         if row_no in df.columns:
             parts.append(merged_cell_gaps(sheet, df, row_no))
+        if raw and sheet in raw:
+            parts.append(ragged_rows(raw[sheet], sheet))
     if tables:
         parts.append(header_lint(catalogue_of(spark, tables)))
     order = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)

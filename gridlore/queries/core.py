@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridlore.functions.numeric import rounded
-from gridlore.operators import profile as prof, sales as sales_ops, tables as tab
+from gridlore.operators import audit as aud, profile as prof, sales as sales_ops, tables as tab
 from gridlore.queries.inputs import SALES, sales_input
 from gridlore.queries.registry import ORACLE, Tables, pct, query, rnd
 from gridlore.session import shared_dir
 from gridlore.sources import history, tables as src
+from gridlore.sources.raw import read_raw
 
 
 def union_all(parts) -> str:
@@ -52,22 +53,79 @@ def q_coerce_numbers(spark, sf):
     return src.coerce_types(_text_table(Tables(spark, sf)), dates=False)
 
 
-def _new_folder(spark) -> str:
+def new_folder(spark) -> str:
     return f"{shared_dir(spark)}/gridlore-{uuid.uuid4().hex}"
 
 
 @query("csv_write_read", """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT)
 AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def q_csv(spark, sf):
-    folder = _new_folder(spark)
+    folder = new_folder(spark)
     src.write_table(Tables(spark, sf).customer, folder, "csv")
     return src.read_table(spark, folder, "csv")
 
 
+def _quoted_text(c: str):
+    return F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _document_files(spark, sf, header: bool) -> str:
+    """Documents as delimited text in several files, in order of language and id: texts with
+    their commas, quotes and line breaks; a cell too many or too few in some rows."""
+    folder = new_folder(spark)
+    docs = Tables(spark, sf).documents.where("doc_id is not null")
+    extra = F.when(F.col("doc_id") % 7 == 0, F.lit("more, or less"))
+    last = F.when(F.col("doc_id") % 11 != 0, F.col("lang"))
+    lines = docs.select("lang", "doc_id", F.concat_ws(
+        ",", F.col("doc_id").cast("string"), _quoted_text("text"), last, F.when(extra.isNotNull(), F.concat(F.lit('"'), extra, F.lit('"')))).alias("line"))
+    if header:
+        names = docs.select("lang").distinct().select("lang", F.lit(None).cast("bigint").alias("doc_id"), F.lit("doc_id,text,lang").alias("line"))
+        lines = lines.unionByName(names)
+        spread = lines.repartition("lang").sortWithinPartitions("lang", F.col("doc_id").asc_nulls_first())
+        spread.select("lang", "line").write.partitionBy("lang").text(folder)
+    else:
+        spread = lines.repartitionByRange(4, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+        spread.select("line").write.text(folder)
+    return folder
+
+
+_RAGGED = "3 + (doc_id % 7 = 0)::BIGINT - (doc_id % 11 = 0)::BIGINT"
+
+
+@query("read_raw_files", f"""SELECT ROW_NUMBER() OVER (ORDER BY lang, doc_id) - 1 AS row_no, CAST(doc_id AS VARCHAR) AS first_cell, text AS second_cell,
+CASE WHEN doc_id % 7 = 0 THEN 'more, or less' WHEN doc_id % 11 = 0 THEN text ELSE lang END AS last_cell, CAST({_RAGGED} AS INTEGER) AS width
+FROM documents WHERE doc_id IS NOT NULL""")
+def q_raw_files(spark, sf):
+    raw = read_raw(spark, _document_files(spark, sf, False))
+    cell = lambda i: F.element_at("cells", i)
+    return raw.select("row_no", cell(1).alias("first_cell"), cell(2).alias("second_cell"), cell(-1).alias("last_cell"), F.size("cells").alias("width"))
+
+
+@query("audit_ragged_files", f"""WITH rows AS (
+  SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id) AS i, {_RAGGED} AS width FROM documents WHERE doc_id IS NOT NULL)
+SELECT 'medium' AS severity, 'inconsistent_columns' AS category, lang AS sheet, CAST(NULL AS VARCHAR) AS "column",
+i AS row_from, i AS row_to, width AS n FROM rows WHERE width <> 3""")
+def q_ragged_files(spark, sf):
+    raw = read_raw(spark, _document_files(spark, sf, True))
+    return aud.ragged_rows(raw, F.regexp_extract("file", "lang=([^/]*)/", 1))
+
+
+@query("csv_surplus_cells", """SELECT CAST(c_custkey AS BIGINT) AS key, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'kept, too' END AS "Column_2",
+CASE WHEN c_custkey % 10 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS "Column_3", ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS row_no FROM customer""")
+def q_csv_surplus(spark, sf):
+    folder = new_folder(spark)
+    more = F.when(F.col("c_custkey") % 5 == 0, F.lit('"kept, too"'))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", more, F.when(F.col("c_custkey") % 10 == 0, F.col("c_nationkey").cast("string")))
+    lines = Tables(spark, sf).customer.select("c_custkey", line.alias("line"))
+    head = spark.range(1).select(F.lit(None).cast("bigint").alias("c_custkey"), F.lit("key,name").alias("line"))
+    lines.unionByName(head).coalesce(1).sortWithinPartitions(F.col("c_custkey").asc_nulls_first()).select("line").write.text(folder)
+    return src.read_table(spark, folder, "csv", row_no=True)
+
+
 @query("parquet_write_read", """SELECT o_orderkey, o_orderdate,
 CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS price FROM orders""")
 def q_parquet(spark, sf):
-    folder = _new_folder(spark)
+    folder = new_folder(spark)
     nan = F.when(F.col("o_orderstatus") == "F", F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
     table = Tables(spark, sf).orders.select("o_orderkey", "o_orderdate", nan.alias("price"))
     src.write_table(table, folder, "parquet")
@@ -80,7 +138,7 @@ ELSE 3 END, o_orderkey) - 1)::BIGINT AS row_no FROM orders"""
 
 def _numbered(spark, sf, fmt):
     """Orders in three files of unequal size, one per status, read with row numbers."""
-    folder, orders = _new_folder(spark), Tables(spark, sf).orders
+    folder, orders = new_folder(spark), Tables(spark, sf).orders
     for i, only in enumerate(("o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_orderstatus NOT IN ('F', 'O')")):
         part = orders.where(only).select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
         src.write_table(part.coalesce(1), f"{folder}/part={i}", fmt)
@@ -135,7 +193,7 @@ g AS (SELECT region, SUM(revenue) AS rev FROM sales GROUP BY region)
 SELECT 'sales' AS sheet_name, 'regional' AS analysis_type, region, {rnd('rev')} AS revenue
 FROM g ORDER BY rev DESC, region LIMIT 20""")
 def q_history(spark, sf):
-    folder = _new_folder(spark)
+    folder = new_folder(spark)
     t = Tables(spark, sf)
     history.save_result(prof.group_agg(t.orders, "o_orderstatus", "o_totalprice"), folder, "orders", "totals")
     history.save_result(sales_ops.regional_analysis(sales_input(t, "region", "revenue")), folder, "sales", "regional")

@@ -13,6 +13,7 @@ from gridlore.functions.numeric import (
 from gridlore.functions.schema import columns_of, unique_names
 from gridlore.plans.position import number_file_rows
 from gridlore.plans.shape import column_rows, quoted
+from gridlore.sources.raw import read_raw
 
 TYPED_SHARE = 0.5
 MOSTLY_NULL_SHARE = 0.9
@@ -123,21 +124,40 @@ def _text(v: Any) -> str | None:
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", dates: bool = True,
                row_no: bool = False, formats: tuple[str, ...] = (), **options: Any) -> DataFrame:
     """A table from parquet, orc, json or csv files. CSV is read as text with a header and
-    then typed (see ``coerce_types`` for ``dates`` and ``formats``). ``row_no`` adds the
-    0-based position in the files (by file path, then by row)."""
+    then typed (see ``coerce_types`` for ``dates`` and ``formats``); cells beyond the header
+    become columns named as those without a header are. ``row_no`` adds the 0-based position
+    in the files (by file path, then by row).
+
+    CSV is cut by ``read_raw``, so quoted cells may hold line breaks, and its options are
+    ``header``, ``sep`` and ``quote``. With any other option Spark's own CSV reader is used,
+    which takes one line as one record and drops cells beyond the header."""
+    if fmt == "csv" and not set(options) - {"header", "sep", "quote"}:
+        return coerce_types(_csv_cells(spark, path, row_no, **options), dates=dates, formats=formats)
     reader = spark.read.options(**{k: str(v) for k, v in options.items()})
     if fmt == "csv":
         if "header" not in options:
             reader = reader.option("header", True)
         raw = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-        names = unique_names(raw.columns)
-        if row_no:
-            return coerce_types(number_file_rows(raw.toDF(*names)), dates=dates, formats=formats)
-        return coerce_types(raw.toDF(*names), dates=dates, formats=formats)
+        raw = raw.toDF(*unique_names(raw.columns))
+        return coerce_types(number_file_rows(raw) if row_no else raw, dates=dates, formats=formats)
     table = reader.format(fmt).load(path)
     return number_file_rows(table) if row_no else table
 
 
+def _csv_cells(spark: SparkSession, path: str, row_no: bool, header: Any = True, sep: str = ",", quote: str = '"') -> DataFrame:
+    """Text columns of CSV files, as many as the longest record has cells."""
+    header = str(header).lower() == "true"
+    raw = read_raw(spark, path, sep, quote, trim=True)
+    first = F.any_value(F.when(F.col("row_no") == 0, F.col("cells")), ignoreNulls=True)
+    names, width = raw.agg(first, F.max(F.size("cells"))).first()
+    names = list(names or []) if header else []
+    names = unique_names(names + [None] * ((width or 0) - len(names)))
+    out = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)]
+    if row_no:
+        out.append((F.col("row_no") - (F.col("file_no") + 1 if header else 0)).alias("row_no"))
+    return (raw.where("file_row > 0") if header else raw).select(*out)
+
+
 def read_workbook(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",
                   **options: Any) -> dict[str, DataFrame]:
     """Several tables by name, empty ones included."""
@@ -166,11 +186,12 @@ def plain_values(df: DataFrame, dates_as_text: bool = False) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error",
                 partition_by: Sequence[str] = ()) -> None:
-    """Writes the table with plain values; text formats get ISO dates and a header."""
+    """Writes the table with plain values; text formats get ISO dates, CSV a header and doubled
+    quotes within quoted cells."""
     table = plain_values(df, dates_as_text=fmt in TEXT_FORMATS)
     writer = table.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
