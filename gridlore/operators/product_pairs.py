@@ -4,16 +4,19 @@ Counting pairs by joining every basket with itself emits k*k/2 rows for a basket
 products, which one huge basket makes impossible. The k most frequent pairs are found
 exactly with far less:
 
-1. Among the most widely bought products (a fixed number, so a basket adds a bounded
-   number of pairs) the pairs are counted. The k-th best count is a floor: no pair below
-   it can be in the answer, and a pair never counts more than its rarer product does, so
-   products bought by fewer customers than the floor drop out.
-2. If products outside that list remain, the largest baskets, fewer than half the floor,
-   are set aside. A pair that reaches the floor must be in at least floor - set-aside of
-   the other baskets. Only those are expanded; the survivors are then looked up in the
-   baskets set aside, by joins on product and customer.
-
-Every pair that can be in the answer is counted in full.
+1. Among the most widely bought products the pairs are counted. The k-th best count is a
+   floor: no pair below it can be in the answer, and a pair never counts more than its rarer
+   product does, so products bought by fewer customers than the floor drop out. While much
+   work is left, the list is widened, which raises the floor.
+2. The largest baskets, fewer than half the floor, are set aside. A pair that reaches the
+   floor must be in at least floor - set-aside of the other baskets. Only those are expanded;
+   the survivors are then looked up in the baskets set aside, by joins on product and customer.
+3. Where very many pairs would just reach the floor, as when every product was bought once,
+   only pairs above it are counted so. Of those that equal it the first by name are wanted:
+   pairs are counted for some first products at a time, in order of name, until there are enough.
+
+A basket is cut into blocks of products, and each two blocks are one key of the join, so a huge
+basket is many tasks. Every pair that can be in the answer is counted in full.
 """
 
 from __future__ import annotations
@@ -27,23 +30,34 @@ from gridlore.session import pin
 WIDELY_BOUGHT = 64
 MIN_ROWS = 10
 MIN_CUSTOMERS = 3
+#: Products of a block of one basket.
+BLOCK = 1024
+#: Pairs that are expanded without looking for less work: so many, or so many per basket row.
+EASY_PAIRS, EASY_PER_ROW = 2_000_000, 64
 
 
-def _pairs_within(baskets: DataFrame) -> DataFrame:
-    """(p1, p2, n) over baskets of few products: pairs are formed inside one row."""
-    per = baskets.groupBy("__cust").agg(F.array_sort(F.collect_list("__prod")).alias("__set"))
-    # position of each product, joined with the products after it
-    after = F.transform(
-        "__set",
-        lambda p, i: F.struct(
-            p.alias("p1"),
-            F.slice(F.col("__set"), i + 2, F.size("__set")).alias("rest"),
-        ),
-    )
-    one = per.select(F.explode(after).alias("x")).select(
-        F.col("x.p1").alias("p1"), F.explode("x.rest").alias("p2")
-    )
-    return one.groupBy("p1", "p2").agg(F.count("*").alias("n"))
+def _pair_counts(held: DataFrame) -> DataFrame:
+    """(p1, p2, n) over all pairs within the baskets (__cust, __prod), without repeats."""
+    sizes = held.groupBy("__cust").agg(F.count("*").alias("__size")).where("__size > 1")
+    rows = held.join(sizes, "__cust").withColumn("__blocks", F.ceil(F.col("__size") / BLOCK).cast("int"))
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__prod"), F.col("__blocks")).cast("int"))
+    left = rows.select("__cust", F.col("__prod").alias("a"), F.col("__block").alias("__i"),
+                       F.explode(F.sequence("__block", F.col("__blocks") - 1)).alias("__j"))
+    right = rows.select("__cust", F.col("__prod").alias("b"), F.explode(F.sequence(F.lit(0), "__block")).alias("__i"),
+                        F.col("__block").alias("__j"))
+    pairs = left.join(right, ["__cust", "__i", "__j"]).where((F.col("__i") < F.col("__j")) | (F.col("a") < F.col("b")))
+    return pairs.groupBy(F.least("a", "b").alias("p1"), F.greatest("a", "b").alias("p2")).agg(F.count("*").alias("n"))
+
+
+def _expanded(held: DataFrame) -> int:
+    """How many pairs of products the baskets hold, repeats included."""
+    sizes = held.groupBy("__cust").agg(F.count("*").cast("double").alias("k"))
+    return int(sizes.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0)
+
+
+def _floor(best: DataFrame, n: int) -> int:
+    counts = [r["n"] for r in best.select("n").collect()]
+    return min(counts) if len(counts) == n else 1
 
 
 def cross_sell_pairs(df: DataFrame, customer: str = "customer", product: str = "product",
@@ -51,7 +65,7 @@ def cross_sell_pairs(df: DataFrame, customer: str = "customer", product: str = "
     """(product_1, product_2, frequency): the n pairs most customers bought both of.
 
     Needs 10 rows and 3 customers with two or more products, else the result is empty.
-    Runs two or three small jobs when called, to learn the floor.
+    Runs some small jobs when called, to learn the floor. Ties go to the first names.
     """
     spark = df.sparkSession
     lines = df.select(quoted(customer).alias("__cust"), quoted(product).cast("string").alias("__prod"))
@@ -60,40 +74,77 @@ def cross_sell_pairs(df: DataFrame, customer: str = "customer", product: str = "
     baskets = pin(held.groupBy("__cust", "__prod").agg(F.count("*").alias("__lines")))
 
     sizes = baskets.groupBy("__cust").agg(F.count("*").alias("__size"), F.sum("__lines").alias("__lines"))
-    found = sizes.agg(F.count_if(F.col("__size") >= 2).alias("c"), F.sum("__lines").alias("r")).first()
+    found = sizes.agg(F.count_if(F.col("__size") >= 2).alias("c"), F.sum("__lines").alias("r"), F.sum("__size").alias("rows")).first()
     if found["c"] < MIN_CUSTOMERS or (found["r"] or 0) < MIN_ROWS:
         return spark.createDataFrame([], "product_1 string, product_2 string, frequency bigint")
 
-    support = baskets.groupBy("__prod").agg(F.count("*").alias("__support"))
-    ranked = [F.desc("__support"), F.col("__prod")]
-    wide = [r["__prod"] for r in support.orderBy(*ranked).limit(widely_bought).collect()]
-    known = _pairs_within(baskets.where(F.col("__prod").isin(wide)))
-    best = known.orderBy(F.desc("n"), "p1", "p2").limit(n)
-    floor_rows = [r["n"] for r in best.select("n").collect()]
-    floor = min(floor_rows) if len(floor_rows) == n else 1
-
-    rest = support.where((F.col("__support") >= floor) & ~F.col("__prod").isin(wide))
-    if not rest.take(1):
-        return _named(best)
-
-    wanted = support.where(F.col("__support") >= floor).select("__prod")
-    kept = baskets.join(wanted, "__prod", "left_semi").select("__cust", "__prod")
+    baskets = baskets.select("__cust", "__prod")
+    support = pin(baskets.groupBy("__prod").agg(F.count("*").alias("__support")))
+    bought = lambda least: baskets.join(support.where(F.col("__support") >= least).select("__prod"), "__prod", "left_semi")
+    easy = max(EASY_PAIRS, EASY_PER_ROW * found["rows"])
+    order = [F.desc("n"), F.col("p1"), F.col("p2")]
+    width, floor, best = widely_bought, 1, None
+    while True:
+        wide = support.orderBy(F.desc("__support"), "__prod").limit(width).select("__prod")
+        among = baskets.join(wide, "__prod", "left_semi")
+        if best is not None and _expanded(among) > min(easy, work // 4):
+            break  # a wider list would cost about as much as the answer
+        best = pin(_pair_counts(among).orderBy(*order).limit(n))
+        floor = max(floor, _floor(best, n))
+        if not support.where(F.col("__support") >= floor).join(wide, "__prod", "left_anti").take(1):
+            return _named(best)
+        work = _expanded(bought(floor))
+        if work <= easy:
+            break
+        width *= 8
+    if work <= easy or floor > 8:  # few pairs, or few that equal the floor
+        return _named(_counted_from(bought(floor), floor).orderBy(*order).limit(n))
+    above = pin(_counted_from(bought(floor + 1), floor + 1).orderBy(*order).limit(n))
+    missing = n - above.count()
+    if missing <= 0:
+        return _named(above)
+    ties = _first_by_name(bought(floor), support.where(F.col("__support") >= floor), floor, missing)
+    return _named(above.unionByName(ties).orderBy(*order))
+
+
+def _first_by_name(held: DataFrame, support: DataFrame, count: int, n: int) -> DataFrame:
+    """The first ``n`` pairs by name that were bought together exactly ``count`` times.
+
+    Some first products at a time, and more each time, so pairs are counted only as far as
+    the order of names needs it.
+    """
+    out, some, after = None, 8, None
+    names = support.select("__prod")
+    while True:
+        rest = names if after is None else names.where(F.col("__prod") > after)
+        last = rest.orderBy("__prod").limit(some).agg(F.max("__prod")).first()[0]
+        if last is None:
+            return out
+        first = held.where(F.col("__prod") <= last)
+        first = first if after is None else first.where(F.col("__prod") > after)
+        pairs = first.select("__cust", F.col("__prod").alias("p1")).join(
+            held.select("__cust", F.col("__prod").alias("p2")), "__cust").where("p1 < p2")
+        pairs = pairs.groupBy("p1", "p2").agg(F.count("*").alias("n")).where(F.col("n") == count)
+        found = pin(pairs.orderBy("p1", "p2").limit(n))
+        n -= found.count()
+        out = found if out is None else out.unionByName(found)
+        if n <= 0:
+            return out
+        some, after = some * 4, last
+
+
+def _counted_from(kept: DataFrame, floor: int) -> DataFrame:
+    """(p1, p2, n) of at least all pairs that ``floor`` or more baskets hold, each in full."""
     sizes = kept.groupBy("__cust").agg(F.count("*").alias("__size"))
     # Sizes above the bound belong to at most half the floor of customers.
     aside = floor // 2
     histogram = sizes.groupBy("__size").agg(F.count("*").alias("__n"))
     bound = _size_bound(histogram, aside)
     big = sizes.where(F.col("__size") > bound).select("__cust")
-    small_baskets = kept.join(sizes.where((F.col("__size") <= bound) & (F.col("__size") > 1)),
-                              "__cust", "left_semi")
+    small_baskets = kept.join(sizes.where((F.col("__size") <= bound) & (F.col("__size") > 1)), "__cust", "left_semi")
     big_baskets = kept.join(big, "__cust", "left_semi")
 
-    left = small_baskets.select("__cust", F.col("__prod").alias("p1"))
-    right = small_baskets.select("__cust", F.col("__prod").alias("p2"))
-    light = left.join(right, "__cust").where("p1 < p2").groupBy("p1", "p2").agg(
-        F.count("*").alias("n")
-    )
-    light = light.where(F.col("n") >= max(1, floor - aside))
+    light = _pair_counts(small_baskets).where(F.col("n") >= max(1, floor - aside))
     heavy = (
         light.select("p1", "p2")
         .join(big_baskets.select("__cust", F.col("__prod").alias("p1")), "p1")
@@ -101,7 +152,7 @@ def cross_sell_pairs(df: DataFrame, customer: str = "customer", product: str = "
         .groupBy("p1", "p2").agg(F.count("*").alias("n"))
     )
     full = light.unionByName(heavy).groupBy("p1", "p2").agg(F.sum("n").alias("n"))
-    return _named(full.orderBy(F.desc("n"), "p1", "p2").limit(n))
+    return full.where(F.col("n") >= floor)
 
 
 def _size_bound(histogram: DataFrame, aside: int) -> int:

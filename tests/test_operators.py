@@ -1,6 +1,7 @@
 """Hand-computed tables, one per rule and edge."""
 
 import math
+import time
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -429,6 +430,37 @@ def test_pairs_match_brute_force(spark, widely):
     assert got == _brute_pairs(data, 10)
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+@pytest.mark.parametrize("shape", ["random", "disjoint", "twins", "sparse"])
+def test_pairs_where_many_are_equal(spark, monkeypatch, shape, block):
+    import random
+
+    from gridlore.operators import product_pairs
+
+    for name, value in (("EASY_PAIRS", 0), ("EASY_PER_ROW", 0), ("BLOCK", block)):
+        monkeypatch.setattr(product_pairs, name, value)
+    rnd = random.Random(block)
+    if shape == "random":
+        data = [(f"c{rnd.randint(0, 30)}", f"p{rnd.randint(0, 60):02d}") for _ in range(500)]
+    elif shape == "disjoint":
+        data = [(f"c{c}", f"p{rnd.random()}") for c in range(6) for _ in range(40)]
+    elif shape == "twins":
+        data = [(f"c{c}{twin}", f"p{c * 30 + i:03d}") for c in range(4) for twin in "abc" for i in range(30)]
+    else:  # single products but for one pair at the end of the names
+        data = [(f"c{c}", f"p{c:03d}") for c in range(200)] + [(f"c{c}", x) for c in (1, 2) for x in ("z1", "z2")] + [("c5", "z3")]
+    df = spark.createDataFrame(data, "customer string, product string")
+    got = [tuple(r) for r in cross_sell_pairs(df, widely_bought=4).collect()]
+    assert got == _brute_pairs(data, 10)
+
+
+def test_pairs_of_large_disjoint_baskets(spark):
+    df = spark.range(60_000).selectExpr("concat('c', id % 20) AS customer", "concat('p', lpad(id, 5, '0')) AS product")
+    began = time.time()
+    got = [tuple(r) for r in cross_sell_pairs(df).collect()]
+    assert got == [("p00000", f"p{20 * k:05d}", 1) for k in range(1, 11)]
+    assert time.time() - began < 60  # 90 million pairs are never formed
+
+
 def test_pairs_need_three_customers(frame):
     df = frame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")] * 4, "customer string, product string")
     assert cross_sell_pairs(df).count() == 0
