@@ -3,7 +3,8 @@
 The leaves of the tree are the pairs of neighbouring symbols of a word: the rank of their merge
 and their place, or nothing. A node holds the smaller of its two children, so the root is the
 leftmost merge of lowest rank. A merge changes three leaves, each a path to the root, so a word
-of n letters takes n log n steps, however long it is.
+of n letters takes n log n steps, however long it is. Short words are merged many at a time, their
+trees as the rows of one array.
 
 White space never joins anything, so texts are encoded piece by piece, as the pre-tokenizer cuts
 them. Text of plain Latin letters is cut by one pattern, any other word by the library. Short
@@ -16,30 +17,36 @@ import hashlib
 import json
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gridlore.llm.store import worker_cache
-from gridlore.llm.tokens import text_slices
+from gridlore.llm.tokens import _byte_letters as byte_letters, text_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of pieces, ids and letters in each of the two generations of a worker's cache, about.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 #: Longer pieces are not kept.
 CACHE_PIECE = 64
-#: Characters of a text that are split into words at once.
-STRETCH = 1 << 20
+#: Characters of a text that are split into words at once, and pieces that are held.
+STRETCH, HELD = 1 << 20, 500_000
+#: Letters (bytes) of words that are merged together, and words of one array.
+SHORT, ROWS = 64, 16_384
 
 _NO_PAIR = 1 << 62
-_PLACE = 32
+_PLACE, _PLACES = 32, (1 << 32) - 1
+_ID = 24
+_LETTERS = byte_letters()  # of the bytes 0 to 255
 #: Characters that need no normalisation but lower case, and on which all agree what is a letter.
 _SAFE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ«»–—“”‘’…]*")
 #: The cut of the pre-tokenizer on such characters in lower case. Fixed values.
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
+_SHOWN = re.compile("[!-~]+")
 _CUT_HERE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -70,60 +77,129 @@ class Merges:
         #: whether texts of plain letters may be cut by our own pattern
         self.plain = (cuts[0].get("pattern") == {"Regex": _CUT_HERE} and cuts[0].get("invert") is True
                       and all(a.startswith("<|") for a in self.added))
-        #: (left id, right id) -> (rank, id of the merged symbol)
-        self.pairs = {}
+        #: two ids side by side in one number -> rank, shifted; id of the merged symbol
+        self.ranks, self.made = {}, {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ", 1)
-            self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            key = self.vocab[a] << _ID | self.vocab[b]
+            self.ranks[key], self.made[key] = rank << _PLACE, self.vocab[a + b]
+        self.sorted_pairs = np.array(sorted(self.ranks), np.int64)
+        self.sorted_ranks = np.array([self.ranks[k] for k in self.sorted_pairs.tolist()], np.int64)
+        self.sorted_made = np.array([self.made[k] for k in self.sorted_pairs.tolist()], np.int64)
+        self.letters = np.array([self.vocab.get(c, -1) for c in _LETTERS], np.int64)
+        self.last_letters = np.array([self.vocab.get(c + self.suffix, -1) for c in _LETTERS], np.int64)
+        self.all_letters = (self.letters >= 0).all() and (self.last_letters >= 0).all() and len(self.ranks) > 0
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer, the last letter with the word's end."""
-        letters = [*word[:-1], word[-1:] + self.suffix]
-        ids = [self.vocab[c] for c in letters if c in self.vocab]  # letters without a symbol vanish
-        n, pairs = len(ids), self.pairs
+        vocab, ranks, made = self.vocab, self.ranks, self.made
+        ids = [vocab[c] for c in [*word[:-1], word[-1:] + self.suffix] if c in vocab]  # letters without a symbol vanish
+        n = len(ids)
         if n < 2:
             return ids
         size = 1 << (n - 2).bit_length()
         tree = [_NO_PAIR] * (2 * size)
-        for i in range(n - 1):
-            found = pairs.get((ids[i], ids[i + 1]))
-            if found:
-                tree[size + i] = found[0] << _PLACE | i
-        for node in range(size - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        left = ids[0]
+        for i in range(1, n):
+            right = ids[i]
+            rank = ranks.get(left << _ID | right)
+            if rank is not None:
+                tree[size + i - 1] = rank | i - 1
+            left = right
+        for node in range(size + n - 2 >> 1, 0, -1):
+            a, b = tree[2 * node], tree[2 * node + 1]
+            tree[node] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(at: int, value: int) -> None:
-            node = size + at
-            tree[node] = value
-            while node > 1:
-                other = tree[node ^ 1]
-                least = value if value < other else other
-                node >>= 1
-                if tree[node] == least:
-                    return
-                tree[node] = value = least
-
-        def pair(at: int) -> int:
-            right = after[at]
-            found = pairs.get((ids[at], ids[right])) if right < n else None
-            return found[0] << _PLACE | at if found else _NO_PAIR
-
         while tree[1] != _NO_PAIR:
-            at = tree[1] & (1 << _PLACE) - 1
+            at = tree[1] & _PLACES
             gone = after[at]
-            ids[at] = pairs[ids[at], ids[gone]][1]
+            new = ids[at] = made[ids[at] << _ID | ids[gone]]
             ids[gone] = -1
-            after[at] = after[gone]
-            if after[at] < n:
-                before[after[at]] = at
-            if gone < n - 1:
-                put(gone, _NO_PAIR)
-            put(at, pair(at)) if at < n - 1 else None
-            if before[at] >= 0:
-                put(before[at], pair(before[at]))
+            right, left = after[gone], before[at]
+            after[at] = right
+            changed = []
+            if right < n:
+                before[right] = at
+                changed.append((gone, _NO_PAIR))
+                rank = ranks.get(new << _ID | ids[right])
+                changed.append((at, _NO_PAIR if rank is None else rank | at))
+            else:
+                changed.append((at, _NO_PAIR))
+            if left >= 0:
+                rank = ranks.get(ids[left] << _ID | new)
+                changed.append((left, _NO_PAIR if rank is None else rank | left))
+            for node, value in changed:
+                node += size
+                if tree[node] == value:
+                    continue
+                tree[node] = value
+                while node > 1:
+                    other = tree[node ^ 1]
+                    if other < value:
+                        value = other
+                    node >>= 1
+                    if tree[node] == value:
+                        break
+                    tree[node] = value
         return [i for i in ids if i >= 0]
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of many short words, given as bytes, each as ``merge`` gives them."""
+        out: list[list[int]] = [[]] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for bits in range(SHORT.bit_length()):
+            size = 1 << bits  # leaves, for words of up to size + 1 letters
+            rows = np.flatnonzero((lengths <= size + 1) & ((lengths > size // 2 + 1) | (bits == 0)))
+            for start in range(0, len(rows), ROWS):
+                some = rows[start:start + ROWS]
+                for at, ids in zip(some.tolist(), self._merged([words[i] for i in some.tolist()], lengths[some], size)):
+                    out[at] = ids
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaves of pairs of ids that stand at ``at``."""
+        key = left << _ID | right
+        place = np.minimum(np.searchsorted(self.sorted_pairs, key), len(self.sorted_pairs) - 1)
+        known = (self.sorted_pairs[place] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.sorted_ranks[place] | at, _NO_PAIR)
+
+    def _merged(self, words: list[bytes], lengths: np.ndarray, size: int) -> list[list[int]]:
+        n = len(words)
+        ids = np.full((n, size + 2), -1, np.int64)
+        row = np.repeat(np.arange(n), lengths)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        ids[row, column] = np.where(column == lengths[row] - 1, self.last_letters[letters], self.letters[letters])
+        tree = np.full((n, 2 * size), _NO_PAIR, np.int64)
+        tree[:, size:] = self._rank(ids[:, :size], ids[:, 1:size + 1], np.arange(size))
+        level = size
+        while level > 1:
+            tree[:, level // 2:level] = np.minimum(tree[:, level:2 * level:2], tree[:, level + 1:2 * level:2])
+            level //= 2
+        after = np.tile(np.arange(1, size + 3), (n, 1))
+        before = after - 2
+        live = np.arange(n)
+        while len(live := live[tree[live, 1] != _NO_PAIR]):
+            at = tree[live, 1] & _PLACES
+            gone = after[live, at]
+            key = ids[live, at] << _ID | ids[live, gone]
+            new = self.sorted_made[np.searchsorted(self.sorted_pairs, key)]
+            ids[live, at], ids[live, gone] = new, -1
+            right, left = after[live, gone], before[live, at]
+            after[live, at], before[live, right] = right, at
+            first = np.maximum(left, 0)
+            nodes = [np.where(gone < size, gone, at) + size, at + size, np.where(left >= 0, left, at) + size]
+            tree[live, nodes[0]] = _NO_PAIR
+            tree[live, nodes[1]] = self._rank(new, ids[live, right], at)
+            tree[live, nodes[2]] = np.where(left >= 0, self._rank(ids[live, first], new, first), tree[live, nodes[2]])
+            for _ in range(size.bit_length() - 1):
+                nodes = [node >> 1 for node in nodes]
+                for node in nodes:
+                    tree[live, node] = np.minimum(tree[live, 2 * node], tree[live, 2 * node + 1])
+        kept = ids >= 0
+        flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def cut(self, text: str) -> list[str | int]:
         """The pieces of a text: byte letters for ``merge``, and ids of special strings."""
         out = []
@@ -134,10 +210,14 @@ class Merges:
                 out += [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(part))]
         return out
 
+    def is_word(self, piece: str) -> bool:
+        """Whether a piece is one word of the pre-tokenizer, already normal."""
+        return bool(self.plain and _CUT.fullmatch(piece) and _SAFE.fullmatch(piece) and piece == piece.lower())
+
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one word or piece of a word without blanks."""
-        if piece.isascii() and piece.isalpha() and piece.islower():
-            return self.merge(piece)
+        if self.is_word(piece):
+            return self.merge(piece if _SHOWN.fullmatch(piece) else "".join([_LETTERS[b] for b in piece.encode()]))
         return [i for w in self.cut(piece) for i in ([w] if isinstance(w, int) else self.merge(w))]
 
 
@@ -150,9 +230,12 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> tuple[int, str, str]:
         found = self.older.get(piece)
-        if found is None:
-            ids = self.merges.encode_piece(piece)
-            found = (len(ids), " ".join(map(str, ids)), " ".join([self.merges.tokens[i] for i in ids]))
+        return self._put(piece, self.merges.encode_piece(piece)) if found is None else self._hold(piece, found)
+
+    def _put(self, piece: str, ids: list[int]) -> tuple[int, str, str]:
+        return self._hold(piece, (len(ids), " ".join(map(str, ids)), " ".join([self.merges.tokens[i] for i in ids])))
+
+    def _hold(self, piece: str, found: tuple[int, str, str]) -> tuple[int, str, str]:
         if len(piece) <= CACHE_PIECE:
             if self.held > CACHE_BYTES:
                 self.older = dict(self)
@@ -162,6 +245,13 @@ class Pieces(dict):
             self.held += 260 + len(piece) + len(found[1]) + len(found[2])
         return found
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encodes the words among pieces that are not held yet, many at a time."""
+        new = [p for p in pieces if p not in self and p not in self.older and len(p) <= SHORT // 2 and self.merges.is_word(p)]
+        if self.merges.all_letters:
+            for piece, ids in zip(new, self.merges.merge_many([p.encode() for p in new])):
+                self._put(piece, ids)
+
 
 def _pieces(merges: Merges, text: str) -> Iterator[list[str]]:
     """The pieces of a text, those of some words at a time, cut at blanks only."""
@@ -186,18 +276,40 @@ def _pieces(merges: Merges, text: str) -> Iterator[list[str]]:
             yield out
 
 
-def digests(pieces: Pieces, text: str) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
-    n, ids, tokens, first = 0, hashlib.sha256(), hashlib.sha256(), True
-    for some in _pieces(pieces.merges, text):
+class _Digest:
+    def __init__(self):
+        self.n, self.ids, self.tokens = 0, hashlib.sha256(), hashlib.sha256()
+
+    def update(self, pieces: Pieces, some: list[str]) -> None:
         found = [f for f in map(pieces.__getitem__, some) if f[0]]
         if found:
-            n += sum([f[0] for f in found])
-            for digest, k in ((ids, 1), (tokens, 2)):
-                digest.update(b"" if first else b" ")
-                digest.update(" ".join([f[k] for f in found]).encode())
-            first = False
-    return n, ids.hexdigest(), tokens.hexdigest()
+            lead = b" " if self.n else b""
+            for digest, parts in zip((self.ids, self.tokens), list(zip(*found))[1:]):
+                digest.update(lead + " ".join(parts).encode())
+            self.n += sum([f[0] for f in found])
+
+
+def digests(pieces: Pieces, texts: list[str]) -> list[tuple[int, str, str]]:
+    """Per text: number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
+    out = [_Digest() for _ in texts]
+    held: list[tuple[_Digest, list[str]]] = []
+
+    def flush() -> None:
+        pieces.learn(set().union(*[some for _, some in held]))
+        for digest, some in held:
+            digest.update(pieces, some)
+        held.clear()
+
+    size = 0
+    for digest, text in zip(out, texts):
+        for some in _pieces(pieces.merges, text):
+            held.append((digest, some))
+            size += len(some)
+            if size > HELD:
+                flush()
+                size = 0
+    flush()
+    return [(d.n, d.ids.hexdigest(), d.tokens.hexdigest()) for d in out]
 
 
 def encode(merges: Merges, text: str | None) -> list[int]:
@@ -233,7 +345,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         for batch in batches:
             for part in text_slices(batch, "t"):
                 texts = [t or "" for t in part.column("t").to_pylist()]
-                rows = [digests(pieces, t) for t in texts]
+                rows = digests(pieces, texts)
                 cols = [part.column("d"), pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 names = ["d", "n_tokens", "ids_sha256", "decoded_sha256"]
