@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridlore.functions.numeric import as_double, mean_of, percent, rounded
+from gridlore.functions.numeric import as_double, mean_of, rounded
 from gridlore.functions.schema import columns_of
 from gridlore.operators.insights import category_means, few_valued
-from gridlore.plans.position import with_position
-from gridlore.plans.shape import column_rows, melt_numeric, quoted, same_keys, top_per, value_counts
+from gridlore.plans.halves import column_facts
+from gridlore.plans.shape import quoted, same_keys, top_per, value_counts
 
 # Fixed values of the rules.
 MAX_CARDS = 12
-CARDS = ("total", "mean", "min", "max")
+CARDS = ("total", "mean", "min", "max")  # of a column, and the names of their facts
 LINE_METRICS = 3
 BAR_COLUMNS, BAR_CATEGORIES, BAR_TOP = 2, 20, 10
 PIE_COLUMNS, PIE_CATEGORIES, PIE_TOP = 3, 10, 8
@@ -28,50 +28,46 @@ def halves(df: DataFrame, cols: Sequence[str], order_by: Sequence[str]) -> DataF
     """(column, n, first_mean, second_mean, first_sum, rest_sum) over the non-null rows in
     order: the first n div 2 rows, the n div 2 after them, and everything after the first.
     """
-    ids = list(order_by)
-    cells = with_position(melt_numeric(df, cols, ids), [*ids, "value"], melted=True, name="__pos")
-    sizes = cells.groupBy("column").agg(F.count("*").alias("__n"))
-    cells = same_keys(cells, sizes, ["column"], small_right=True)
-    half = F.floor(F.col("__n") / 2)
-    first = F.col("__pos") < half
-    second = (F.col("__pos") >= half) & (F.col("__pos") < half * 2)
-    v = F.col("value")
-    return cells.groupBy("column").agg(
-        F.count("*").alias("n"), mean_of(F.when(first, v)).alias("first_mean"),
-        mean_of(F.when(second, v)).alias("second_mean"),
-        F.sum(F.when(first, v)).alias("first_sum"), F.sum(F.when(~first, v)).alias("rest_sum"))
+    _, facts = column_facts(df, cols, order_by)
+    rows = [(f["column"], f["n"], *_half_means(f), f["first_sum"], f["rest_sum"]) for f in facts if f["n"]]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, n bigint, first_mean double, second_mean double, first_sum double, rest_sum double")
 
 
-def _change(before, after):
-    big = F.abs(before) > TINY
-    return F.when(big, F.try_divide((after - before) * 100, before)).otherwise(0.0)
+def _half_means(f: dict) -> tuple[float | None, float | None]:
+    half = f["n"] // 2
+    return (f["first_sum"] / half, f["second_sum"] / half) if half else (None, None)
+
+
+def _change(before: float | None, after: float | None) -> float:
+    """Percent; 0 where there is no base to speak of."""
+    return (after - before) * 100 / before if before is not None and abs(before) > TINY else 0.0
+
+
+def _card_columns(df: DataFrame, cols: Sequence[str] | None) -> tuple[list[str], int | None]:
+    """The numeric columns that cards are made of, and how many of them are shown."""
+    return (list(cols), None) if cols else (columns_of(df, "numeric"), -(-MAX_CARDS // len(CARDS)))
 
 
 def kpis(df: DataFrame, order_by: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
     """(ord, card, column, value, change_pct): total, mean, min and max per numeric column,
     for the columns given, or else for the first 3 that have any value (12 cards). The
     change of the first two compares the means of the two halves."""
-    given, cols = bool(cols), list(cols or columns_of(df, "numeric"))
-    most = -(-MAX_CARDS // len(CARDS))
-    if not given and len(cols) > most:
+    cols, most = _card_columns(df, cols)
+    if most is not None and len(cols) > most:  # without values: no cards
         filled = df.agg(*[F.count(as_double(quoted(c))) for c in cols]).first()
-        cols = [c for c, n in zip(cols, filled) if n][:most] or cols[:most]
-    stats = column_rows(df, cols, {
-        "total": lambda c: F.sum(as_double(c)), "mean": lambda c: mean_of(as_double(c)),
-        "min": lambda c: F.min(as_double(c)), "max": lambda c: F.max(as_double(c)),
-        "filled": lambda c: F.count(as_double(c))}).where("filled > 0")
-    parts = halves(df, cols, order_by)
-    change = F.when(F.floor(F.col("n") / 2) > 1,
-                    _change(F.col("first_mean"), F.col("second_mean"))).otherwise(0.0)
-    both = same_keys(stats, parts.select("column", change.alias("__change")), ["column"],
-                     "left", small_right=True)
-    cards = F.array(*[
-        F.struct((F.col("column_no") * len(CARDS) + i).alias("ord"), F.lit(card).alias("card"),
-                 rounded(F.col(card), 2).alias("value"),
-                 (rounded(F.col("__change"), 2) if i < 2 else F.lit(0.0)).alias("change_pct"))
-        for i, card in enumerate(CARDS)])
-    out = both.select("column", F.inline(cards))
-    return out.select("ord", "card", "column", "value", "change_pct").orderBy("ord")
+        cols = [c for c, n in zip(cols, filled) if n][:most]
+    return _cards(df, column_facts(df, cols, order_by)[1] if cols else [])
+
+
+def _cards(df: DataFrame, facts: Sequence[dict]) -> DataFrame:
+    rows = []
+    for i, f in enumerate(facts):
+        change = _change(*_half_means(f)) if f["n"] // 2 > 1 else 0.0
+        for k, card in enumerate(CARDS if f["n"] else ()):
+            rows.append((i * len(CARDS) + k, card, f["column"], f[card], change if k < 2 else 0.0))
+    cards = df.sparkSession.createDataFrame(rows, "ord int, card string, column string, value double, change_pct double")
+    return cards.select("ord", "card", "column", rounded(F.col("value"), 2).alias("value"), rounded(F.col("change_pct"), 2).alias("change_pct")).orderBy("ord")
 
 
 def data_period(df: DataFrame, date: str | None = None) -> DataFrame:
@@ -142,65 +138,70 @@ def pie_chart_data(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 def dashboard_summary(df: DataFrame, order_by: Sequence[str],
                       cols: Sequence[str] | None = None) -> DataFrame:
-    """One row: sums of the first two numeric columns, growth of the first (second half
-    against first half, an odd middle row counting as second), and table counts."""
+    """One row: sums of the first two numeric columns (of ``cols`` if given), growth of the
+    first (second half against first half, an odd middle row counting as second), and counts."""
     numbers = list(cols or columns_of(df, "numeric"))
-    two = numbers[:2]
-    sums = [F.coalesce(F.sum(as_double(quoted(c))), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(two)]
-    row = df.agg(F.count("*").alias("row_count"), *sums)
-    growth = F.lit(0.0)
-    if len(two) == 2:
-        part = halves(df, two[:1], order_by)
-        rate = F.when(F.floor(F.col("n") / 2) > 1, _change(F.col("first_sum"), F.col("rest_sum")))
-        growth = F.coalesce(part.agg(F.max(rate)).scalar(), F.lit(0.0))
-    total = lambda i: rounded(F.col(f"s{i}"), 2) if len(two) > i else F.lit(0.0)
-    return row.select(
-        total(0).alias("total_revenue"), total(1).alias("total_profit"), rounded(growth, 2).alias("growth"),
-        "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-        F.lit(len(numbers)).cast("bigint").alias("numeric_count"))
-
-
-def dashboard_insights(df: DataFrame, order_by: Sequence[str], n: int = MAX_FACTS) -> DataFrame:
+    return _summary(df, numbers, *column_facts(df, numbers[:2], order_by))
+
+
+def _summary(df: DataFrame, numbers: Sequence[str], rows: int, facts: Sequence[dict]) -> DataFrame:
+    totals = [facts[i]["total"] or 0.0 if len(facts) > i else 0.0 for i in range(2)]
+    growth = 0.0
+    if len(facts) == 2 and facts[0]["n"] // 2 > 1:
+        growth = _change(facts[0]["first_sum"], facts[0]["rest_sum"])
+    out = df.sparkSession.createDataFrame(
+        [(*totals, growth, rows, len(df.columns), len(numbers))],
+        "total_revenue double, total_profit double, growth double, row_count bigint, column_count bigint, numeric_count bigint")
+    return out.select(*[rounded(F.col(c), 2).alias(c) for c in ("total_revenue", "total_profit", "growth")], "row_count", "column_count", "numeric_count")
+
+
+def dashboard_insights(df: DataFrame, order_by: Sequence[str], n: int = MAX_FACTS,
+                       metrics: Sequence[str] | None = None, texts: Sequence[str] | None = None) -> DataFrame:
     """(ord, code, column, text, value, value_2, value_3): the first n of these facts.
 
-    size (rows, columns), range of 2 numeric columns (min, max, mean), top_values of 2
-    text columns with at most 20 values (value, count, rank), period of the first date
-    column, kpis_up / kpis_down (cards changing by more than 5 %).
+    size (rows, columns), range of the numeric columns given, else of 2 (min, max, mean),
+    top_values of the text columns given, else of 2, with at most 20 values (value, count,
+    rank), period of the first date column, kpis_up / kpis_down (cards changing by more than 5 %).
     """
-    numbers, texts, dates = (columns_of(df, k) for k in ("numeric", "text", "date"))
-    none = F.lit(None)
+    numbers = columns_of(df, "numeric")
+    metrics = list(metrics or numbers[:2])
+    rows, facts = column_facts(df, list(dict.fromkeys([*metrics, *numbers])), order_by)
+    return _headlines(df, n, metrics, list(texts or columns_of(df, "text")[:2]), rows, facts)
+
+
+def _headlines(df: DataFrame, n: int, metrics: Sequence[str], texts: Sequence[str], rows: int, facts: Sequence[dict]) -> DataFrame:
+    spark, dates, none = df.sparkSession, columns_of(df, "date"), F.lit(None)
+    kind = "__ord int, code string, column string, text string, value double, value_2 double, value_3 double"
 
-    def facts(frame, order, code, column, text, *values):
+    def shown(frame, order, code, column, text, *values):
         cells = [v.cast("double") for v in values] + [none.cast("double")] * (3 - len(values))
         return frame.select(
             order.cast("int").alias("__ord"), F.lit(code).alias("code"), column.cast("string").alias("column"),
             text.cast("string").alias("text"), *[c.alias(a) for c, a in zip(cells, ("value", "value_2", "value_3"))])
 
-    size = df.agg(F.count("*").alias("r"))
-    parts = [facts(size, F.lit(0), "size", none, none, F.col("r"), F.lit(len(df.columns)))]
-    if numbers:
-        stats = column_rows(df, numbers[:2], {
-            "lo": lambda c: F.min(as_double(c)), "hi": lambda c: F.max(as_double(c)),
-            "m": lambda c: mean_of(as_double(c))}).where("lo is not null")
-        parts.append(facts(stats, F.col("column_no") + 1, "range", F.col("column"), none,
-                           *[rounded(F.col(c), 2) for c in ("lo", "hi", "m")]))
+    named = {f["column"]: f for f in facts}
+    plain = [(0, "size", None, None, float(rows), float(len(df.columns)), None)]
+    ranges = [(i + 1, "range", c, None, named[c]["min"], named[c]["max"], named[c]["mean"]) for i, c in enumerate(metrics) if named[c]["n"]]
+    most = -(-MAX_CARDS // len(CARDS))
+    cards = [f for f in facts if f["n"] and f["column"] in columns_of(df, "numeric")][:most]
+    changes = [float(rnd) for f in cards if f["n"] // 2 > 1 for rnd in [_change(*_half_means(f))] * 2]
+    after = len(metrics) + len(texts) + 20
+    moved = [(after + 10, "kpis_up", float(sum(c > 5 for c in changes))), (after + 11, "kpis_down", float(sum(c < -5 for c in changes)))]
+    plain += ranges + [(o, code, None, None, k, None, None) for o, code, k in moved if k]
+    parts = [spark.createDataFrame(plain, kind)]
+    parts[0] = parts[0].select("__ord", "code", "column", "text", *[
+        F.when(F.col("code") == "range", rounded(F.col(c), 2)).otherwise(F.col(c)).alias(c) for c in ("value", "value_2", "value_3")])
     if texts:
-        place = F.create_map(*[F.lit(x) for i, c in enumerate(texts[:2]) for x in (c, i)])
-        counts = _few_counts(df, texts[:2], 1, BAR_CATEGORIES)
+        place = F.create_map(*[F.lit(x) for i, c in enumerate(texts) for x in (c, i)])
+        counts = _few_counts(df, texts, 1, BAR_CATEGORIES)
         best = top_per(counts, ["column"], [F.desc("n"), F.col("value")], 3)
         best = best.withColumn("p", place[F.col("column")])
-        parts.append(facts(best, F.lit(10) + F.col("p"), "top_values", F.col("column"),
+        parts.append(shown(best, F.lit(len(metrics) + 10) + F.col("p"), "top_values", F.col("column"),
                            F.col("value"), F.col("n"), F.col("rank")))
     if dates:
         span = data_period(df)
-        shown = F.concat_ws("/", F.date_format("first", "yyyy-MM-dd"), F.date_format("last", "yyyy-MM-dd"))
-        parts.append(facts(span, F.lit(20), "period", F.col("column"), shown))
-    if numbers:
-        cards = kpis(df, order_by)
-        moved = cards.agg(F.count_if(F.col("change_pct") > 5).alias("up"),
-                          F.count_if(F.col("change_pct") < -5).alias("down"))
-        parts.append(facts(moved.where("up > 0"), F.lit(30), "kpis_up", none, none, F.col("up")))
-        parts.append(facts(moved.where("down > 0"), F.lit(31), "kpis_down", none, none, F.col("down")))
+        period = F.concat_ws("/", F.date_format("first", "yyyy-MM-dd"), F.date_format("last", "yyyy-MM-dd"))
+        parts.append(shown(span, F.lit(after), "period", F.col("column"), period))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -210,11 +211,15 @@ def dashboard_insights(df: DataFrame, order_by: Sequence[str], n: int = MAX_FACT
 
 
 def dashboard(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:
-    """All dashboard results the table has the columns for."""
+    """All dashboard results the table has the columns for; insights, summary and cards share
+    one look at the numeric columns."""
     numbers, texts, dates = (columns_of(df, k) for k in ("numeric", "text", "date"))
-    out = {"insights": dashboard_insights(df, order_by), "summary": dashboard_summary(df, order_by)}
+    rows, facts = column_facts(df, numbers, order_by)
+    most = -(-MAX_CARDS // len(CARDS))
+    out = {"insights": _headlines(df, MAX_FACTS, numbers[:2], texts[:2], rows, facts),
+           "summary": _summary(df, numbers, rows, facts[:2])}
     if numbers:
-        out["kpis"] = kpis(df, order_by)
+        out["kpis"] = _cards(df, [f for f in facts if f["n"]][:most])
     if dates:
         out["period"] = data_period(df)
     if dates and numbers:
