@@ -11,9 +11,12 @@ from gridlore.functions.numeric import (
     as_double, mean_of, percent, rounded, sample_kurtosis, sample_skew,
 )
 from gridlore.functions.schema import columns_of
+from gridlore.plans.gram import pair_correlations
 from gridlore.plans.quantiles import column_quantiles
 from gridlore.plans.shape import column_rows, melt_text, quoted, same_keys, top_per, value_counts
 
+#: Columns whose pairs are aggregated side by side.
+FEW_COLUMNS = 12
 AGGREGATES = {
     "sum": F.sum, "mean": mean_of, "count": F.count, "min": F.min, "max": F.max,
     "std": F.stddev_samp, "var": F.var_samp,
@@ -69,12 +72,17 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None,
                  group_by: Sequence[str] = ()) -> DataFrame:
     """(col_1, col_2, correlation): Pearson over rows where both are present.
 
-    All pairs are computed side by side in one pass; pairs without a result drop out.
+    One pass over the rows; pairs without a result drop out. The pairs of a few columns are
+    aggregated side by side, those of many by Gram matrices, whose plan does not grow.
     """
-    cols = cols or [c for c in columns_of(df, "numeric") if c not in group_by]
+    cols = list(cols or [c for c in columns_of(df, "numeric") if c not in group_by])
     pairs = list(combinations(cols, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_1 string, col_2 string, correlation double")
+    if len(cols) > FEW_COLUMNS:
+        name = F.array(*map(F.lit, cols))
+        return pair_correlations(df, cols, group_by).select(
+            *map(quoted, group_by), name[F.col("i")].alias("col_1"), name[F.col("j")].alias("col_2"), F.col("r").alias("correlation"))
     aggs = []
     for i, (a, b) in enumerate(pairs):
         x, y = as_double(quoted(a)), as_double(quoted(b))
