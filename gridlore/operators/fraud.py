@@ -164,13 +164,11 @@ def fraud_score(anomalies: DataFrame, patterns: DataFrame, group_by: Sequence[st
 
 def fraud(df: DataFrame, seed: int = 42) -> dict[str, DataFrame]:
     """Anomalies (isolation forest, or z-scores below 5 rows), patterns and the score."""
-    from gridlore.operators.isolation import isolation_forest
-
-    patterns = suspicious_patterns(df)
-    anomalies = isolation_forest(df, seed=seed) if columns_of(df, "numeric") else None
-    out = {"patterns": patterns}
-    if anomalies is not None:
-        out["anomalies"] = anomalies
-        every = isolation_forest(df, seed=seed, n=None)  # the list is cut to its top rows, the score is not
-        out["score"] = fraud_score(every, patterns)
+    from gridlore.operators.isolation import isolation_results
+
+    out = {"patterns": suspicious_patterns(df)}
+    if columns_of(df, "numeric"):
+        # the list is cut to its top rows, the score is not
+        out["anomalies"], every = isolation_results(df, seed=seed)
+        out["score"] = fraud_score(every, out["patterns"])
     return out

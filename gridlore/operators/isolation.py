@@ -14,13 +14,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlore.functions.numeric import as_double, mean_of, rounded
 from gridlore.functions.schema import columns_of
 from gridlore.operators.fraud import MIN_VALUES, anomalies_small
 from gridlore.plans.quantiles import column_quantiles
 from gridlore.plans.shape import quoted
+from gridlore.session import pin
 
 # The functions run in tasks travel with them: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed values of the method.
 TREES = 100
 SAMPLE = 256
+#: Places drawn for each one that is needed, and most that a block of copies can get.
+SPARE, MOST_PLACES = 1.5, 16
 THRESHOLD = 0.5
 HIGH = 0.7
 TOP_ROWS = 20
@@ -70,37 +73,69 @@ def grow_tree(values: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODES.split(", ")])
 
 
+def _uniform(*of) -> Column:
+    """A number from 0 to 1 that follows from the values."""
+    return F.shiftrightunsigned(F.xxhash64(*of), 11) / F.lit(float(1 << 53))
+
+
 def _sample(rows: DataFrame, cols: Sequence[str], n: int, trees: int, seed: int,
             key: Sequence[str] | None) -> DataFrame:
-    """(tree, features): up to 256 rows for each tree.
-
-    A pool of fixed size is drawn first, then each tree draws from the pool. With a
-    unique ``key`` the draw depends on nothing else; without one each row draws its own
-    number, so copies of a row are drawn independently of each other.
+    """(tree, __id, features): up to 256 rows for each tree, a draw of its own.
+
+    A draw follows from the row's content and the number of the copy, or from a unique ``key``,
+    never from partitions. Tables up to four times the size of all samples are drawn from tree
+    by tree. Of larger ones a row is in at most one sample: contents are counted by their hash
+    (with a key there is nothing to count), a content of c copies gets a Poisson number of
+    places with the mean that c rows should have, each place belongs to a tree, and every tree
+    keeps the 256 with the smallest draw. A content with very many copies stands for as many
+    blocks of copies as it should have places, so none is more than the samples hold together.
     """
-    pool_size = 4 * trees * SAMPLE
+    features = [F.col(f"__f{i}") for i in range(len(cols))]
+    content = list(map(quoted, key)) if key else features
+    if n <= 4 * trees * SAMPLE:
+        pool = rows.select(_uniform(F.lit(seed), *content).alias("__draw"), *features)
+        # at most 4 * trees * SAMPLE rows; copies are equal, so it does not matter which comes first
+        pool = pool.withColumn("__id", F.row_number().over(Window.orderBy("__draw", *features)))
+        chance = min(1.0, 3.0 * SAMPLE / n)
+        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+        drawn = pool.select("__id", *features, tree).withColumn("__turn", _uniform("__id", "tree", F.lit(seed)))
+        if chance < 1.0:
+            drawn = drawn.where(F.col("__turn") < chance)
+        return _smallest(drawn, "__id").select("tree", "__id", *features)
+
+    rate = SPARE * trees * SAMPLE / n  # places per row, below 1
+    most = math.floor(1 / rate)
+    marks = [F.xxhash64(F.lit(seed), *content).alias("__h"), F.xxhash64(*content, F.lit(seed)).alias("__h2")]
     if key:
-        draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *map(quoted, key)), 11)
-                / F.lit(float(1 << 53)))
+        blocks = rows.select(*marks, *features).withColumn("__b", F.lit(0)).withColumn("__mean", F.lit(rate))
     else:
-        draw = F.rand(seed)
-    features = [F.col(f"__f{i}") for i in range(len(cols))]
-    pool = rows.withColumn("__draw", draw)
-    if n > pool_size:
-        pool = pool.where(F.col("__draw") < 1.3 * pool_size / n)
-    pool = pool.select("__draw", *features).orderBy("__draw", *features).limit(pool_size)
-    # at most pool_size rows from here on
-    pool = pool.withColumn("__id", F.row_number().over(Window.orderBy("__draw", *features)))
-    size = min(n, pool_size)
-    chance = min(1.0, 3.0 * SAMPLE / size)
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    drawn = pool.select("__id", *features, tree).withColumn("__turn", F.shiftrightunsigned(
-        F.xxhash64("__id", "tree", F.lit(seed)), 11) / F.lit(float(1 << 53)))
-    if chance < 1.0:
-        drawn = drawn.where(F.col("__turn") < chance)
-    w = Window.partitionBy("tree").orderBy("__turn", "__id")
-    drawn = drawn.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= SAMPLE)
-    return drawn.select("tree", "__id", *features)
+        counted = rows.select(*marks).groupBy("__h", "__h2").agg(F.count("*").alias("__c"))
+        blocks = counted.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.col("__c") - 1) / most).cast("int"))))
+        copies = F.least(F.col("__c") - F.col("__b") * most, F.lit(most))
+        blocks = blocks.withColumn("__mean", copies * F.lit(rate))
+    mean, luck = F.col("__mean"), _uniform("__h", "__h2", "__b")
+    term, total, below = F.exp(-mean), F.exp(-mean), []
+    for k in range(1, MOST_PLACES + 1):  # the mean is at most 1
+        below.append((luck >= total).cast("int"))
+        term = term * mean / k
+        total = total + term
+    blocks = blocks.where(luck >= F.exp(-mean)).withColumn("__n", sum(below[1:], below[0]))
+    place = blocks.withColumn("__k", F.explode(F.sequence(F.lit(1), "__n"))).withColumn("__u", _uniform("__h", "__h2", "__b", "__k") * trees)
+    place = place.withColumn("tree", F.floor("__u").cast("int")).withColumn("__turn", F.col("__u") - F.floor("__u"))
+    drawn = _smallest(place, "__h", "__h2", "__b", "__k")
+    number = F.xxhash64("__h", "__h2", "__b", "__k").alias("__id")
+    if key:
+        return drawn.select("tree", number, *features)
+    drawn = pin(drawn.select("tree", number, F.col("__h").alias("__dh"), F.col("__h2").alias("__dh2")))
+    # at most trees * SAMPLE rows are sent; one row of each content comes back
+    found = rows.select(*marks, *features).join(F.broadcast(drawn.select("__dh", "__dh2").distinct()), (F.col("__h") == F.col("__dh")) & (
+        F.col("__h2") == F.col("__dh2")), "left_semi").dropDuplicates(["__h", "__h2"])
+    return drawn.join(found, (F.col("__h") == F.col("__dh")) & (F.col("__h2") == F.col("__dh2"))).select("tree", "__id", *features)
+
+
+def _smallest(drawn: DataFrame, *ties: str) -> DataFrame:
+    w = Window.partitionBy("tree").orderBy("__turn", *ties)
+    return drawn.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= SAMPLE)
 
 
 def forest_nodes(sample: DataFrame, width: int, seed: int) -> DataFrame:
@@ -185,6 +220,24 @@ def score_rows(df: DataFrame, cols: Sequence[str] | None = None, seed: int = 42,
         {"column": F.col("__worst.column"), "value": F.col("__worst.value")}).drop("__worst", *names)
 
 
+def isolation_results(df: DataFrame, cols: Sequence[str] | None = None, ids: Sequence[str] = (),
+                      seed: int = 42, trees: int = TREES, key: Sequence[str] | None = None,
+                      n: int | None = TOP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The n rows with the highest score above 0.5, and all rows above it, of one forest."""
+    cols = list(cols or [c for c in columns_of(df, "numeric") if c not in ids])
+    scored = score_rows(df, cols, seed, trees, key)
+    if scored is None:
+        small = anomalies_small(df, cols, ids)
+        return small, small
+    found = scored.where(F.col("score") > THRESHOLD)
+    best = found
+    if n is not None:
+        best = found.orderBy(F.desc("score"), *map(quoted, ids), "column", "value").limit(n)
+    return tuple(part.select(
+        *map(quoted, ids), "column", "value", rounded(F.col("score"), 4).alias("score"),
+        F.when(F.col("score") > HIGH, "high").otherwise("medium").alias("severity")) for part in (best, found))
+
+
 def isolation_forest(df: DataFrame, cols: Sequence[str] | None = None, ids: Sequence[str] = (),
                      seed: int = 42, trees: int = TREES, key: Sequence[str] | None = None,
                      n: int | None = TOP_ROWS) -> DataFrame:
@@ -193,13 +246,4 @@ def isolation_forest(df: DataFrame, cols: Sequence[str] | None = None, ids: Sequ
 
     The raw score is reported; above 0.7 is high. Below 5 rows z-scores are used instead.
     """
-    cols = list(cols or [c for c in columns_of(df, "numeric") if c not in ids])
-    scored = score_rows(df, cols, seed, trees, key)
-    if scored is None:
-        return anomalies_small(df, cols, ids)
-    found = scored.where(F.col("score") > THRESHOLD)
-    best = found
-    if n is not None:
-        best = found.orderBy(F.desc("score"), *map(quoted, ids), "column", "value").limit(n)
-    return best.select(*map(quoted, ids), "column", "value", rounded(F.col("score"), 4).alias("score"),
-                       F.when(F.col("score") > HIGH, "high").otherwise("medium").alias("severity"))
+    return isolation_results(df, cols, ids, seed, trees, key, n)[0]
