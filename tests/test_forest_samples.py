@@ -60,7 +60,7 @@ def test_scores_are_the_same_under_repartition_and_find_planted_rows(spark, smal
 
 
 def test_planted_rows_come_first(spark):
-    top = isolation.isolation_forest(table(spark), trees=50, n=3).collect()
+    top = isolation.isolation_forest(table(spark, 400, 100), trees=50, n=3).collect()
     assert {abs(r.value) >= 55 for r in top} == {True}
 
 
