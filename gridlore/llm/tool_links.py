@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridlore.llm.store import keep
+from gridlore.llm.store import keep, new_folder
 
 
 def canonical_json(text: str | Column) -> Column:
@@ -57,12 +57,16 @@ def levels(calls: DataFrame, keys: list[str]) -> DataFrame:
     ``calls`` is read several times. It has the keys (conversation, id, rank among the calls
     of that id), without repeats, ``position`` and ``after``, an array of ids; ids that are no
     call of the same conversation are ignored. A repeated id stands for its last call at an
-    earlier position, or for its first if there is none. Every round settles the calls all of
-    whose predecessors are settled, so there are as many rounds as the longest chain has
-    calls, each over the rows still open only.
+    earlier position, or for its first if there is none.
+
+    Calls that wait for a single one are chains: each points upward and doubles its pointer
+    until it stands at a call that waits for none or for several, in as many rounds as the
+    logarithm of the longest chain. Only calls that wait for several are then settled in
+    rounds, one per such call on the longest path. Every round reads written tables of the
+    same shape, so no plan grows.
     """
     scope, name, nth = keys
-    nodes = calls.select(*keys)
+    nodes = keep(calls.select(*keys, F.monotonically_increasing_id().alias("node")), "nodes")
     edges = calls.select(F.col(scope).alias("s"), F.col(name).alias("to"), F.col(nth).alias("to_nth"), "position",
                          F.explode("after").alias("of")).where("of is not null").distinct()
     if calls.where(F.col(nth) > 1).limit(1).count():
@@ -73,22 +77,64 @@ def levels(calls: DataFrame, keys: list[str]) -> DataFrame:
             "of_nth", F.coalesce(F.last("seen", ignorenulls=True).over(before), F.lit(1))).where("seen is null")
     else:
         edges = edges.withColumn("of_nth", F.lit(1))
-    is_same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1])) & (F.col(a[2]) == F.col(b[2]))
-    to, of, other = ("s", "to", "to_nth"), ("s", "of", "of_nth"), ("ls", "ln", "lk")
-    renamed = [F.col(k).alias(o) for k, o in zip(keys, other)]
-    edges = keep(edges.join(nodes, is_same(of, keys)).select(*to, "of", "of_nth"), "waits")
-    waiting = edges.select(F.col("s").alias("ls"), F.col("to").alias("ln"), F.col("to_nth").alias("lk")).distinct()
-    settled = keep(nodes.join(waiting, is_same(keys, other), "left_anti").withColumn("level", F.lit(1)), "level")
-    while edges.limit(1).count():
-        seen = settled.select(*renamed, F.col("level").alias("l"))
-        ready = edges.join(seen, is_same(of, other), "left").groupBy(*to).agg(
-            F.count("*").alias("n"), F.count("l").alias("known"), (F.max("l") + 1).alias("level"))
-        fresh = keep(ready.where("n = known").select(*[F.col(t).alias(k) for t, k in zip(to, keys)], "level"), "level")
+
+    def numbered(df, side):
+        known = nodes.select(F.col(scope).alias("ns"), F.col(name).alias("nn"), F.col(nth).alias("nk"), F.col("node").alias(f"{side}_node"))
+        return df.join(known, F.col("s").eqNullSafe(F.col("ns")) & (F.col(side) == F.col("nn")) & (F.col(f"{side}_nth") == F.col("nk"))).drop("ns", "nn", "nk")
+
+    edges = numbered(numbered(edges, "of"), "to").select(F.col("to_node").alias("to"), F.col("of_node").alias("of")).distinct()
+    edges = keep(edges, "waits")
+    waits = keep(edges.groupBy("to").agg(F.count("*").alias("n"), F.min("of").alias("of")), "degrees")
+    up = _upward(waits.where("n = 1").select(F.col("to").alias("node"), F.col("of").alias("up"), F.lit(1).alias("dist")))
+    roots = nodes.join(waits, F.col("node") == F.col("to"), "left_anti").select("node", F.lit(1).alias("level"))
+    settled = _settled(edges, waits, up, roots)
+    ends = roots if settled is None else roots.unionByName(settled)
+    below = up.join(ends.withColumnRenamed("node", "end"), F.col("up") == F.col("end")).select("node", (F.col("level") + F.col("dist")).alias("level"))
+    known = ends.unionByName(below).select(F.col("node").alias("known"), "level")
+    return nodes.join(known, F.col("node") == F.col("known"), "left").select(*keys, "level")
+
+
+def _upward(pointers: DataFrame) -> DataFrame:
+    """(node, up, dist): the first call above each that is no pointer itself; calls in or behind
+    a circle of pointers drop out."""
+    pointers = keep(pointers, "up")
+    longest, round_ = pointers.count(), 1
+    while longest:
+        above = pointers.select(F.col("node").alias("a"), F.col("up").alias("next"), F.col("dist").alias("more"))
+        joined = pointers.join(above, F.col("up") == F.col("a"), "left")
+        jumped = keep(joined.select("node", F.coalesce("next", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
+                                    F.col("next").isNotNull().alias("open")), "up")
+        pointers = jumped.drop("open")
+        if not jumped.where("open").limit(1).count():
+            break
+        if 1 << round_ - 1 > longest:  # every chain stood at its end before this round
+            return keep(jumped.where("not open").drop("open"), "up")
+        round_ += 1
+    return pointers
+
+
+def _settled(edges: DataFrame, waits: DataFrame, up: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(node, level) of the calls that wait for several, round by round."""
+    many = waits.where("n > 1").select(F.col("to").alias("m"))
+    if not many.limit(1).count():
+        return None
+    spark = edges.sparkSession
+    ends = up.select(F.col("node").alias("p"), "up", "dist")
+    paths = edges.join(many, F.col("to") == F.col("m")).join(ends, F.col("of") == F.col("p"), "left").select(
+        "to", F.coalesce("up", "of").alias("of"), F.coalesce("dist", F.lit(0)).alias("dist"))
+    paths = keep(paths.groupBy("to", "of").agg(F.max("dist").alias("dist")), "paths")
+    open_ = paths.groupBy("to").agg(F.count("*").alias("open"), F.lit(0).alias("top"))
+    fresh, folder, round_ = roots, new_folder(spark, "levels"), 0
+    while True:
+        come = paths.join(fresh.withColumnRenamed("node", "f"), F.col("of") == F.col("f")).groupBy(F.col("to").alias("t")).agg(
+            F.count("*").alias("c"), F.max(F.col("level") + F.col("dist")).alias("high"))
+        open_ = keep(open_.join(come, F.col("to") == F.col("t"), "left").select(
+            "to", (F.col("open") - F.coalesce("c", F.lit(0))).alias("open"), F.greatest("top", F.coalesce("high", F.lit(0))).alias("top")), "open")
+        fresh = keep(open_.where("open = 0").select(F.col("to").alias("node"), (F.col("top") + 1).alias("level")), "level", f"{folder}/round={round_}")
         if not fresh.limit(1).count():
-            break  # only circles, and what waits for them, are left
-        settled = settled.union(fresh)
-        edges = keep(edges.join(fresh.select(*renamed), is_same(to, other), "left_anti"), "waits")
-    return nodes.join(settled.select(*renamed, "level"), is_same(keys, other), "left").select(*keys, "level")
+            break  # all are settled, or only circles and what waits for them are left
+        open_, round_ = open_.where("open > 0"), round_ + 1
+    return spark.read.schema("node bigint, level int").parquet(folder).select("node", "level")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

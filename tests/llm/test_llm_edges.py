@@ -300,3 +300,71 @@ def test_shingles_of_a_slice():
     texts = pa.array(["a b c d e f", None, "x y", ""]).slice(1)
     flat, ends = shingle_join.shingle_sets(texts)
     assert ends.tolist() == [0, 1, 1] and len(flat) == 1
+
+
+def plain_levels(after):
+    """Longest way down by trying again until nothing changes; None on and behind circles."""
+    level = {}
+    for _ in after:
+        for k, of in after.items():
+            of = [o for o in of if o in after]
+            if k not in level and all(o in level for o in of):
+                level[k] = 1 + max((level[o] for o in of), default=0)
+    return {k: level.get(k) for k in after}
+
+
+@pytest.mark.parametrize("shape", ["chain", "net", "circles"])
+def test_levels_of_long_chains_and_nets(spark, shape):
+    rnd = random.Random(9)
+    if shape == "chain":
+        after = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)} | {f"s{i}": ["c200"] for i in range(50)}
+    elif shape == "net":
+        after = {f"c{i}": [f"c{rnd.randrange(i)}" for _ in range(rnd.choice((1, 1, 1, 1, 2, 3)))] if i else [] for i in range(250)}
+    else:
+        after = {f"c{i}": [f"c{rnd.randrange(80)}" for _ in range(rnd.choice((0, 0, 1, 1, 2)))] for i in range(80)}
+    calls = spark.createDataFrame([(1, k, 1, i, of or None) for i, (k, of) in enumerate(after.items())],
+                                  "conv_id long, call_id string, nth int, position long, after array<string>")
+    out = tool_links.levels(calls, ["conv_id", "call_id", "nth"])
+    assert {r.call_id: r.level for r in out.collect()} == plain_levels(after)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\n") < 60  # whatever the chain
+
+
+def plain_nearest(rows, k=10):
+    """Distances of huge and tiny differences by Python's own hypot."""
+    import math
+
+    rows, out = sorted(set(rows)), []
+    for i, v in rows:
+        if i % 100 == 0 and any(v):
+            near = sorted((math.dist(v, w), j, w) for j, w in rows if j != i and any(w))
+            out += [(i, r + 1, j, d) for r, (d, j, _) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def test_forest_takes_all_finite_vectors(spark):
+    rows = [(i, (1e200 * i, 1.0)) for i in range(5)] + [(100 + i, (1e-200 * i, 0.0)) for i in range(4)] + [(200, (3.0, 4.0))]
+    df = spark.createDataFrame([(i, list(v), 1, "x") for i, v in rows], "vec_id long, embedding array<double>, query_id long, mix string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in prefix_forest.search(df, F.col("vec_id") % 100 == 0).collect())
+    want = plain_nearest(rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) > 10
+    assert all(abs(g[3] - w[3]) <= 1e-12 * w[3] for g, w in zip(got, want))
+
+
+def test_forest_keeps_lists_of_repeated_ids_apart(spark):
+    rnd = random.Random(5)
+    rows = [(i, (rnd.random(), rnd.random(), 1.0)) for i in range(30)] + [(0, (5.0, 5.0, 1.0)), (7, (5.1, 5.0, 1.0))]
+    df = spark.createDataFrame([(i, list(v)) for i, v in rows + rows[:3]], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in prefix_forest.search(df, F.col("vec_id") % 100 == 0, k=4).collect())
+    assert got == [(q, r, v, round(s, 9)) for q, r, v, s in plain_nearest(rows, 4)] and len(got) == 8
+
+
+def test_work_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2", "s", 1, 2, 3, 4, 5, 6, "l")],
+                                 "doc_id long, text string, source string, __of int, __n int, __rate int, __id int, __mark int, __m int, linked string")
+    extra = ["__of", "__n", "__rate", "__id", "__mark", "__m", "linked"]
+    kept = lambda df: [tuple(r) for r in df.select(*extra).distinct().collect()]
+    row = [(1, 2, 3, 4, 5, 6, "l")]
+    assert kept(poisson_mix.mix(docs, seed=1, total=50)) == row
+    assert kept(secret_links.scan_secrets(docs)) == row and kept(secret_links.redact(docs)) == row
+    pieces = spark.createDataFrame([(1, 5, 5, 9)], "doc_id long, length long, loss_tokens long, __group long")
+    assert [r["__group"] for r in packing.pack(pieces).collect()] == [9]
