@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlore.llm import tokens as _tokens
-from gridlore.llm.store import keep
+from gridlore.llm.store import free, keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -134,7 +134,7 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), tokens: str = "length", l
                            T.StructField("offset", T.LongType())])
     bound = np.array([limits.tokens, limits.segments, limits.loss_tokens], dtype=np.int64)
     names = pieces.columns
-    group = "__group"
+    group, = free(pieces, "__group")
 
     def place(key, table):
         demand = np.column_stack([

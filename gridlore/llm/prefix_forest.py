@@ -51,7 +51,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, rows: int, trees: int, bits: int, chunk: int, seed: int):
         rng = np.random.default_rng(seed)
         dims = sample.shape[1]
-        self.bits, self.centre = bits, sample.mean(axis=0)
+        self.bits, self.centre = bits, (sample / len(sample)).sum(axis=0)
         self.directions = []
         for _ in range(trees):
             parts = [np.linalg.qr(rng.normal(size=(dims, dims)))[0] for _ in range(-(-bits // dims))]
@@ -120,6 +120,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(flat.flatten(), dtype=np.float64).reshape(len(flat), -1) if len(flat) else np.empty((0, 1))
 
 
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of a double, by scaled differences."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = rows - query
+        near = np.sqrt((apart * apart).sum(axis=1))
+        odd = np.flatnonzero(~((near > 1e-140) & (near < 1e140)))
+        if len(odd):
+            most = np.abs(apart[odd]).max(axis=1)
+            scale = np.where((most > 0) & np.isfinite(most), most, 1.0)[:, None]
+            near[odd] = scale[:, 0] * np.sqrt(((apart[odd] / scale) ** 2).sum(axis=1))
+    return near
+
+
 def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding",
            trees: int = TREES, share: float = SHARE, least: int = LEAST, seed: int = 17) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance in double precision): the
@@ -127,8 +140,9 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
 
     Ties go to the smaller id. Rows with a null id, a null, empty or zero vector, one with
     a null or non-finite component, or with another length than most of the sample take no
-    part. Rows with the same id count as one per distinct vector and never find each other.
-    Fewer candidates than ``k`` give fewer rows; an empty table none. Other columns are not
+    part. Rows with the same id count as one per distinct vector, as candidates and as queries
+    (each has a list of its own), and never find each other. Finite vectors of any size take
+    part; a distance beyond the largest double is infinite and comes last. Fewer candidates than ``k`` give fewer rows; an empty table none. Other columns are not
     read. The centre and the chunk limits are fitted on FIT_ROWS rows (those of smallest
     hash); every row is in the index.
     """
@@ -153,15 +167,15 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
 
     salts = _cuts(entries, shared, trees, CHUNK)
     levels = _levels(entries, asked, shared, trees, enough, salts)
-    found = _found(entries, keep(asked.join(levels, "query_id"), "levels"), shared, trees, k, salts)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = _found(entries, keep(asked.join(levels, ["query_id", "mix"]), "levels"), shared, trees, k, salts)
+    best = Window.partitionBy("query_id", "query_mix").orderBy("score", "vec_id", "mix")
+    merged = found.groupBy("query_id", "query_mix", "vec_id", "mix").agg(F.min("score").alias("score"))
     ranked = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _levels(entries: DataFrame, asked: DataFrame, shared, trees: int, enough: int, salts: list) -> DataFrame:
-    """(query_id, level): the longest prefix at which all trees together hold enough rows.
+    """(query_id, mix, level): the longest prefix at which all trees together hold enough rows.
 
     A query counts in the chunk where it stands, in all its salts; a chunk holds many times
     the rows needed, so rows beyond its ends can only make a level richer than counted, never
@@ -186,11 +200,11 @@ def _levels(entries: DataFrame, asked: DataFrame, shared, trees: int, enough: in
                         salt, part = (other[now], own[now]) if key else (own[now], other[now])
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(salt), tree)), pa.array(chunk[at[now]]), pa.array(salt), pa.array(part),
-                             pa.array(codes[at[now]]), ids.take(pa.array(at[now]))],
-                            ["tree", "chunk", "salt", "part", "code", "query_id"])
+                             pa.array(codes[at[now]]), ids.take(pa.array(at[now])), pa.array(mix[at[now]])],
+                            ["tree", "chunk", "salt", "part", "code", "query_id", "mix"])
         return run
 
-    kind = "tree bigint, chunk bigint, salt bigint, part bigint, code bigint, query_id bigint"
+    kind = "tree bigint, chunk bigint, salt bigint, part bigint, code bigint, query_id bigint, mix bigint"
     both = entries.mapInArrow(code(False), kind).union(asked.mapInArrow(code(True), kind))
 
     def count(key, table):
@@ -205,18 +219,19 @@ def _levels(entries: DataFrame, asked: DataFrame, shared, trees: int, enough: in
         flat = np.array(counts).T.reshape(-1)
         width = forest.bits + 1
         return pa.table({"query_id": np.repeat(ids.filter(ids.is_valid()).to_numpy(), width),
+                         "mix": np.repeat(table.column("mix").to_numpy()[asks], width),
                          "level": np.tile(np.arange(width), len(mine)), "n": flat.astype(np.int64)})
 
-    parts = both.groupBy("tree", "chunk", "salt", "part").applyInArrow(count, "query_id bigint, level bigint, n bigint")
-    held = parts.groupBy("query_id", "level").agg(F.sum("n").alias("n"))
+    parts = both.groupBy("tree", "chunk", "salt", "part").applyInArrow(count, "query_id bigint, mix bigint, level bigint, n bigint")
+    held = parts.groupBy("query_id", "mix", "level").agg(F.sum("n").alias("n"))
     good = F.max(F.when(F.col("n") >= enough, F.col("level")))
-    return held.groupBy("query_id").agg(F.coalesce(good, F.lit(0)).alias("level"))
+    return held.groupBy("query_id", "mix").agg(F.coalesce(good, F.lit(0)).alias("level"))
 
 
 def _found(entries: DataFrame, asked: DataFrame, shared, trees: int, k: int, salts: list) -> DataFrame:
-    """(query_id, vec_id, score): the nearest rows under a query's prefix, per tree, chunk and salt."""
+    """(query_id, query_mix, vec_id, mix, score): the nearest rows under a query's prefix, per tree, chunk and salt."""
     cuts = entries.sparkSession.sparkContext.broadcast((salts, _cuts(asked, shared, trees, CHUNK)))
-    columns = ["tree", "chunk", "salt", "part", "code", "id", "level", "v"]
+    columns = ["tree", "chunk", "salt", "part", "code", "id", "mix", "level", "v"]
 
     def place(batches):
         forest, (salts, parts) = shared.value, cuts.value
@@ -231,7 +246,7 @@ def _found(entries: DataFrame, asked: DataFrame, shared, trees: int, k: int, sal
                     at, part = rows[i:i + BATCH], parted[i:i + BATCH]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), tree)), pa.array(chunk[at]), pa.array(salt[at]), pa.array(part),
-                         pa.array(codes[at]), batch.column("vec_id").take(pa.array(at)),
+                         pa.array(codes[at]), batch.column("vec_id").take(pa.array(at)), pa.array(mix[at]),
                          pa.array(np.full(len(at), -1)), batch.column("v").take(pa.array(at))], columns)
 
     def route(batches):
@@ -250,7 +265,7 @@ def _found(entries: DataFrame, asked: DataFrame, shared, trees: int, k: int, sal
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), tree)), pa.array(chunk), pa.array(salted[i:i + BATCH]),
                          pa.array(mix[at] % parts[tree][chunk]), pa.array(codes[at]),
-                         batch.column("query_id").take(pa.array(at)), pa.array(level[at]), batch.column("v").take(pa.array(at))],
+                         batch.column("query_id").take(pa.array(at)), pa.array(mix[at]), pa.array(level[at]), batch.column("v").take(pa.array(at))],
                         columns)
 
     def compare(key, table):
@@ -258,26 +273,25 @@ def _found(entries: DataFrame, asked: DataFrame, shared, trees: int, k: int, sal
         level = table.column("level").to_numpy()
         held, asks = np.flatnonzero(level < 0), np.flatnonzero(level >= 0)
         vectors, codes, ids = _matrix(table.column("v")), table.column("code").to_numpy(), table.column("id").to_numpy()
+        mixes = table.column("mix").to_numpy()
         held = held[np.argsort(codes[held], kind="stable")]
         low, high = forest.span(codes[asks], level[asks])
         first = np.searchsorted(codes[held], low, side="left")
         last = np.searchsorted(codes[held], high, side="right")
-        base, names = vectors[held], ids[held]
+        base, names, marks = vectors[held], ids[held], mixes[held]
         out = []
         for q, a, b in zip(asks.tolist(), first.tolist(), last.tolist()):
-            near = np.sqrt(((base[a:b] - vectors[q]) ** 2).sum(axis=1))
-            near = np.where(names[a:b] == ids[q], np.inf, near)
-            if len(near) > 2 * k:
-                bound = np.partition(near, k - 1)[k - 1]
-                at = np.flatnonzero(near <= bound)
-            else:
-                at = np.arange(len(near))
-            at = at[np.lexsort((names[a:b][at], near[at]))][:k]
-            at = at[np.isfinite(near[at])]
-            out.append((np.full(len(at), ids[q]), names[a:b][at], near[at]))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        return pa.table({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2]})
-
-    kind = "tree bigint, chunk bigint, salt bigint, part bigint, code bigint, id bigint, level bigint, v array<double>"
+            near = distances(base[a:b], vectors[q])
+            others = np.flatnonzero(names[a:b] != ids[q])
+            if len(others) > 2 * k:
+                bound = np.partition(near[others], k - 1)[k - 1]
+                others = others[near[others] <= bound]
+            at = others[np.lexsort((marks[a:b][others], names[a:b][others], near[others]))][:k]
+            out.append((np.full(len(at), ids[q]), np.full(len(at), mixes[q]), names[a:b][at], marks[a:b][at], near[at]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4 + [np.empty(0)]
+        return pa.table(dict(zip(("query_id", "query_mix", "vec_id", "mix"), (c.astype(np.int64) for c in cols))) | {"score": cols[4]})
+
+    kind = "tree bigint, chunk bigint, salt bigint, part bigint, code bigint, id bigint, mix bigint, level bigint, v array<double>"
     both = entries.mapInArrow(place, kind).union(asked.select("query_id", "level", "v", "mix").mapInArrow(route, kind))
-    return both.groupBy("tree", "chunk", "salt", "part").applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
+    return both.groupBy("tree", "chunk", "salt", "part").applyInArrow(
+        compare, "query_id bigint, query_mix bigint, vec_id bigint, mix bigint, score double")

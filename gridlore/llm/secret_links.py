@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridlore.llm import tokens as _tokens
-from gridlore.llm.store import keep
+from gridlore.llm.store import free, keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -108,14 +108,15 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     docs = docs.drop(*ADDED)
     found = find_parts(docs, text)
     # equal texts under equal ids have equal parts, so they may share a key
-    mark = {"__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__mark": F.xxhash64(text, F.lit(1))}
+    own, told, own_too, told_too, linked_as = free(found, "__id", "__mark", "__i", "__m", "linked")
+    mark = {own: F.coalesce(F.col(doc_id).cast("string"), F.lit("")), told: F.xxhash64(text, F.lit(1))}
     weak = F.exists("parts", lambda p: p["kind"] >= 3)
     some = found.where(weak).select(*[v.alias(k) for k, v in mark.items()], "parts")
-    linked = keep(linked_parts(some, list(mark), reach).withColumnsRenamed({"__id": "__i", "__mark": "__m"}), "linked")
+    linked = keep(linked_parts(some, list(mark), reach).withColumnsRenamed({own: own_too, told: told_too, "linked": linked_as}), "linked")
     if linked.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         linked = F.broadcast(linked)  # else both sides are shuffled
     with_links = found.withColumns(mark).join(
-        linked, F.when(weak, F.col("__id")).eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left")
+        linked, F.when(weak, F.col(own)).eqNullSafe(F.col(own_too)) & (F.col(told) == F.col(told_too)), "left")
     base = F.filter("parts", lambda p: p["kind"] < 3)
     order = lambda x: F.transform(F.array_sort(F.transform(x, lambda p: F.struct(
         p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))), lambda p: F.struct(
@@ -124,7 +125,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     nothing = F.array().cast(_LIST)
     return with_links.withColumns({
         "n_assign": count(0), "n_access": count(1), "n_hex": count(2), "base_spans": order(base),
-        "spans": order(F.concat(base, F.coalesce(F.col("linked"), nothing)))}).drop("parts", "linked", "__id", "__mark", "__i", "__m")
+        "spans": order(F.concat(base, F.coalesce(F.col(linked_as), nothing)))}).drop("parts", linked_as, own, told, own_too, told_too)
 
 
 def listed(spans: str):

@@ -38,3 +38,14 @@ def row_hash(*cols: str | Column, seed: int = 0) -> Column:
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, for models loaded once per process."""
     return sys.modules.setdefault("_gridlore_worker", types.ModuleType("_gridlore_worker")).__dict__
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for work columns that no column of the table has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
