@@ -13,7 +13,8 @@ from gridlore.functions.numeric import (
 from gridlore.functions.schema import columns_of
 from gridlore.plans.gram import pair_correlations
 from gridlore.plans.quantiles import column_quantiles
-from gridlore.plans.shape import column_rows, melt_text, quoted, same_keys, top_per, value_counts
+from gridlore.plans.shape import column_rows, key_counts, quoted, same_keys, top_per, top_texts, value_counts
+from gridlore.session import pin
 
 #: Columns whose pairs are aggregated side by side.
 FEW_COLUMNS = 12
@@ -30,17 +31,15 @@ def group_agg(df: DataFrame, key: str, col: str, fn: str = "sum") -> DataFrame:
 
 def top_values(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10) -> DataFrame:
     """(column, value, count, rank): the n most frequent non-null values per text column."""
-    counts = value_counts(df, cols or columns_of(df, "text"))
-    best = top_per(counts, ["column"], [F.desc("n"), F.col("value")], n)
+    best = top_texts(df, list(cols or columns_of(df, "text")), n)
     return best.select("column", "value", F.col("n").alias("count"), "rank")
 
 
 def value_distribution(df: DataFrame, cols: Sequence[str] | None = None, n: int = 20) -> DataFrame:
     """(column, value, count, pct): as ``top_values`` with the share of non-null cells."""
-    cols = cols or columns_of(df, "text")
-    counts = value_counts(df, cols)
-    totals = counts.groupBy("column").agg(F.sum("n").alias("__total"))
-    best = top_per(counts, ["column"], [F.desc("n"), F.col("value")], n)
+    cols = list(cols or columns_of(df, "text"))
+    totals = column_rows(df, cols, {"__total": lambda c: F.count(c)}).select("column", "__total")
+    best = top_texts(df, cols, n)
     return same_keys(best, totals, ["column"], small_right=True).select(
         "column", "value", F.col("n").alias("count"),
         percent(F.col("n"), F.col("__total")).alias("pct"),
@@ -100,11 +99,10 @@ def correlations(df: DataFrame, cols: Sequence[str] | None = None,
 
 def _text_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, unique, top, top_freq): distinct values and the most frequent one."""
-    counts = value_counts(df, cols)
-    first = F.min(F.struct((-F.col("n")).alias("n"), "value"))
-    out = counts.groupBy("column").agg(F.count("*").alias("unique"), first.alias("__top"))
-    return out.select("column", "unique", F.col("__top.value").alias("top"),
-                      (-F.col("__top.n")).alias("top_freq"))
+    counts = pin(key_counts(df, cols))
+    unique = counts.groupBy("column").agg(F.count("*").alias("unique"))
+    top = top_texts(df, cols, 1, counts).select("column", F.col("value").alias("top"), F.col("n").alias("top_freq"))
+    return same_keys(unique, top, ["column"], small_right=True)
 
 
 def table_statistics(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridlore.functions.numeric import as_double, mean_of, number_from_text, percent, rounded
 from gridlore.functions.schema import columns_of
 from gridlore.plans.quantiles import column_quantiles
-from gridlore.plans.shape import column_rows, melt_numeric, quoted, same_keys, value_counts
+from gridlore.plans.shape import column_rows, key_counts, melt_numeric, quoted, same_keys, text_key
 
 # Texts a spreadsheet shows for a failed formula.
 ERROR_TOKENS = ("#REF!", "#DIV/0!", "#N/A", "#VALUE!", "#####", "#NULL!", "#NUM!", "#NAME?")
@@ -120,9 +120,12 @@ def check_columns(df: DataFrame) -> DataFrame:
 def check_duplicates(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier one (nulls equal); above 5 % medium.
 
-    Copies collapse to one counted row in each task before the shuffle.
+    Copies collapse to one counted row in each task before the shuffle, in which a short key
+    stands for a long text.
     """
-    copies = df.groupBy(*map(quoted, df.columns)).agg(F.count("*").alias("__n"))
+    texts = set(columns_of(df, "text"))
+    keys = [(text_key(quoted(c)) if c in texts else quoted(c)).alias(f"__k{i}") for i, c in enumerate(df.columns)]
+    copies = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     stats = copies.agg(F.sum("__n").alias("rows"), F.sum(F.col("__n") - 1).alias("extra"))
     stats = stats.where("extra > 0")
     severity = F.when(F.col("extra") > F.col("rows") * 0.05, "medium").otherwise("low")
@@ -154,14 +157,15 @@ def check_outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None) -> Data
 
 
 def distinct_per_column(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """(column, rows, filled, distinct). Exact: values are grouped per column in one query
-    and then counted, so no column's values meet in one task. ``approx`` uses a sketch."""
+    """(column, rows, filled, distinct). Exact (up to 128-bit hashes of long texts): values are
+    grouped per column in one query and then counted, so no column's values meet in one task.
+    ``approx`` uses a sketch."""
     if approx:
         return column_rows(df, cols, {"filled": lambda c: F.count(c),
                                       "distinct": lambda c: F.approx_count_distinct(c)},
                            extra={"rows": F.count("*")})
     base = column_rows(df, cols, {"filled": lambda c: F.count(c)}, extra={"rows": F.count("*")})
-    per = value_counts(df, cols).groupBy("column").agg(F.count("*").alias("distinct"))
+    per = key_counts(df, cols).groupBy("column").agg(F.count("*").alias("distinct"))
     return same_keys(base, per, ["column"], "left", small_right=True).withColumn(
         "distinct", F.coalesce("distinct", F.lit(0)))
 

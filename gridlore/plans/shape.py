@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlore.functions.numeric import as_double
+from gridlore.session import pin
 
 
 def quoted(name: str) -> Column:
@@ -84,6 +85,42 @@ def value_counts(df: DataFrame, cols: Sequence[str], group_by: Sequence[str] = (
     return cells.groupBy(*map(quoted, group_by), "column", "value").agg(F.count("*").alias("n"))
 
 
+#: Bytes of a text that stands for itself in a key; of a longer one the first characters and a
+#: 128-bit hash do, which together have more.
+KEY_BYTES, KEY_CHARS = 48, 32
+
+
+def text_key(c: Column) -> Column:
+    """A short text that is equal for equal texts only (up to a 128-bit hash) and begins like them."""
+    return F.when(F.octet_length(c) <= KEY_BYTES, c).otherwise(F.concat(F.substring(c, 1, KEY_CHARS), F.md5(c.cast("binary"))))
+
+
+def key_counts(df: DataFrame, cols: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
+    """(group_by, column, key, n): ``value_counts`` without nulls, and without long texts in the shuffle."""
+    keys = [text_key(quoted(c).cast("string")).alias(f"v{i}") for i, c in enumerate(cols)]
+    cells = _melt(df, cols, group_by, keys).withColumnRenamed("value", "key")
+    return cells.groupBy(*map(quoted, group_by), "column", "key").agg(F.count("*").alias("n"))
+
+
+def top_texts(df: DataFrame, cols: Sequence[str], k: int, counts: DataFrame | None = None) -> DataFrame:
+    """(column, value, n, rank): the k most frequent values per column, ties by value.
+
+    Counted by key; only texts that may win, told by count and first characters, are read whole.
+    """
+    counts = key_counts(df, cols) if counts is None else counts
+    start = F.substring("key", 1, KEY_CHARS)
+    near = Window.partitionBy("column").orderBy(F.desc("n"), start)
+    first = pin(counts.withColumn("__rank", F.rank().over(near)).where(F.col("__rank") <= k).select("column", "key", "n"))
+    long = F.octet_length("key") > KEY_BYTES
+    texts = first.where(~long).select("column", F.col("key").alias("value"), "n")
+    if first.where(long).limit(1).count():
+        wanted = sorted(r["column"] for r in first.where(long).select("column").distinct().collect())
+        whole = melt_text(df, wanted).where(F.octet_length("value") > KEY_BYTES).withColumn("key", text_key(F.col("value")))
+        found = measured_join(whole, first.where(long).withColumnRenamed("n", "__n"), ["column", "key"])
+        texts = texts.unionByName(found.groupBy("column", "key").agg(F.min("value").alias("value"), F.max("__n").alias("n")).drop("key"))
+    return top_per(texts, ["column"], [F.desc("n"), F.col("value")], k)
+
+
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
             rank: str = "rank") -> DataFrame:
     """First k rows per key; Spark cuts to k per task before the shuffle."""
