@@ -2,7 +2,9 @@
 
 A series is first reduced to one value per calendar unit, so its length is bounded by
 the calendar and not by the table. What follows works per series: windows and aggregates
-for the straight line, one Arrow group per series for the seasonal model.
+for the straight line, one Arrow group per series for the seasonal model. A series without
+keys can be long (a unit may be a second): it is lined up in ranges, and from LONG points on
+its seasonal model is fitted from sums over ranges (``long_series``).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridlore.functions.numeric import as_double, mean_of, number_from_text, rounded
 from gridlore.functions.schema import columns_of
+from gridlore.plans.position import with_previous
 from gridlore.plans.shape import quoted, same_keys
 
 # The functions run in tasks travel with them: executors need not have this package.
@@ -48,14 +51,14 @@ def prepare_series(df: DataFrame, date: str, value: str, keys: Sequence[str] = (
     return rows.groupBy(*map(quoted, keys), F.date_trunc(grain, "__at").alias("ds")).agg(pick.alias("y"))
 
 
-def _in_order(series: DataFrame, keys: Sequence[str]):
-    part = Window.partitionBy(*map(quoted, keys)) if keys else Window.partitionBy(F.lit(0))
-    return part.orderBy("ds")
-
-
 def _with_gaps(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds the position in the series and the seconds since the point before."""
-    w = _in_order(series, keys)
+    """Adds the position in the series and the seconds since the point before. A series without
+    keys is looked at in ranges, others in a window each."""
+    if not keys:
+        lined = with_previous(series, "ds")
+        gap = F.unix_seconds("ds") - F.unix_seconds("__previous")
+        return lined.withColumn("__pos", F.col("__pos").cast("double")).withColumn("__gap", gap).drop("__previous")
+    w = Window.partitionBy(*map(quoted, keys)).orderBy("ds")
     gap = F.unix_seconds("ds") - F.unix_seconds(F.lag("ds").over(w))
     return series.withColumn("__pos", (F.row_number().over(w) - 1).cast("double")).withColumn("__gap", gap)
 
@@ -63,6 +66,7 @@ def _with_gaps(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 def detect_frequency(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, points, frequency): median gap up to 2 days D, up to 10 days W, else M."""
     gaps = _with_gaps(series, keys)
+    # gaps of a calendar are few values, and median keeps each once
     out = gaps.groupBy(*map(quoted, keys)).agg(F.count("*").alias("points"), F.median("__gap").alias("__m"))
     freq = (F.when(F.col("__m").isNull() | (F.col("__m") <= DAILY_GAP * DAY), "D")
             .when(F.col("__m") <= WEEKLY_GAP * DAY, "W").otherwise("M"))
@@ -98,11 +102,14 @@ def linear_forecast(series: DataFrame, periods: int = PERIODS, keys: Sequence[st
 
 def linear_fitted(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, ds, y, yhat): the line at the observed points."""
-    # the fit is one row per series; both sides are partitioned by series alike
     rows = _with_gaps(series, keys)
-    w = Window.partitionBy(*map(quoted, keys)) if keys else Window.partitionBy(F.lit(0))
-    slope = F.coalesce(F.regr_slope("y", "__pos").over(w), F.lit(0.0))
-    start = F.coalesce(F.regr_intercept("y", "__pos").over(w), F.avg("y").over(w))
+    if not keys:
+        fit = rows.agg(F.regr_slope("y", "__pos"), F.regr_intercept("y", "__pos"), F.avg("y")).first()
+        slope, start = F.lit(fit[0] or 0.0), F.lit(fit[2] if fit[1] is None else fit[1]).cast("double")
+    else:  # both sides are partitioned by series alike
+        w = Window.partitionBy(*map(quoted, keys))
+        slope = F.coalesce(F.regr_slope("y", "__pos").over(w), F.lit(0.0))
+        start = F.coalesce(F.regr_intercept("y", "__pos").over(w), F.avg("y").over(w))
     return rows.select(*map(quoted, keys), "ds", "y", (start + slope * F.col("__pos")).alias("yhat"))
 
 
@@ -189,6 +196,13 @@ def seasonal_model(series: DataFrame, periods: int = PERIODS, keys: Sequence[str
     observed and the future points, 80 % band. A wave the data cannot show is null."""
     _check(periods)
     freq = detect_frequency(series, keys)
+    if not keys:
+        from gridlore.operators import long_series
+
+        found = freq.first()
+        if found["points"] >= long_series.LONG:
+            model = long_series.long_seasonal_model(series, periods, found["frequency"])
+            return model.withColumns({c: as_double(F.col(c)) for c in ("y", "yearly", "weekly")})
     tagged = _with_frequency(series, freq, keys)
     names = list(keys) or ["__all"]
     if not keys:

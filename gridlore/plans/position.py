@@ -43,13 +43,20 @@ def with_position(df: DataFrame, order_by: Sequence[str], melted: bool = False,
     return _line_up(ranged, keys, name)
 
 
-def number_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """Adds the 0-based position in the order the source delivers its rows."""
-    mark = F.monotonically_increasing_id()
-    marked = df.withColumn("__range", F.shiftright(mark, _INDEX_BITS)).withColumn(
-        "__at", mark.bitwiseAND(F.lit(_INDEX_MASK))
-    )
-    return _line_up(pin(marked), [], name)
+def with_previous(df: DataFrame, order: str, position: str = "__pos", previous: str = "__previous") -> DataFrame:
+    """Adds the 0-based position under a unique column and that column's value one row before.
+
+    Both are found within a range of rows and carried over its end by one small row per range.
+    """
+    ranged = pin(_ranged(df, [order]))
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"), F.max(quoted(order)).alias("__top"))
+    lined = Window.orderBy("__range")
+    starts = starts.select("__range", "__first", F.lag("__top").over(lined).alias("__above"), F.coalesce(
+        F.sum("__n").over(lined.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    local = F.lag(quoted(order)).over(Window.partitionBy("__range").orderBy("__at"))
+    joined = same_keys(ranged.withColumn("__local", local), starts, ["__range"], small_right=True)
+    return joined.withColumn(position, F.col("__before") + F.col("__at") - F.col("__first")).withColumn(
+        previous, F.coalesce("__local", "__above")).drop("__range", "__at", "__first", "__before", "__above", "__local")
 
 
 def number_file_rows(df: DataFrame, name: str = "row_no") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlore.plans import quantiles as qmod
 from gridlore.plans.position import (
-    in_chunks, number_rows, position_trend, running_total, with_position,
+    in_chunks, position_trend, running_total, with_position,
 )
 from gridlore.plans.quantiles import column_quantiles, quantiles
 from gridlore.plans.shape import column_rows, measured_join, same_keys, top_per, value_counts
@@ -84,11 +84,6 @@ def test_with_position_matches_sort(spark):
     assert got == {i: p for p, (_, i) in enumerate(sorted(rows))}
 
 
-def test_number_rows_is_contiguous(spark):
-    got = number_rows(spark.range(0, 1000, 1, 6)).orderBy("id").collect()
-    assert [r["row_no"] for r in got] == list(range(1000))
-
-
 @pytest.mark.parametrize("ties", [False, True])
 def test_position_trend(spark, ties):
     rng = np.random.default_rng(5)
