@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlore.operators import fraud as fr, isolation as iso, risk as rk
+from gridlore.operators.near_rows import near_duplicate_rows
 from gridlore.operators.fraud import BENFORD, ROUND_THRESHOLDS
 from gridlore.queries.core import union_all
 from gridlore.queries.quality import _view
@@ -34,6 +35,29 @@ def q_small(spark, sf):
     return fr.anomalies_small(table, ["o_totalprice"], ["o_orderkey"], ["o_custkey"])
 
 
+_NEAR_INPUT = """SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL
+SELECT c_custkey + 10000000, c_name, c_nationkey, c_acctbal + 1, c_mktsegment FROM customer WHERE c_custkey % 50 = 0 UNION ALL
+SELECT c_custkey + 20000000, CONCAT(' ', UPPER(c_name), '  '), c_nationkey, c_acctbal, 'OTHER' FROM customer WHERE c_custkey % 75 = 0"""
+
+
+@query("near_duplicate_rows", f"""WITH RECURSIVE x AS MATERIALIZED (SELECT id, LOWER(TRIM(REGEXP_REPLACE(name, '\\s+', ' ', 'g'))) AS name, nation, balance, LOWER(segment) AS segment
+FROM ({_NEAR_INPUT})),
+links AS MATERIALIZED (SELECT a.id AS p, b.id AS q FROM x a JOIN x b ON a.id <> b.id AND (a.name = b.name OR a.balance = b.balance) AND
+  (a.name IS DISTINCT FROM b.name)::INT + (a.nation IS DISTINCT FROM b.nation)::INT + (a.balance IS DISTINCT FROM b.balance)::INT
+  + (a.segment IS DISTINCT FROM b.segment)::INT <= 1),
+reached AS (SELECT p AS id, p AS r FROM links UNION SELECT reached.id, q FROM reached JOIN links ON r = p),
+classes AS (SELECT id, MIN(r) AS class_id FROM reached GROUP BY id)
+SELECT id, class_id, COUNT(*) OVER (PARTITION BY class_id) AS members FROM classes""")
+def q_near_rows(spark, sf):
+    t = Tables(spark, sf)
+    customer = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    plain = customer.toDF("id", "name", "nation", "balance", "segment")
+    changed = plain.where("id % 50 = 0").withColumn("id", F.col("id") + 10_000_000).withColumn("balance", F.col("balance") + 1)
+    respelt = plain.where("id % 75 = 0").withColumn("id", F.col("id") + 20_000_000).withColumn("segment", F.lit("OTHER")).withColumn(
+        "name", F.concat(F.lit(" "), F.upper("name"), F.lit("  ")))
+    return near_duplicate_rows(plain.unionByName(changed).unionByName(respelt), "id")
+
+
 @query("duplicate_groups", "SELECT text, lang, COUNT(*) AS \"count\" FROM documents GROUP BY text, lang HAVING COUNT(*) > 1")
 def q_dup_groups(spark, sf):
     return fr.duplicate_groups(Tables(spark, sf).documents, ["text", "lang"])
