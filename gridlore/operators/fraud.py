@@ -16,7 +16,6 @@ BENFORD = {"1": 0.301, "2": 0.176, "3": 0.125, "4": 0.097, "5": 0.079, "6": 0.06
            "8": 0.051, "9": 0.046}
 BENFORD_MIN_VALUES = 50
 BENFORD_TOLERANCE = 0.05
-BENFORD_COLUMNS = 3
 ROUND_THRESHOLDS = (100, 500, 1000, 5000, 10000, 50000, 100000)
 ROUND_MIN_HITS = 3
 NIGHT_FROM, NIGHT_TO = 22, 4
@@ -49,9 +48,9 @@ def duplicate_groups(df: DataFrame, cols: Sequence[str] | None = None,
 def timing_patterns(df: DataFrame, dates: Sequence[str] | None = None,
                     group_by: Sequence[str] = ()) -> DataFrame:
     """(column, weekend, night, count): rows on Saturday or Sunday, and from 22:00 to 04:59
-    when the column holds more than one time of day; the first date column with hits, of those given or else of the first 2.
+    when the column holds more than one time of day; the first date column with hits, of those given or else of all.
     """
-    dates = list(dates) if dates else columns_of(df, "date")[:2]
+    dates = list(dates) if dates else columns_of(df, "date")
     clock = lambda c: F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(86_400_000_000))
     late = lambda c: (F.hour(c) >= NIGHT_FROM) | (F.hour(c) <= NIGHT_TO)
     stats = column_rows(df, dates, {
@@ -100,9 +99,9 @@ def benford(df: DataFrame, cols: Sequence[str] | None = None, group_by: Sequence
     """(column, digit, n, actual, expected, deviation, deviant): shares of the first
     significant digits of positive values (at least 50) against the fixed table; a digit
     more than 0.05 off is deviant. A digit that never occurs has share 0. Without ``cols``
-    the first 3 numeric columns are taken."""
+    all numeric columns are taken."""
     if cols is None:
-        cols = [c for c in columns_of(df, "numeric") if c not in group_by][:BENFORD_COLUMNS]
+        cols = [c for c in columns_of(df, "numeric") if c not in group_by]
     digits = df.select(*map(quoted, group_by), *[
         F.when(as_double(quoted(c)) > 0, first_significant_digit(as_double(quoted(c)))).alias(c) for c in cols])
     stats = column_rows(digits, cols, {

@@ -21,7 +21,6 @@ TOP_ANOMALIES = 50
 MIN_CORRELATION = 0.5
 MAX_CATEGORIES = 50
 TOP_CATEGORIES = 5
-METRICS = 3
 TINY = 1e-9
 
 
@@ -133,9 +132,9 @@ def category_means(df: DataFrame, cats: Sequence[str], metrics: Sequence[str],
 def top_performers(df: DataFrame, cols: Sequence[str] | None = None,
                    metrics: Sequence[str] | None = None, group_by: Sequence[str] = ()) -> DataFrame:
     """(column, metric, category, value, rank): per text column with 2 to 50 values and each
-    of the first 3 numeric columns, the 5 categories with the highest mean."""
+    of the numeric columns (``metrics``, or else all), the 5 categories with the highest mean."""
     cats = list(cols or [c for c in columns_of(df, "text") if c not in group_by])
-    metrics = list(metrics or _numbers(df, None, group_by)[:METRICS])
+    metrics = list(metrics or _numbers(df, None, group_by))
     means = category_means(df, cats, metrics, 2, MAX_CATEGORIES, group_by)
     best = top_per(means, [*group_by, "column", "metric"], [F.desc("mean"), F.col("value")], TOP_CATEGORIES)
     return best.select(*map(quoted, group_by), "column", "metric", F.col("value").alias("category"),

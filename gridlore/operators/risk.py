@@ -77,12 +77,10 @@ def concentration_risk(df: DataFrame, cols: Sequence[str] | None = None,
 
 def trend_risk(df: DataFrame, dates: Sequence[str] | None = None, cols: Sequence[str] | None = None,
                group_by: Sequence[str] = (), tie_break: Sequence[str] = ()) -> DataFrame:
-    """Slope over date order of the columns and dates given, or else of the first 3 numeric
-    columns, for the first 2 date columns:
-    a decline of more than 10 % of the mean scores twice the decline, up to 100. Rows of
+    """Slope over date order of the numeric columns and dates given, or else of all: a decline of more than 10 % of the mean scores twice the decline, up to 100. Rows of
     one date come in the order of ``tie_break`` (unique, if given), else of the value."""
-    dates = list(dates) if dates else columns_of(df, "date")[:2]
-    cols = list(cols) if cols else [c for c in columns_of(df, "numeric") if c not in group_by][:3]
+    dates = list(dates) if dates else columns_of(df, "date")
+    cols = list(cols) if cols else [c for c in columns_of(df, "numeric") if c not in group_by]
     keys = [quoted(g) for g in group_by]
     fits = None
     for date in dates:

@@ -92,7 +92,7 @@ def _lines(t: Tables):
 @query("top_performers", union_all([_best(c, m, 5) for c in ("p_brand", "l_returnflag") for m in
                                     ("l_quantity", "l_extendedprice", "l_discount")]))
 def q_performers(spark, sf):
-    return ins.top_performers(_lines(Tables(spark, sf)))
+    return ins.top_performers(_lines(Tables(spark, sf)), metrics=["l_quantity", "l_extendedprice", "l_discount"])
 
 
 @query("top_performers_by_group", union_all([
