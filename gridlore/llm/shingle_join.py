@@ -22,10 +22,12 @@ points below by its upper corner. Steps, each exact:
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,8 +42,12 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Coarse groups whose document counts order the shingles.
 COARSE = 1 << 16
-#: Coordinates of a point, and of that of a set of more than LONG shingles.
-DIMS, FINE_DIMS, LONG = 256, 2048, 1024
+#: Fewest and most coordinates of a point; between them about as many as the set has shingles.
+DIMS, MOST_DIMS = 256, 1 << 20
+#: Bytes of sets (or points) of one side of a block of pairs that are verified together, about.
+SIDE_BYTES = 16 << 20
+#: Pairs of such a block, about.
+BLOCK_PAIRS = 500_000
 #: Members under one shingle that one task step looks at; more are dealt into blocks.
 BLOCK = 4096
 #: Documents per salt of a shingle that very many documents hold.
@@ -134,25 +140,41 @@ def early(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def points(flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+def point_dims(n: int) -> int:
+    """Coordinates of the point of a set of n: a power of two."""
+    return min(MOST_DIMS, max(DIMS, 1 << max(0, n - 1).bit_length()))
+
+
+def _packed(point: np.ndarray) -> bytes:
+    """The counts in the fewest bytes that hold the largest, whose number stands before."""
+    most = int(point.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    raw = memoryview(raw)
+    return np.frombuffer(raw[1:], f"<u{raw[0]}").astype(np.int32)
+
+
+def points(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Count vector of every set; a fine one folds to a coarse one of the same groups."""
-    group = (flat >> np.uint64(20) & np.uint64(FINE_DIMS - 1)).astype(np.int64)
+    group = (flat >> np.uint64(20) & np.uint64(MOST_DIMS - 1)).astype(np.int64)
     out = []
     for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-        dims = FINE_DIMS if b - a > LONG else DIMS
-        out.append(np.bincount(group[a:b] & (dims - 1), minlength=dims).astype(np.int32))
+        dims = point_dims(b - a)
+        out.append(_packed(np.bincount(group[a:b] & (dims - 1), minlength=dims)))
     return out
 
 
-def folded(point: np.ndarray) -> np.ndarray:
-    return point.reshape(-1, DIMS).sum(axis=0)
+def folded(point: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    return point.reshape(-1, dims).sum(axis=0)
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> int:
     """Most shingles that two sets can share: the sum of the coordinate minima."""
-    if len(a) != len(b):
-        a, b = folded(a), folded(b)
-    return int(np.minimum(a, b).sum())
+    dims = min(len(a), len(b))
+    return int(np.minimum(folded(a, dims), folded(b, dims)).sum())
 
 
 # --- 1: classes and coarse counts -------------------------------------------------------
@@ -164,10 +186,10 @@ def _profiles(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, cls) and, per task, of coarse counts (slice, counts)."""
     def profile(batches):
         names = ["doc_id", "n", "cls", "point", "slice", "counts"]
-        kind = pa.list_(pa.int32())
+        kind = pa.binary()
         total = np.zeros(COARSE, np.int64)
         for whole in batches:
-            for batch in _tokens.text_slices(whole, "text", 1_000_000):
+            for batch in _tokens.text_slices(whole, "text", 400_000):
                 flat, ends = shingle_sets(batch.column("text"))
                 total += np.bincount((flat & np.uint64(COARSE - 1)).astype(np.int64), minlength=COARSE)
                 n = np.diff(ends, prepend=0)
@@ -180,7 +202,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 *[pa.nulls(_SLICES, pa.int64())] * 3, pa.nulls(_SLICES, kind),
                 pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(profile, "doc_id bigint, n bigint, cls bigint, point array<int>, slice int, counts binary")
+    return docs.mapInArrow(profile, "doc_id bigint, n bigint, cls bigint, point binary, slice int, counts binary")
 
 
 def _coarse(profiles: DataFrame) -> np.ndarray:
@@ -199,13 +221,18 @@ def _coarse(profiles: DataFrame) -> np.ndarray:
 # --- 2 and 3: early shingles and stars ----------------------------------------------------
 
 def _early_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, salt, cls, n) for the early shingles of every document."""
+    """(key, salt, cls, n) for the early shingles of every document.
+
+    A key is the last bits of a shingle's hash, so many more than the corpus asks for that few
+    shingles share one. Where they do their documents are only compared once more for it.
+    """
+    bits = min(58, max(40, int(counts.sum()).bit_length() + 10))
     shared = docs.sparkSession.sparkContext.broadcast((_levels(counts), 1 + counts // SALT_ROWS))
 
     def emit(batches):
         levels, salts = shared.value
         for whole in batches:
-            for batch in _tokens.text_slices(whole, "text", 1_000_000):
+            for batch in _tokens.text_slices(whole, "text", 400_000):
                 flat, ends = shingle_sets(batch.column("text"))
                 classes, begin, keys, at = _digests(flat, ends), 0, [], []
                 _, once = np.unique(classes, return_index=True)
@@ -220,7 +247,7 @@ def _early_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     owner = classes[at]
                     n = salts[(key & np.uint64(COARSE - 1)).astype(np.int64)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.astype(np.int64)), pa.array(np.where(n > 1, 1 + owner % n, 0).astype(np.int32)), pa.array(owner),
+                        [pa.array((key & np.uint64((1 << bits) - 1)).astype(np.int64)), pa.array(np.where(n > 1, 1 + owner % n, 0).astype(np.int32)), pa.array(owner),
                          pa.array(sizes[at].astype(np.int32))], ["key", "salt", "cls", "n"])
 
     return docs.select("text").mapInArrow(emit, "key bigint, salt int, cls bigint, n int")
@@ -283,7 +310,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def emit(batches):
         for whole in batches:
-            for batch in _tokens.text_slices(whole, "text", 1_000_000):
+            for batch in _tokens.text_slices(whole, "text", 400_000):
                 flat, ends = shingle_sets(batch.column("text"))
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
@@ -338,7 +365,7 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
     def search(key, table):
         cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
         sizes, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-        points = np.array(table.column("point").combine_chunks().flatten()).reshape(len(cls), DIMS)
+        points = np.array([_unpacked(p.as_buffer()) for p in table.column("point")]).reshape(len(cls), DIMS)
         _, labels = np.unique(comp, return_inverse=True)
         tree, left, right = PointTree(points, sizes, labels), [], []
         two = key[1].as_py() != key[2].as_py()  # of two blocks only pairs across them are due here
@@ -362,10 +389,31 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
 
 # --- 5: verification -------------------------------------------------------------------------
 
-def _beside(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
-    for side, name in (("cls", "a"), ("hub", "b")):
-        pairs = pairs.join(table.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{name}") for c in cols]), side)
-    return pairs
+def _checked(pairs: DataFrame, table: DataFrame, column: str, per_row: F.Column, test) -> DataFrame:
+    """The pairs (cls, hub, n_a, n_b) for which ``test`` holds on the column's values of both.
+
+    Pairs are dealt into square blocks by both ends, as many as the values' bytes and the number of
+    pairs ask for, and a value goes once to every block that has a pair of it, not once with every pair.
+    """
+    size = table.agg(F.count("*").alias("n"), F.sum(per_row).alias("bytes")).first()
+    side = max(1, -(-(size["bytes"] or 0) // SIDE_BYTES), math.isqrt(pairs.count() // BLOCK_PAIRS))
+    at = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(side)).cast("int")
+    placed = pairs.select("cls", "hub", "n_a", "n_b", at("cls").alias("i"), at("hub").alias("j"))
+    wanted = placed.select("i", "j", "cls").union(placed.select("i", "j", "hub")).distinct().withColumnRenamed("cls", "c")
+    sent = wanted.join(table.select(F.col("cls").alias("known"), F.col(column).alias("value")), F.col("c") == F.col("known")).select(
+        "i", "j", F.col("c").alias("cls"), "value")
+    both = placed.unionByName(sent, allowMissingColumns=True).select("i", "j", "cls", "hub", "n_a", "n_b", "value")
+
+    def run(key, table):
+        is_pair = pc.is_valid(table.column("hub"))
+        held, asked = table.filter(pc.invert(is_pair)), table.filter(is_pair)
+        place = {c: k for k, c in enumerate(held.column("cls").to_pylist())}
+        values = held.column("value").combine_chunks() if held.num_rows else pa.array([], held.column("value").type)
+        ok = [a in place and b in place and test(values[place[a]], values[place[b]], n, m) for a, b, n, m in zip(
+            *(asked.column(c).to_pylist() for c in ("cls", "hub", "n_a", "n_b")))]
+        return asked.select(["cls", "hub", "n_a", "n_b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.groupBy("i", "j").applyInArrow(run, "cls bigint, hub bigint, n_a int, n_b int")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -373,18 +421,18 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.where((n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (F.col("cls") != F.col("hub")))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The pairs (of fitting sizes) whose summed coordinate minima allow a link."""
-    def near(batches):
-        for batch in batches:
-            need = needed(batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64))
-            ok = [bound(a.values.to_numpy(), b.values.to_numpy()) >= n for a, b, n in zip(
-                batch.column("point_a"), batch.column("point_b"), need)]
-            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
+    def near(a, b, n, m):
+        return bound(_unpacked(a.as_buffer()), _unpacked(b.as_buffer())) >= needed(n, m)
+
+    return _checked(pairs, keep(_points(profiles, _ends(pairs)), "points"), "point", F.octet_length("point"), near)
 
-    names = ["cls", "hub", "n_a", "n_b"]
-    beside = _beside(pairs, _filtered(classes.select("cls", "point"), _bits(_ends(pairs))), "point")
-    return beside.mapInArrow(near, "cls bigint, hub bigint, n_a int, n_b int")
+
+def _points(profiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n, point) of the classes (and a few more), from one of their documents each."""
+    rows = profiles.where("n > 0").select("cls", "n", "point")
+    return _filtered(rows, _bits(classes)).dropDuplicates(["cls"])
 
 
 def _filtered(rows: DataFrame, bits: np.ndarray, by: str = "cls") -> DataFrame:
@@ -400,10 +448,13 @@ def _filtered(rows: DataFrame, bits: np.ndarray, by: str = "cls") -> DataFrame:
 def _links(docs: DataFrame, likely: DataFrame, classes: DataFrame) -> DataFrame:
     """The likely pairs that meet the threshold on their whole sets, which only their
     classes' documents are read again for."""
+    def linked(a, b, n, m):
+        shared = len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True))
+        return shared * DEN >= (n + m - shared) * NUM
+
+    # a class that is read from several documents with one id is the same set each time
     sets = keep(_sets(docs, likely, classes), "sets")
-    shared = F.size(F.array_intersect("found_a", "found_b"))
-    union = F.col("n_a") + F.col("n_b") - shared
-    return keep(_beside(likely, sets, "found").where(shared * DEN >= union * NUM).select("cls", "hub"), "links")
+    return keep(_checked(likely, sets, "found", 8 * F.size("found"), linked).select("cls", "hub"), "links")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -424,18 +475,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = profiles.where("slice is null").select("doc_id", "n", "cls")
     counts = _coarse(profiles)
 
-    classes = keep(profiles.where("n > 0").select("cls", "n", "doc_id", "point").dropDuplicates(["cls"]), "classes")
+    classes = keep(profiles.where("n > 0").select("cls", "n", "doc_id").dropDuplicates(["cls"]), "classes")
 
     stars = _all_stars(docs, counts)
     pairs = keep(_sized(stars).select("cls", "hub", "n_a", "n_b").distinct(), "pairs")
-    links = _links(docs, keep(_likely(pairs, classes), "likely"), classes)
+    links = _links(docs, keep(_likely(pairs, profiles), "likely"), classes)
     comps = components(links, "cls", "hub").withColumnRenamed("node", "cls")
 
     # a key's hub has met all its members, so only pairs of other members are open
     under = keep(stars.select("key", "cls").join(comps, "cls", "left").select(
         "key", "cls", F.coalesce("component", "cls").alias("comp")), "under")
-    tree = _tree_pairs(_blocks(under, classes, keep(_mixed_keys(under), "mixed")))
-    more = _links(docs, keep(_likely(keep(tree, "tree"), classes), "likely"), classes)
+    tree = _tree_pairs(_blocks(under, profiles, keep(_mixed_keys(under), "mixed")))
+    more = _links(docs, keep(_likely(keep(tree, "tree"), profiles), "likely"), classes)
     comps = keep(components(links.union(more), "cls", "hub"), "components")
 
     ids = rows.groupBy("cls", (F.col("n") > 0).alias("linked")).agg(F.min("doc_id").alias("first"))
@@ -469,22 +520,21 @@ def _mixed_keys(under: DataFrame) -> DataFrame:
     return held.where("lo <> hi").groupBy("k", "x", "y", "low", "high").agg(F.min("key").alias("key")).select("key", "k")
 
 
-def _coarse_points(classes: DataFrame) -> DataFrame:
+def _coarse_points(points: DataFrame) -> DataFrame:
     def fold(batches):
         for batch in batches:
-            small = [folded(p.values.to_numpy()).astype(np.int32) for p in batch.column("point")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), batch.column("n"), pa.array(small, pa.list_(pa.int32()))], ["cls", "n", "point"])
+            small = [_packed(folded(_unpacked(p.as_buffer()))) for p in batch.column("point")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(small, pa.binary())], ["cls", "n", "point"])
 
-    return classes.select("cls", "n", "point").mapInArrow(fold, "cls bigint, n bigint, point array<int>")
+    return points.select("cls", "n", "point").mapInArrow(fold, "cls bigint, n bigint, point binary")
 
 
-def _blocks(under: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame:
+def _blocks(under: DataFrame, profiles: DataFrame, mixed: DataFrame) -> DataFrame:
     """Members of mixed keys; more than BLOCK are dealt into blocks, each pair of which is a group."""
     n = F.ceil(F.col("k") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("cls"), n).cast("int")
     held = under.join(mixed, "key").withColumn("block", block)
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
-    spread = held.select("cls", "comp", "key", "block", F.inline(pairs))
-    return spread.join(_coarse_points(classes), "cls")
+    spread = keep(held.select("cls", "comp", "key", "block", F.inline(pairs)), "members")
+    return spread.join(_coarse_points(_points(profiles, spread.select("cls"))), "cls")
