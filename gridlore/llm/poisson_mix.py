@@ -12,6 +12,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridlore.llm.store import free
+
 #: A Poisson number of a larger mean is drawn as a sum of equal parts of at most this mean.
 PART_MEAN = 32.0
 
@@ -71,25 +73,28 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 0, doc_id: str = "d
     copy or shuffle_key are replaced. ``rates`` has a row per source; sources without one
     go. The hot source is never grouped: it is joined to its one row of rates.
     """
+    docs = docs.drop("copy", "shuffle_key")
+    of, rate, places = free(docs, "__of", "__rate", "__n")
     table = _distribution(rates.where(F.col("rate") > 0)).select(
-        F.struct(F.col("source")).alias("__of"), F.struct("parts", "cdf").alias("__rate"))
+        F.struct(F.col("source")).alias(of), F.struct("parts", "cdf").alias(rate))
     few = table.limit(10_001).count() <= 10_000  # else both sides are shuffled and AQE splits hot sources
-    joined = docs.drop("copy", "shuffle_key").join(
-        F.broadcast(table) if few else table, F.col("__of.source").eqNullSafe(F.col(source)))
+    joined = docs.join(F.broadcast(table) if few else table, F.col(f"{of}.source").eqNullSafe(F.col(source)))
     grain = float(2 ** 52)
 
     def draw(part: Column) -> Column:
         u = (uniform(doc_id, part, F.lit("copies"), seed=seed).cast("double") + 0.5) / grain
-        return F.size(F.filter("__rate.cdf", lambda c: c <= u))
+        return F.size(F.filter(f"{rate}.cdf", lambda c: c <= u))
 
     one = draw(F.lit(0))
-    many = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("__rate.parts") - 1), draw), F.lit(0), lambda a, b: a + b)
-    count = F.when(F.col("__rate.parts") == 1, one).otherwise(many)
-    counted = joined.withColumn("__n", count).where("__n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__of", "__rate", "__n")
+    many = F.aggregate(F.transform(F.sequence(F.lit(0), F.col(f"{rate}.parts") - 1), draw), F.lit(0), lambda a, b: a + b)
+    count = F.when(F.col(f"{rate}.parts") == 1, one).otherwise(many)
+    counted = joined.withColumn(places, count).where(F.col(places) > 0)
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(places) - 1))).drop(of, rate, places)
     keyed = copies.withColumn("shuffle_key", uniform(doc_id, "copy", F.lit("order"), seed=seed))
-    by = ["shuffle_key", doc_id, "copy"]
-    return keyed.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the key is uniform, so equal parts of its range are equal shares of the rows: nothing is sampled
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.floor(F.col("shuffle_key") / grain * parts), F.lit(parts - 1)).cast("int")
+    return keyed.repartitionById(parts, part).sortWithinPartitions("shuffle_key", doc_id, "copy")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, flatten: float = 0.5, total: int | None = None,
