@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gridlore.llm.store import worker_cache
-from gridlore.llm.tokens import _byte_letters as byte_letters, text_slices
+from gridlore.llm.tokens import LETTERS, cuts_plainly, is_one_piece, lettered, pieces_of, text_slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,21 +33,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CACHE_BYTES = 64 << 20
 #: Longer pieces are not kept.
 CACHE_PIECE = 64
-#: Characters of a text that are split into words at once, and pieces that are held.
-STRETCH, HELD = 1 << 20, 500_000
+#: Pieces that are held.
+HELD = 500_000
 #: Letters (bytes) of words that are merged together, and words of one array.
 SHORT, ROWS = 64, 16_384
 
 _NO_PAIR = 1 << 62
 _PLACE, _PLACES = 32, (1 << 32) - 1
 _ID = 24
-_LETTERS = byte_letters()  # of the bytes 0 to 255
-#: Characters that need no normalisation but lower case, and on which all agree what is a letter.
-_SAFE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ«»–—“”‘’…]*")
-#: The cut of the pre-tokenizer on such characters in lower case. Fixed values.
-_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
-_SHOWN = re.compile("[!-~]+")
-_CUT_HERE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Merges:
@@ -73,10 +66,8 @@ class Merges:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         #: whether texts of plain letters may be cut by our own pattern
-        self.plain = (cuts[0].get("pattern") == {"Regex": _CUT_HERE} and cuts[0].get("invert") is True
-                      and all(a.startswith("<|") for a in self.added))
+        self.plain = cuts_plainly(spec)
         #: two ids side by side in one number -> rank, shifted; id of the merged symbol
         self.ranks, self.made = {}, {}
         for rank, pair in enumerate(model["merges"]):
@@ -86,8 +77,8 @@ class Merges:
         self.sorted_pairs = np.array(sorted(self.ranks), np.int64)
         self.sorted_ranks = np.array([self.ranks[k] for k in self.sorted_pairs.tolist()], np.int64)
         self.sorted_made = np.array([self.made[k] for k in self.sorted_pairs.tolist()], np.int64)
-        self.letters = np.array([self.vocab.get(c, -1) for c in _LETTERS], np.int64)
-        self.last_letters = np.array([self.vocab.get(c + self.suffix, -1) for c in _LETTERS], np.int64)
+        self.letters = np.array([self.vocab.get(c, -1) for c in LETTERS], np.int64)
+        self.last_letters = np.array([self.vocab.get(c + self.suffix, -1) for c in LETTERS], np.int64)
         self.all_letters = (self.letters >= 0).all() and (self.last_letters >= 0).all() and len(self.ranks) > 0
 
     def merge(self, word: str) -> list[int]:
@@ -210,14 +201,10 @@ class Merges:
                 out += [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(part))]
         return out
 
-    def is_word(self, piece: str) -> bool:
-        """Whether a piece is one word of the pre-tokenizer, already normal."""
-        return bool(self.plain and _CUT.fullmatch(piece) and _SAFE.fullmatch(piece) and piece == piece.lower())
-
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one word or piece of a word without blanks."""
-        if self.is_word(piece):
-            return self.merge(piece if _SHOWN.fullmatch(piece) else "".join([_LETTERS[b] for b in piece.encode()]))
+        if self.plain and is_one_piece(piece):
+            return self.merge(lettered(piece))
         return [i for w in self.cut(piece) for i in ([w] if isinstance(w, int) else self.merge(w))]
 
 
@@ -247,35 +234,12 @@ class Pieces(dict):
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encodes the words among pieces that are not held yet, many at a time."""
-        new = [p for p in pieces if p not in self and p not in self.older and len(p) <= SHORT // 2 and self.merges.is_word(p)]
-        if self.merges.all_letters:
+        new = [p for p in pieces if p not in self and p not in self.older and len(p) <= SHORT // 2 and is_one_piece(p)]
+        if self.merges.plain and self.merges.all_letters:
             for piece, ids in zip(new, self.merges.merge_many([p.encode() for p in new])):
                 self._put(piece, ids)
 
 
-def _pieces(merges: Merges, text: str) -> Iterator[list[str]]:
-    """The pieces of a text, those of some words at a time, cut at blanks only."""
-    for blank in "\t\r\n":
-        text = text.replace(blank, " ")
-    plain = merges.plain
-    start = 0
-    while start < len(text):
-        stop = text.find(" ", start + STRETCH) if len(text) - start > STRETCH else -1
-        stop = len(text) if stop < 0 else stop
-        some = text[start:stop]
-        start = stop + 1
-        if plain and _SAFE.fullmatch(some) and "<|" not in some:
-            yield _CUT.findall(some.lower())
-        else:
-            out = []
-            for word in some.split(" "):
-                if plain and _SAFE.fullmatch(word) and "<|" not in word:
-                    out += _CUT.findall(word.lower())
-                elif word:
-                    out.append(word)
-            yield out
-
-
 class _Digest:
     def __init__(self):
         self.n, self.ids, self.tokens = 0, hashlib.sha256(), hashlib.sha256()
@@ -302,7 +266,7 @@ def digests(pieces: Pieces, texts: list[str]) -> list[tuple[int, str, str]]:
 
     size = 0
     for digest, text in zip(out, texts):
-        for some in _pieces(pieces.merges, text):
+        for some in pieces_of(text, pieces.merges.plain):
             held.append((digest, some))
             size += len(some)
             if size > HELD:
@@ -314,7 +278,7 @@ def digests(pieces: Pieces, texts: list[str]) -> list[tuple[int, str, str]]:
 
 def encode(merges: Merges, text: str | None) -> list[int]:
     """Ids of a text, as the library gives them without added special tokens."""
-    return [i for some in _pieces(merges, text or "") for p in some for i in merges.encode_piece(p)]
+    return [i for some in pieces_of(text or "", merges.plain) for p in some for i in merges.encode_piece(p)]
 
 
 def decode(merges: Merges, ids: list[int]) -> str:

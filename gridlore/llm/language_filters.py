@@ -127,7 +127,7 @@ def fit(docs: DataFrame, use: Column | None = None, doc_id: str = "doc_id", text
 
     def grams(batches):
         for whole in batches:
-            for batch in _tokens.text_slices(whole, "text", 1_000_000):
+            for batch in _tokens.text_slices(whole, "text", 600_000):
                 texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
                 for length in (0, *LENGTHS):
                     if length:
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", prefix:
     def decide(batches):
         model, letters = shared.value, _letters()
         for whole in batches:
-            for batch in _tokens.text_slices(whole, text, 1_500_000):
+            for batch in _tokens.text_slices(whole, text, 600_000):
                 texts = [t or "" for t in batch.column(text).to_pylist()]
                 any_letter = np.array([
                     bool(letters[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")].any()) for t in texts], bool)

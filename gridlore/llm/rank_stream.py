@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -33,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"RVB1"
 #: Ids after which a block is closed.
 BLOCK_IDS = 1_000_000
+#: Ids whose counts of one task stand in one row.
+_SLICE = 8192
 _HEAD = "<4sQQQQ"
 #: Control byte -> the four byte counts.
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -92,25 +95,34 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: int,
     text's bytes' hash. An empty table gives an empty file. Other columns are not read.
     """
     wide = "<u2" if vocabulary_size <= 65536 else "<u4"
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()),
-                           T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType()),
+                           T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def encode(batches):
-        encoder = _tokens.word_encoder(vocabulary)
+        encoder, total = _tokens.word_encoder(vocabulary), np.zeros(vocabulary_size, np.int64)
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text"):
                 flat, ends = encoder.encode(batch.column("text"))
                 flat = np.insert(flat, ends, end_id).astype(wide)
+                total += np.bincount(flat, minlength=vocabulary_size)
                 stops = (ends + np.arange(1, len(ends) + 1)) * flat.itemsize
                 raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [
                     None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int64)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("tie"), raw.cast(pa.binary())], ["doc_id", "tie", "ids"])
-
+                    [batch.column("doc_id"), batch.column("tie"), raw.cast(pa.binary()), pa.nulls(len(ends), pa.int32()),
+                     pa.nulls(len(ends), pa.binary())], names)
+        if total.any():  # this task's counts of all ids, in slices
+            parts = [total[k:k + _SLICE].tobytes() for k in range(0, vocabulary_size, _SLICE)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()),
+                 pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    names = schema.names
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"),
                        F.col(text).alias("text"))
-    ids = keep(read.mapInArrow(encode, schema), "ids")
-    ranks = _ranks(ids, wide, vocabulary_size)
+    kept = keep(read.mapInArrow(encode, schema), "ids")
+    ids = kept.where("slice is null").select("doc_id", "tie", "ids")
+    ranks = _ranks(kept.where("slice is not null").select("slice", "counts"))
     ranks.write.parquet(f"{path}/ranks")
     place = np.zeros(vocabulary_size, np.uint32)
     for row in ids.sparkSession.read.parquet(f"{path}/ranks").toLocalIterator():
@@ -118,27 +130,14 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: int,
     _sorted_blocks(ids, place, wide).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
-def _ranks(ids: DataFrame, wide: str, size: int) -> DataFrame:
-    """(rank, id, n) over all documents; each task sends at most one row per id."""
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for raw in batch.column("ids"):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), wide), minlength=size)
+def _ranks(parts: DataFrame) -> DataFrame:
+    """(rank, id, n) over all documents, from every task's counts in slices of ids."""
+    def add(key, table):
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-    def count_joined(batches):  # documents are short, so ids are joined before they are counted
-        def joined():
-            for batch in batches:
-                column = batch.column("ids")
-                if len(column):
-                    whole = b"".join(x.as_buffer() for x in column)
-                    yield pa.RecordBatch.from_arrays([pa.array([whole], pa.large_binary())], ["ids"])
-        yield from count(joined())
-
-    parts = ids.select("ids").mapInArrow(count_joined, "id bigint, n bigint")
-    counts = parts.groupBy("id").agg(F.sum("n").alias("n"))
+        return pa.table({"id": seen + key[0].as_py() * _SLICE, "n": total[seen]})
+
+    counts = parts.groupBy("slice").applyInArrow(add, "id bigint, n bigint")
     # at most one row per vocabulary entry
     place = F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1
     return counts.select(place.cast("bigint").alias("rank"), "id", "n")
@@ -161,11 +160,12 @@ def _sorted_blocks(ids: DataFrame, place: np.ndarray, wide: str) -> DataFrame:
                 ["file_no", "block_no", "block_start", "n_ids", "block"])
 
         for batch in batches:
-            for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ranks = table[np.frombuffer(raw.as_buffer(), wide)]
-                docs.append((d, len(ranks)))
-                parts.append(ranks)
-                held += len(ranks)
+            sizes = pc.binary_length(batch.column("ids")).to_numpy() // np.dtype(wide).itemsize
+            flat = table[np.frombuffer(b"".join(batch.column("ids").to_pylist()), wide)]
+            for d, n, end in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), np.cumsum(sizes).tolist()):
+                docs.append((d, n))
+                parts.append(flat[end - n:end])
+                held += n
                 if held >= BLOCK_IDS:
                     yield close()
                     block_no, docs, parts, held, before = block_no + 1, [], [], 0, before + held
