@@ -76,7 +76,36 @@ def q_metrics(spark, sf):
     return reg.regression_metrics(table, "l_extendedprice", "guess")
 
 
-@query("feature_importance_linear")
+def _solved(features: list[str], rows: str) -> tuple[str, str]:
+    """SQL of the least-squares slopes w1, w2, ... by elimination on the covariances of ``rows``
+    (x1, x2, ..., y), and the name of the row that has them."""
+    n = range(1, len(features) + 1)
+    cells = [f"COVAR_POP(x{i}, x{j}) AS a{i}{j}" for i in n for j in n] + [f"COVAR_POP(x{i}, y) AS b{i}" for i in n]
+    steps = [f"e0 AS (SELECT {', '.join(cells)} FROM ({rows}))"]
+    for k in n[:-1]:
+        cells = []
+        for i in n:
+            less = f" - a{i}{k} / a{k}{k} * " if i > k else None
+            cells += [(f"a{i}{j}{less}a{k}{j} AS a{i}{j}" if less else f"a{i}{j}") for j in n]
+            cells.append(f"b{i}{less}b{k} AS b{i}" if less else f"b{i}")
+        steps.append(f"e{k} AS (SELECT {', '.join(cells)} FROM e{k - 1})")
+    last = f"e{len(n) - 1}"
+    for i in reversed(n):
+        known = "".join(f" - a{i}{j} * w{j}" for j in n if j > i)
+        steps.append(f"s{i} AS (SELECT *, (b{i}{known}) / a{i}{i} AS w{i} FROM {last})")
+        last = f"s{i}"
+    return "WITH " + ", ".join(steps), last
+
+
+_CODED = f"""SELECT l_quantity AS x1, l_discount AS x2, l_tax AS x3, CAST(code AS DOUBLE) AS x4, l_extendedprice AS y FROM lineitem JOIN
+(SELECT l_returnflag, ROW_NUMBER() OVER (ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_returnflag FROM lineitem)) USING (l_returnflag)
+WHERE {_DRAW} >= 0.3"""
+_WEIGHTS, _LAST = _solved(_FEATURES, _CODED)
+_ALL_WEIGHTS = " + ".join(f"ABS(w{i})" for i in range(1, len(_FEATURES) + 1))
+
+
+@query("feature_importance_linear", f"{_WEIGHTS} " + union_all([
+    f"SELECT '{f}' AS feature, {rnd(f'ABS(w{i}) / ({_ALL_WEIGHTS}) * 100')} AS importance FROM {_LAST}" for i, f in enumerate(_FEATURES, 1)]))
 def q_importance(spark, sf):
     return reg.feature_importance(reg.train(_lines(spark, sf), "l_extendedprice", _FEATURES, "linear", _KEY))
 
