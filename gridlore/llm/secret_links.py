@@ -111,7 +111,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     own, told, own_too, told_too, linked_as = free(found, "__id", "__mark", "__i", "__m", "linked")
     mark = {own: F.coalesce(F.col(doc_id).cast("string"), F.lit("")), told: F.xxhash64(text, F.lit(1))}
     weak = F.exists("parts", lambda p: p["kind"] >= 3)
-    some = found.where(weak).select(*[v.alias(k) for k, v in mark.items()], "parts")
+    # the texts are read once for their weak parts, which are linked from a written table, and once below
+    some = keep(found.where(weak).select(*[v.alias(k) for k, v in mark.items()], "parts"), "weak")
     linked = keep(linked_parts(some, list(mark), reach).withColumnsRenamed({own: own_too, told: told_too, "linked": linked_as}), "linked")
     if linked.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         linked = F.broadcast(linked)  # else both sides are shuffled
