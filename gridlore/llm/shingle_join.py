@@ -304,24 +304,35 @@ def _sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     A class whose document has a copy with the same doc_id may come twice, which only
     repeats links.
     """
-    chosen = _filtered(classes.select("cls", "doc_id"), _bits(_ends(pairs)))
-    told = chosen.select(F.xxhash64("cls", F.coalesce("doc_id", F.lit(-1))).alias("cls"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(told))
+    sc = docs.sparkSession.sparkContext
+    wanted = sc.broadcast(_bits(_ends(pairs)))
+
+    def choose(batches):
+        for batch in batches:
+            cls = batch.column("cls").to_numpy()
+            at = np.flatnonzero(_in_filter(wanted.value, cls))
+            marks = _marks(cls[at], batch.column("doc_id").fill_null(-1).to_numpy()[at])
+            yield pa.RecordBatch.from_arrays([pa.array(marks)], ["cls"])
+
+    chosen = sc.broadcast(_bits(classes.select("cls", "doc_id").mapInArrow(choose, "cls bigint")))
 
     def emit(batches):
         for whole in batches:
             for batch in _tokens.text_slices(whole, "text", 400_000):
                 flat, ends = shingle_sets(batch.column("text"))
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                cls = _digests(flat, ends)
+                at = np.flatnonzero((ends > begins) & _in_filter(chosen.value, _marks(cls, batch.column("doc_id").fill_null(-1).to_numpy())))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array(_digests(flat, ends)),
-                    pa.array([flat[a:b].view(np.int64) for a, b in zip(begins, ends)], pa.list_(pa.int64()))],
-                    ["doc_id", "cls", "found"])
-
-    known = F.xxhash64("cls", F.coalesce("doc_id", F.lit(-1)))
-    rows = docs.mapInArrow(emit, "doc_id bigint, cls bigint, found array<bigint>")
-    rows = rows.where(F.size("found") > 0).select("cls", "found", known.alias("mark"))
-    return _filtered(rows, shared.value, "mark").select("cls", "found")
+                    pa.array(cls[at]), pa.array([flat[begins[i]:ends[i]].view(np.int64) for i in at.tolist()], pa.list_(pa.int64()))], ["cls", "found"])
+
+    return docs.mapInArrow(emit, "cls bigint, found array<bigint>")
+
+
+def _marks(cls: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+    """A hash of a class and one of its documents."""
+    with np.errstate(over="ignore"):
+        return _mixed(cls.view(np.uint64) ^ _mixed(doc_ids.astype(np.int64).view(np.uint64) + np.uint64(1))).view(np.int64)
 
 
 # --- 4: R-tree ------------------------------------------------------------------------------

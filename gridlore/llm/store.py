@@ -16,14 +16,27 @@ def new_folder(spark, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker while a table is written: long texts would
+#: otherwise come by ten thousand, held on both sides at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back.
 
     Cuts lineage: what follows survives lost executors without computing ``df`` again.
     """
-    path = path or new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or new_folder(spark, name)
+    before = spark.conf.get(_BATCH, None)
+    if before is None or not before.isdigit() or int(before) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_hash(*cols: str | Column, seed: int = 0) -> Column:
