@@ -18,7 +18,7 @@ from gridlore.functions.numeric import as_double, mean_of
 from gridlore.plans.shape import quoted
 
 #: Cells of a column that are sorted.
-FEW = 50_000
+FEW = 200_000
 ACCURACY = 10_000
 #: Bytes of a text that one double holds exactly.
 TEXT_STEP = 6
