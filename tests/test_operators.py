@@ -604,3 +604,31 @@ def test_given_dates_are_all_used(spark):
 def test_backslash_is_a_header_symbol(spark):
     df = spark.createDataFrame([("a\\b", 1), ("plain", 2)], "name string, ordinal int")
     assert df.where(F.col("name").rlike(audit.HEADER_SYMBOLS)).count() == 1
+
+
+def test_pairs_are_sent_as_runs_and_copies_collapse():
+    import pyarrow as pa
+
+    from gridlore.operators import product_pairs as pp
+
+    basket = list(range(200))
+    lists = pa.record_batch({"a": pa.array([basket] * 300, pa.list_(pa.int64())), "b": pa.nulls(300, pa.list_(pa.int64()))})
+    runs = list(pp._runs(iter([lists]), 8, 16, 4))
+    assert sum(r.num_rows for r in runs) <= 4 * (300 * 19_900 // pp.RUN + 2)  # 6 million pairs, a row per part and run
+    parts = [pa.concat_batches([r.filter(pa.compute.equal(r["part"], p)) for r in runs]) for p in range(4)]
+    assert min(len(p) for p in parts) > 0
+    found = [row for p in parts for b in pp._counted(iter([p]), 8, 16, 300, None) for row in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(found) == [(i, j, 300) for i in basket for j in basket[i + 1:]]
+    assert [len(b) for b in pp._counted(iter(parts[:1]), 8, 16, 300, 5)] == [5]
+
+
+def test_pairs_of_many_parts(spark, monkeypatch):
+    import random
+
+    from gridlore.operators import product_pairs
+
+    monkeypatch.setattr(product_pairs, "PER_TASK", 100)
+    rnd = random.Random(3)
+    data = [(f"c{rnd.randint(0, 40)}", f"p{rnd.randint(0, 25)}") for _ in range(600)]
+    got = [tuple(r) for r in cross_sell_pairs(spark.createDataFrame(data, "customer string, product string"), widely_bought=5).collect()]
+    assert got == _brute_pairs(data, 10)
