@@ -2,7 +2,8 @@
 
 A series is first reduced to one value per calendar unit, so its length is bounded by
 the calendar and not by the table. What follows works per series: windows and aggregates
-for the straight line, one Arrow group per series for the seasonal model. A series without
+for the straight line, and for the seasonal model stacks of series that have equally many points
+and the same waves, fitted side by side from Arrow batches with one row per series. A series without
 keys can be long (a unit may be a second): it is lined up in ranges, and from LONG points on
 its seasonal model is fitted from sums over ranges (``long_series``).
 """
@@ -10,10 +11,11 @@ its seasonal model is fitted from sums over ranges (``long_series``).
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -130,17 +132,33 @@ def forecast_history(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 # Seasonal model: piecewise-linear trend times (1 + yearly and weekly waves), by ridge
-# least squares. A small fit per series; Spark spreads the series.
+# least squares. Series of equal shape are fitted as one stack of small matrices.
 
 _FOURIER = {"yearly": (365.25, 10), "weekly": (7.0, 3)}
+#: Numbers in the largest array of a stack.
+STACK = 1 << 21
 
 
 def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(np.vstack([x, np.diag(np.sqrt(penalty))]),
-                           np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    """Ridge weights of every series of a stack: x (series, points, columns), y (series, points)."""
+    rows = np.broadcast_to(np.diag(np.sqrt(penalty)), (len(x), len(penalty), len(penalty)))
+    q, r = np.linalg.qr(np.concatenate([x, rows], axis=1))
+    goal = np.swapaxes(q[:, :x.shape[1]], 1, 2) @ y[:, :, None]
+    return np.linalg.solve(r, goal)[:, :, 0]
+
+
+def _even_ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """``_ridge`` with one penalty for all columns; with fewer points than columns, the same
+    weights come from the smaller system of the points."""
+    n, width = x.shape[1:]
+    if n >= width:
+        return _ridge(x, y, np.full(width, penalty))
+    across = np.swapaxes(x, 1, 2)
+    return (across @ np.linalg.solve(x @ across + penalty * np.eye(n), y[:, :, None]))[:, :, 0]
 
 
 def _waves(days: np.ndarray, parts: Sequence[str]) -> tuple[np.ndarray, dict[str, slice]]:
+    """Sines and cosines as a last axis, and where each part's are."""
     cols, where = [], {}
     for part in parts:
         period, order = _FOURIER[part]
@@ -149,39 +167,41 @@ def _waves(days: np.ndarray, parts: Sequence[str]) -> tuple[np.ndarray, dict[str
             angle = 2 * np.pi * k * days / period
             cols += [np.sin(angle), np.cos(angle)]
         where[part] = slice(start, len(cols))
-    return (np.column_stack(cols) if cols else np.zeros((len(days), 0))), where
+    return (np.stack(cols, axis=-1) if cols else np.zeros((*days.shape, 0))), where
 
 
 def _hinges(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones_like(t), t, *[np.maximum(t - k, 0.0) for k in knots]])
+    return np.stack([np.ones_like(t), t, *[np.maximum(t - k, 0.0) for k in knots]], axis=-1)
+
 
+def _knots(n: int) -> np.ndarray:
+    return np.linspace(0, 0.8, min(25, max(0, n // 3)) + 2)[1:-1] if n >= 6 else np.array([])
 
-def fit_seasonal(ds: pd.Series, y: np.ndarray, future: pd.Series, frequency: str) -> pd.DataFrame:
-    """Fitted and future rows of one series with their components."""
-    every = pd.concat([ds, future], ignore_index=True)
-    days = (every - pd.Timestamp(0)).dt.total_seconds().to_numpy() / DAY
-    n, span = len(y), max(float(days[len(y) - 1] - days[0]), 1e-9)
-    t = (days - days[0]) / span
-    parts = [p for p, wanted in (("yearly", span >= 730), ("weekly", span >= 14 and frequency == "D")) if wanted]
-    knots = np.linspace(0, 0.8, min(25, max(0, n // 3)) + 2)[1:-1] if n >= 6 else np.array([])
+
+def fit_stack(days: np.ndarray, y: np.ndarray, parts: Sequence[str]) -> dict[str, np.ndarray]:
+    """Fitted and future values of series of one shape with their components: days (series,
+    points and periods) ascending, y (series, points)."""
+    n = y.shape[1]
+    span = np.maximum(days[:, n - 1] - days[:, 0], 1e-9)
+    t = (days - days[:, :1]) / span[:, None]
+    knots = _knots(n)
     base, (waves, where) = _hinges(t, knots), _waves(days, parts)
-    scale = float(np.abs(y).max()) or 1.0
-    target, season = y / scale, np.zeros(len(t))
+    scale = np.abs(y).max(axis=1)
+    scale = np.where(scale == 0, 1.0, scale)[:, None]
+    target, season = y / scale, np.zeros_like(t)
     bend = np.array([1e-8, 1e-8, *[0.5] * len(knots)])
-    beta = np.zeros(waves.shape[1])
+    beta = np.zeros((len(y), waves.shape[2]))
     for _ in range(4 if parts else 1):
-        level = 1.0 + season[:n]
-        trend = base @ _ridge(base[:n] * level[:, None], target, bend)
+        level = 1.0 + season[:, :n]
+        trend = (base @ _ridge(base[:, :n] * level[:, :, None], target, bend)[:, :, None])[:, :, 0]
         if parts:
-            beta = _ridge(waves[:n] * trend[:n, None], target - trend[:n], np.full(waves.shape[1], 1e-3))
-            season = waves @ beta
+            beta = _even_ridge(waves[:, :n] * trend[:, :n, None], target - trend[:, :n], 1e-3)
+            season = (waves @ beta[:, :, None])[:, :, 0]
     yhat = trend * (1.0 + season) * scale
-    spread = INTERVAL_Z * float(np.std(y - yhat[:n])) if n > 2 else 0.0
-    out = pd.DataFrame({"ds": every, "y": np.concatenate([y, np.full(len(future), np.nan)]), "yhat": yhat,
-                        "yhat_lower": yhat - spread, "yhat_upper": yhat + spread, "trend": trend * scale})
+    spread = INTERVAL_Z * np.std(y - yhat[:, :n], axis=1)[:, None] if n > 2 else 0.0
+    out = {"yhat": yhat, "yhat_lower": yhat - spread, "yhat_upper": yhat + spread, "trend": trend * scale}
     for part in _FOURIER:
-        out[part] = waves[:, where[part]] @ beta[where[part]] if part in where else np.nan
-    out["is_forecast"] = np.arange(len(every)) >= n
+        out[part] = (waves[:, :, where[part]] @ beta[:, where[part], None])[:, :, 0] if part in where else np.full_like(t, np.nan)
     return out
 
 
@@ -191,6 +211,50 @@ def _future(last: pd.Timestamp, periods: int, frequency: str) -> pd.Series:
     return pd.Series([step(i) for i in range(1, periods + 1)])
 
 
+def _ahead(last: np.ndarray, periods: int, frequency: str) -> np.ndarray:
+    """(series, periods): what ``_future`` gives for each of many last moments in microseconds."""
+    i = np.arange(1, periods + 1)
+    if frequency != "M":
+        return last[:, None] + i * (1 if frequency == "D" else 7) * DAY * 1_000_000
+    at = last.astype("datetime64[us]")
+    month = at.astype("datetime64[M]")
+    into = at - at.astype("datetime64[D]")
+    day = (at.astype("datetime64[D]") - month.astype("datetime64[D]")).astype(np.int64)
+    months = month[:, None] + i
+    longest = ((months + 1).astype("datetime64[D]") - months.astype("datetime64[D]")).astype(np.int64)
+    days = months.astype("datetime64[D]") + np.minimum(day[:, None], longest - 1)
+    return (days.astype("datetime64[us]") + into[:, None]).astype(np.int64)
+
+
+def _modelled(batches: Iterator[pa.RecordBatch], keys: Sequence[str], periods: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``seasonal_model`` for batches of series (keys, __frequency, __at, __y)."""
+    for batch in batches:
+        at, y = batch.column("__at"), batch.column("__y")
+        starts, sizes = at.offsets.to_numpy()[:-1], np.diff(at.offsets.to_numpy())
+        at, y, y_starts = at.values.cast(pa.int64()).to_numpy(), y.values.to_numpy(), y.offsets.to_numpy()[:-1]
+        frequency = np.array(batch.column("__frequency").to_pylist())
+        span = (at[starts + sizes - 1] - at[starts]) / 1e6 / DAY
+        shapes: dict[tuple, list[int]] = {}
+        for i, shape in enumerate(zip(sizes.tolist(), frequency.tolist(), (span >= 730).tolist(), (span >= 14).tolist())):
+            shapes.setdefault(shape, []).append(i)
+        for (n, freq, yearly, weekly), members in shapes.items():
+            parts = [p for p, wanted in (("yearly", yearly), ("weekly", weekly and freq == "D")) if wanted]
+            step = max(1, STACK // ((n + periods) * 32))
+            for k in range(0, len(members), step):
+                some = np.array(members[k:k + step])
+                moments = at[starts[some][:, None] + np.arange(n)]
+                moments = np.concatenate([moments, _ahead(moments[:, -1], periods, freq)], axis=1)
+                values = y[y_starts[some][:, None] + np.arange(n)]
+                found = fit_stack(moments / 1e6 / DAY, values, parts)
+                known = np.concatenate([values, np.full((len(some), periods), np.nan)], axis=1)
+                of = pa.array(np.repeat(some, n + periods))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(key).take(of) for key in keys], pa.array(moments.ravel()).cast(pa.timestamp("us")), pa.array(known.ravel()),
+                     *[pa.array(found[c].ravel()) for c in ("yhat", "yhat_lower", "yhat_upper", "trend", "yearly", "weekly")],
+                     pa.array(np.tile(np.arange(n + periods) >= n, len(some)))],
+                    [*keys, "ds", "y", "yhat", "yhat_lower", "yhat_upper", "trend", "yearly", "weekly", "is_forecast"])
+
+
 def seasonal_model(series: DataFrame, periods: int = PERIODS, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, ds, y, yhat, yhat_lower, yhat_upper, trend, yearly, weekly, is_forecast) of the
     observed and the future points, 80 % band. A wave the data cannot show is null."""
@@ -203,30 +267,23 @@ def seasonal_model(series: DataFrame, periods: int = PERIODS, keys: Sequence[str
         if found["points"] >= long_series.LONG:
             model = long_series.long_seasonal_model(series, periods, found["frequency"])
             return model.withColumns({c: as_double(F.col(c)) for c in ("y", "yearly", "weekly")})
+    names = list(keys)
     tagged = _with_frequency(series, freq, keys)
-    names = list(keys) or ["__all"]
-    if not keys:
-        tagged = tagged.withColumn("__all", F.lit(0))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.select(*map(quoted, names)).schema)
-    schema = (kept + ", ds timestamp, y double, yhat double, yhat_lower double, yhat_upper double, "
-              "trend double, yearly double, weekly double, is_forecast boolean")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds", ignore_index=True)
-        frequency = pdf["frequency"].iloc[0]
-        out = fit_seasonal(pdf["ds"], pdf["y"].to_numpy(float), _future(pdf["ds"].iloc[-1], periods, frequency), frequency)
-        for i, name in enumerate(names):
-            out.insert(i, name, pdf[name].iloc[0])
-        return out
-
     # Fits cost time, not bytes: a fixed number of partitions keeps AQE from merging
     # small series into a few slow tasks. The grouping below adds no further shuffle.
-    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = tagged.repartition(tasks, *map(quoted, names))
-    out = spread.groupBy(*map(quoted, names)).applyInPandas(fit, schema)
-    # Arrow turns a missing number into NaN; give nulls back
-    out = out.withColumns({c: as_double(F.col(c)) for c in ("y", "yearly", "weekly")})
-    return out if keys else out.drop("__all")
+    if keys:
+        tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tagged = tagged.repartition(tasks, *map(quoted, names))
+    point = F.struct(F.col("ds").cast("timestamp_ntz").alias("at"), F.col("y").cast("double").alias("y"))
+    whole = tagged.groupBy(*map(quoted, names)).agg(F.first("frequency").alias("__frequency"), F.array_sort(F.collect_list(point)).alias("__points"))
+    whole = whole.where(F.size("__points") > 0).select(
+        *map(quoted, names), "__frequency", F.col("__points.at").alias("__at"), F.col("__points.y").alias("__y"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in whole.schema.fields[:len(names)])
+    schema = (kept + "ds timestamp_ntz, y double, yhat double, yhat_lower double, yhat_upper double, "
+              "trend double, yearly double, weekly double, is_forecast boolean")
+    out = whole.mapInArrow(lambda b: _modelled(b, names, periods), schema)
+    # a missing number comes as NaN; give nulls back
+    return out.withColumn("ds", F.col("ds").cast("timestamp")).withColumns({c: as_double(F.col(c)) for c in ("y", "yearly", "weekly")})
 
 
 def _with_frequency(series, freq, keys):

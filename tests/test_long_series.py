@@ -93,3 +93,39 @@ def test_lines_without_keys_equal_lines_with_one(spark):
     b = [r.yhat for r in forecast.linear_fitted(keyed, ["k"]).orderBy("ds").collect()]
     assert a == pytest.approx(b)
     assert forecast.detect_frequency(table).first().frequency == "D"
+
+
+def test_series_of_one_shape_are_fitted_together(monkeypatch):
+    """Each series of a stack against least squares of its own; months ahead against the calendar."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rnd, stacks = np.random.default_rng(4), []
+    plain = forecast.fit_stack
+    monkeypatch.setattr(forecast, "fit_stack", lambda days, y, parts: stacks.append(len(y)) or plain(days, y, parts))
+    day, points = 86_400_000_000, 12
+    at = [np.sort(rnd.choice(2500, points, replace=False)).astype(np.int64) * day for _ in range(500)]
+    at[0] = np.append(at[0][:-1], np.datetime64("1979-01-31T10:00", "us").astype(np.int64))
+    y = [rnd.lognormal(5, 1, points) for _ in at]
+    batch = pa.record_batch({"k": list(range(500)), "__frequency": ["M"] * 500, "__at": pa.array([a.astype("M8[us]") for a in at], pa.list_(pa.timestamp("us"))),
+                             "__y": pa.array(y)})
+    out = pa.Table.from_batches(list(forecast._modelled(iter([batch]), ["k"], 3))).to_pandas()
+    assert len(out) == 500 * 15 and sum(stacks) == 500 and len(stacks) <= 2
+    ahead = out[(out.k == 0) & out.is_forecast].ds.tolist()
+    assert ahead == [pd.Timestamp(1979, 1, 31, 10) + pd.DateOffset(months=i) for i in (1, 2, 3)]
+
+    def ridge(x, goal, penalty):
+        return np.linalg.lstsq(np.vstack([x, np.diag(np.sqrt(penalty))]), np.concatenate([goal, np.zeros(len(penalty))]), rcond=None)[0]
+
+    for k in range(5):
+        mine = out[out.k == k].sort_values("ds")
+        days = mine.ds.to_numpy().astype("M8[us]").astype(np.int64) / day
+        span = days[points - 1] - days[0]
+        base = forecast._hinges((days - days[0]) / span, forecast._knots(points))
+        waves = forecast._waves(days, ["yearly"] if span >= 730 else [])[0]
+        goal, season = y[k] / y[k].max(), 0 * days
+        for _ in range(4 if waves.size else 1):
+            trend = base @ ridge(base[:points] * (1 + season[:points, None]), goal, np.array([1e-8, 1e-8, 0.5, 0.5, 0.5, 0.5]))
+            if waves.size:
+                season = waves @ ridge(waves[:points] * trend[:points, None], goal - trend[:points], np.full(20, 1e-3))
+        assert mine.yhat.to_numpy() == pytest.approx(trend * (1 + season) * y[k].max(), rel=1e-8)
