@@ -1,12 +1,20 @@
-"""Regression modelling on pyspark.ml."""
+"""Regression modelling on pyspark.ml.
+
+Boosted trees look at features only by the bins between their split candidates, 32 at most. Rows
+that share all bins are therefore one row to them, with the mean target and their number as weight:
+the squared error differs by what varies within such a cell, which no split can change. Trees are
+grown on these cells, so a round costs as much as there are cells: with k features never more than
+32 to the k, however many rows there are.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,13 +22,16 @@ from gridlore.functions.numeric import as_double, mean_of, number_from_text, rou
 from gridlore.functions.schema import columns_of
 from gridlore.plans.position import with_position
 from gridlore.plans.shape import measured_join, quoted
-from gridlore.session import shared_dir
+from gridlore.session import pin, shared_dir
 
 # Fixed values of the models.
-ROUNDS, RATE, DEPTH, SEED = 100, 0.1, 6, 42
+ROUNDS, RATE, DEPTH, SEED, BINS = 100, 0.1, 6, 42, 32
 MIN_ROWS, MANY_ROWS = 3, 10
 TEST_SHARE, TEST_SHARE_FEW = 0.3, 0.2
 UNSEEN = -1.0
+#: Features with about so many distinct values or fewer have them counted, others a sketch of
+#: quantiles with that rank error; and the most bins Spark's square of bins can take.
+COUNTED, SKETCH_ACCURACY, MOST_BINS = 1000, 10000, 46340
 
 
 @dataclass
@@ -97,7 +108,53 @@ class Regression:
     test: DataFrame
 
     def transform(self, encoded: DataFrame) -> DataFrame:
-        return self.fitted.transform(encoded).drop("features")
+        return self.fitted.transform(encoded).drop("features", *_bins(len(self.features)))
+
+
+def _bins(n: int) -> list[str]:
+    return [f"__bin{i}" for i in range(n)]
+
+
+def _between(counts: list[tuple[float, int]]) -> list[float]:
+    """Split candidates of a feature from its ascending values and their rows, by the rule of Spark's
+    trees: between all values if they are few, else where even shares of the rows end."""
+    middles = [(a + b) / 2 for (a, _), (b, _) in zip(counts, counts[1:])]
+    if len(middles) < BINS:
+        return middles
+    share = sum(n for _, n in counts) / BINS
+    out, goal, so_far = [], share, 0
+    for (_, n), (_, more), middle in zip(counts, counts[1:], middles):
+        so_far += n
+        if abs(so_far - goal) < abs(so_far + more - goal):
+            out.append(middle)
+            goal += share
+    return out
+
+
+def split_candidates(rows: DataFrame, names: Sequence[str]) -> list[list[float]]:
+    """At most 31 ascending candidates for each numeric column, from all rows."""
+    shares = [i / BINS for i in range(1, BINS)]
+    seen = rows.agg(*[c for n in names for c in (
+        F.approx_count_distinct(n, 0.02).alias(f"{n}_d"), F.percentile_approx(n, shares, SKETCH_ACCURACY).alias(f"{n}_q"))]).first()
+    few = [n for n in names if seen[f"{n}_d"] <= COUNTED]
+    values: dict[str, list] = {n: [] for n in few}
+    if few:
+        cells = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in few])).alias("c"))
+        for r in cells.groupBy("c.name", "c.v").agg(F.count("*").alias("n")).collect():
+            values[r["name"]].append((r["v"], r["n"]))
+    found = [_between(sorted(values[n])) if n in values else sorted(set(seen[f"{n}_q"])) for n in names]
+    return [[x for x in edges if math.isfinite(x)] for edges in found]
+
+
+def _cells(rows: DataFrame, names: Sequence[str]) -> tuple[Bucketizer, DataFrame]:
+    """The bins of the columns, and one row per set of bins: mean target and number of rows."""
+    ends = [[-math.inf, *(edges or [0.0]), math.inf] for edges in split_candidates(rows, names)]
+    bins = _bins(len(names))
+    binned = Bucketizer(splitsArray=ends, inputCols=list(names), outputCols=bins, handleInvalid="keep")
+    # a sum drops the mark of a category, which Bucketizer puts on its columns: bins are ordered
+    ordered = [(F.col(b) + F.lit(0.0)).alias(b) for b in bins]
+    cells = binned.transform(rows).groupBy(*ordered).agg(F.avg("__target").alias("__target"), F.count("*").cast("double").alias("__weight"))
+    return binned, pin(cells)
 
 
 def train(df: DataFrame, target: str, features: Sequence[str] | None = None, model: str = "gbt",
@@ -111,17 +168,23 @@ def train(df: DataFrame, target: str, features: Sequence[str] | None = None, mod
     ready = prepare_features(df, target, features)
     train_rows, test_rows = train_test_split(ready.rows, key or [*ready.features, target])
     names = [f"f_{i}" for i in range(len(ready.features))]
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
     if model == "gbt":
         sc = df.sparkSession.sparkContext
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared_dir(df.sparkSession))
-        learner = GBTRegressor(featuresCol="features", labelCol="__target", predictionCol="predicted",
+        binned, cells = _cells(train_rows.select(*names, "__target"), names)
+        # Spark draws a sample to look for candidates unless it may have as many as the square of
+        # the bins; every feature has 32 values or fewer here, so it takes them all.
+        width = min(MOST_BINS, max(BINS, math.isqrt(cells.count()) + 1))
+        learner = GBTRegressor(featuresCol="features", labelCol="__target", predictionCol="predicted", weightCol="__weight", maxBins=width,
                                maxIter=rounds, stepSize=RATE, maxDepth=DEPTH, seed=SEED, checkpointInterval=10)
+        fitted = Pipeline(stages=[VectorAssembler(inputCols=_bins(len(names)), outputCol="features"), learner]).fit(cells)
+        fitted = PipelineModel([binned, *fitted.stages])
     else:
         learner = LinearRegression(featuresCol="features", labelCol="__target", predictionCol="predicted",
                                    regParam=0.0, solver="normal")
-    fitted = Pipeline(stages=[assembler, learner]).fit(train_rows.select(*names, "__target"))
+        assembler = VectorAssembler(inputCols=names, outputCol="features")
+        fitted = Pipeline(stages=[assembler, learner]).fit(train_rows.select(*names, "__target"))
     return Regression(model, target, ready.features, ready.labels, fitted, test_rows)
 
 

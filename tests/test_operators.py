@@ -632,3 +632,24 @@ def test_pairs_of_many_parts(spark, monkeypatch):
     data = [(f"c{rnd.randint(0, 40)}", f"p{rnd.randint(0, 25)}") for _ in range(600)]
     got = [tuple(r) for r in cross_sell_pairs(spark.createDataFrame(data, "customer string, product string"), widely_bought=5).collect()]
     assert got == _brute_pairs(data, 10)
+
+
+def test_trees_grow_on_cells_of_equal_bins(spark, monkeypatch):
+    """Same trees as on all rows where features have few values, and few rows to grow them on."""
+    from pyspark.ml.feature import VectorAssembler
+
+    given, fit = [], regression.GBTRegressor._fit
+    monkeypatch.setattr(regression.GBTRegressor, "_fit", lambda self, rows: given.append(rows.count()) or fit(self, rows))
+    df = spark.range(6000).selectExpr("id", "id % 7 + 0.5 AS a", "id % 11 * 1.5 AS b", "(id % 7) * (id % 11) + pmod(hash(id), 50) / 10 AS y")
+    model = regression.train(df, "y", ["a", "b"], "gbt", ["id"], rounds=5)
+    assert given == [77]
+    train_rows, test_rows = regression.train_test_split(df, ["id"])
+    put = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform
+    plain = regression.GBTRegressor(labelCol="y", maxIter=5, stepSize=regression.RATE, maxDepth=regression.DEPTH, seed=1).fit(put(train_rows))
+    assert model.fitted.stages[-1].featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), rel=1e-6)
+    want = {r["id"]: r["prediction"] for r in plain.transform(put(test_rows)).collect()}
+    got = {r["id"]: r["predicted"] for r in model.transform(model.test).collect()}
+    assert got == pytest.approx(want)
+    wide = spark.range(20_000).selectExpr("id", "double(id) AS a", "double(id) AS y")
+    regression.train(wide, "y", ["a"], "gbt", ["id"], rounds=1)
+    assert given[-1] == 32
