@@ -75,9 +75,21 @@ def inconsistent_columns(sheet: str, raw: DataFrame, cells: str, expected, row_n
     return _issue(wrong, "medium", "inconsistent_columns", sheet, row_from=number, row_to=number, n=size)
 
 
-def ragged_rows(raw: DataFrame, sheet: str | Column | None = None) -> DataFrame:
+def ragged_rows(raw: DataFrame, sheet: str | Column | None = None, continued: bool = False) -> DataFrame:
     """Records of ``read_raw`` that are longer or shorter than the header of their file. Rows
-    are counted from 1 after the header; the sheet is the file unless named."""
+    are counted from 1 after the header; the sheet is the file unless named.
+
+    ``continued`` says that the files of a sheet, which follow each other in the order of paths
+    as those of a folder do, are one table: its header is the first record of the first file,
+    and rows are counted on from file to file.
+    """
+    if continued:
+        name = F.col("file") if sheet is None else sheet if isinstance(sheet, Column) else F.lit(sheet)
+        rows = raw.withColumn("__sheet", name)
+        first = rows.where("file_row = 0").groupBy("__sheet").agg(
+            F.min("row_no").alias("__first"), F.min_by(F.size("cells"), "row_no").alias("__width"))
+        rows = measured_join(rows, pin(first), ["__sheet"]).withColumn("__row", F.col("row_no") - F.col("__first") - 1)
+        return inconsistent_columns(F.col("__sheet"), rows.where("__row >= 0"), "cells", F.col("__width"), "__row")
     header = pin(raw.where("file_row = 0").select("file_no", F.size("cells").alias("__width")))
     rows = measured_join(raw.where("file_row > 0").withColumn("__row", F.col("file_row") - 1), header, ["file_no"])
     name = F.col("file") if sheet is None else sheet

@@ -69,22 +69,31 @@ def _quoted_text(c: str):
     return F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+#: Bytes of text in a file that a query writes.
+FILE_BYTES = 1 << 25
+
+
 def _document_files(spark, sf, header: bool) -> str:
     """Documents as delimited text in several files, in order of language and id: texts with
-    their commas, quotes and line breaks; a cell too many or too few in some rows."""
+    their commas, quotes and line breaks; a cell too many or too few in some rows. With headers
+    there is a folder per language, whose first file begins with the header. Files are parts of
+    some FILE_BYTES of the order, so that none is written by one task for all."""
     folder = new_folder(spark)
     docs = Tables(spark, sf).documents.where("doc_id is not null")
     extra = F.when(F.col("doc_id") % 7 == 0, F.lit("more, or less"))
     last = F.when(F.col("doc_id") % 11 != 0, F.col("lang"))
     lines = docs.select("lang", "doc_id", F.concat_ws(
         ",", F.col("doc_id").cast("string"), _quoted_text("text"), last, F.when(extra.isNotNull(), F.concat(F.lit('"'), extra, F.lit('"')))).alias("line"))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+    files = max(4, -(-size // FILE_BYTES))
     if header:
         names = docs.select("lang").distinct().select("lang", F.lit(None).cast("bigint").alias("doc_id"), F.lit("doc_id,text,lang").alias("line"))
         lines = lines.unionByName(names)
-        spread = lines.repartition("lang").sortWithinPartitions("lang", F.col("doc_id").asc_nulls_first())
+        order = [F.col("lang"), F.col("doc_id").asc_nulls_first()]
+        spread = lines.repartitionByRange(files, *order).sortWithinPartitions(*order)
         spread.select("lang", "line").write.partitionBy("lang").text(folder)
     else:
-        spread = lines.repartitionByRange(4, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+        spread = lines.repartitionByRange(files, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
         spread.select("line").write.text(folder)
     return folder
 
@@ -107,7 +116,7 @@ SELECT 'medium' AS severity, 'inconsistent_columns' AS category, lang AS sheet,
 i AS row_from, i AS row_to, width AS n FROM rows WHERE width <> 3""")
 def q_ragged_files(spark, sf):
     raw = read_raw(spark, _document_files(spark, sf, True))
-    return aud.ragged_rows(raw, F.regexp_extract("file", "lang=([^/]*)/", 1))
+    return aud.ragged_rows(raw, F.regexp_extract("file", "lang=([^/]*)/", 1), continued=True)
 
 
 @query("csv_surplus_cells", """SELECT CAST(c_custkey AS BIGINT) AS key, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'kept, too' END AS "Column_2",

@@ -127,3 +127,29 @@ def test_wide_records_reach_the_lint(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n" + ",".join(map(str, range(500))) + "\n")
     raw = read_raw(spark, str(tmp_path))
     assert raw.agg(F.max(F.size("cells"))).first()[0] == 500
+
+
+def test_sheet_of_several_files_is_counted_on(spark, tmp_path):
+    for folder, files in {"s=a": ["h,i\n1\n1,2\n", "1,2,3\n", "1,2\n\"x\ny\"\n"], "s=b": ["h\n", "1\n1,2\n"]}.items():
+        (tmp_path / folder).mkdir()
+        for i, text in enumerate(files):
+            (tmp_path / folder / f"part-{i}").write_text(text)
+    name = F.regexp_extract("file", "s=([^/]*)/", 1)
+    got = aud.ragged_rows(read_raw(spark, f"{tmp_path}/*"), name, continued=True).orderBy("sheet", "row_from").collect()
+    assert [(r.sheet, r.row_from, r.n) for r in got] == [("a", 1, 1), ("a", 3, 3), ("a", 5, 1), ("b", 2, 2)]
+
+
+def test_documents_of_one_language_are_many_files(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from gridlore.queries import core
+
+    monkeypatch.setattr(core, "FILE_BYTES", 1000)
+    rows = [(i, "word, \"and\"\nmore " * 10, "en") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(core._document_files(spark, str(tmp_path), True).removeprefix("file:"))
+    sizes = [f.stat().st_size for f in folder.glob("lang=en/part-*")]
+    assert len(sizes) > 10 and max(sizes) < sum(sizes) / 4
+    got = core.q_ragged_files(spark, str(tmp_path)).collect()
+    want = {(i + 1, 3 + (i % 7 == 0) - (i % 11 == 0)) for i in range(200)}
+    assert {(r.row_from, r.n) for r in got} == {w for w in want if w[1] != 3} and {r.sheet for r in got} == {"en"}
